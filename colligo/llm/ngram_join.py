@@ -397,3 +397,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
     of_class = joined.join(of_label, "label").select("class", "component_id")
     full = texts.where("n_shingles > 0").join(of_class, "class", "left")
     return full.select("doc_id", "n_shingles", "component_id").unionByName(texts.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def first_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that are the first of their near duplicates: the one with the component's id.
+
+    Of repeated rows with that id one stays.  Rows without words and rows with a null ``doc_id``
+    have no partner that could stand for them, and stay.
+    """
+    gone = near_duplicates(docs.select("doc_id", "text"), percent, words).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialise(gone, "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return kept if kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() else _once(kept)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows that repeat an earlier one's ``doc_id`` and text."""
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(docs.where("doc_id is null"))

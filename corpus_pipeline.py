@@ -1 +1,57 @@
-"""The training-data pipeline."""
+"""A training-data pipeline over ``documents``: what is kept of one stage is the input of the next."""
+
+from __future__ import annotations
+
+import uuid
+
+from colligo.llm import ngram_join, packing, pii, quality_classifier, quality_rules
+from colligo.llm.common import scratch, table
+from pyspark.sql import DataFrame, SparkSession
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality_rules.keep(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from ``labels``, predicts to be good."""
+    return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return ngram_join.first_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.masked(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The batch and place of each document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("packing", packed),
+]
+
+#: No SQL: the rules' estimates, the latent vectors and the optimal bounds are iterative.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  Every stage's result is a table in the shared folder."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
