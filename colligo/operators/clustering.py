@@ -78,7 +78,7 @@ def enrich(df: DataFrame, start: str = "shift_start") -> DataFrame:
     for i, (low, high, mid) in enumerate(found):
         inside = minute.between(int(low), int(high))
         number, centre = F.when(inside, i).otherwise(number), F.when(inside, F.lit(mid)).otherwise(centre)
-    sure = rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(minute - centre) / REACH)), 2)
+    sure = F.when(centre.isNotNull(), rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(minute - centre) / REACH)), 2))
     out = df.withColumns({"shift_start_minutes": minute, "shift_cluster_id": F.coalesce(number, F.lit(-1)), "detected_shift_type": F.coalesce(band(centre), F.lit("UNKNOWN")), "shift_detection_confidence": F.coalesce(sure, F.lit(0.0))})
     said = F.format_string("start %s is in the %s cluster around %s", clock(minute), band(centre), clock(centre))
     return out.withColumn("shift_detection_evidence", F.when(centre.isNotNull(), said).otherwise("no readable start, or too few"))

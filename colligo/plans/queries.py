@@ -16,6 +16,7 @@ from ..functions import parsing as P
 from ..functions import units
 from ..functions.compatibility import FITS, compatibility
 from ..operators import clustering, knowledge, matching, profiler
+from ..streaming import kpi
 from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,3 +440,22 @@ def shift_median(spark, sf_dir):
     length = F.when(e - m > 0, e - m).otherwise(e - m + 1440)
     rows = _starts(spark, sf_dir).select(m.alias("m"), length.alias("length"))
     return rows.groupBy(clustering.band(F.col("m")).alias("band")).agg(F.count("*").alias("n"), F.median("m").alias("median_start"), P.rounded(F.avg("length") / 60, 2).alias("mean_hours"))
+
+
+# --- windows of time -----------------------------------------------------------------------------------
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def windowed_kpi(spark, sf_dir):
+    """The streaming plan over a table."""
+    return kpi.windowed(_t(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_kpi(spark, sf_dir):
+    out = kpi.sessions(_t(spark, sf_dir, "events"), "6 hours")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
