@@ -44,6 +44,7 @@ _PURPOSE = {
     "content": "article articlebody body content entry main post story text",
 }
 _BY_WORD = {w: purpose for purpose, words in _PURPOSE.items() for w in words.split()}
+_OTHER = {f"for {p}" for p in _PURPOSE if p != "content"} | {f"in {t}" for t in "aside nav footer form button label".split()}
 _KNOWN = set("a article aside blockquote body button caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr label legend li main nav ol p pre section table td th ul".split())
 
 
@@ -61,7 +62,11 @@ def _around(outer: tuple[str, ...], tag: str, attributes: str) -> tuple[str, ...
         new += [f"for {_BY_WORD[w]}" for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _BY_WORD]
     if tag in ("header", "footer", "form", "aside", "section") and ("in article" in outer or "in main" in outer):
         new.append(f"{tag} in article")
-    return tuple(sorted({*outer, *new}))
+    found = {*outer, *new} - {"plain"}
+    # Inside something that holds an article, with nothing around it that speaks for another purpose.
+    if found & {"in article", "in main", "for content"} and not found & _OTHER:
+        found.add("plain")
+    return tuple(sorted(found))
 
 
 def _text_features(text: str, linked: int) -> list[str]:
@@ -190,7 +195,7 @@ class Field:
         return path[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, rate: float = 0.15, ridge: float = 0.3) -> Field:
+def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, rate: float = 0.2, ridge: float = 0.1) -> Field:
     """Maximises the pages' likelihood, less the squared weights, by gradient steps over all pages at once."""
     names = sorted({f for page, _ in pages for b in page for f in b.features})
     index = {f: i for i, f in enumerate(names)}
@@ -229,7 +234,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, rate:
     return Field(dict(zip(names, w.tolist())), step)
 
 
-def training_pages(many: int = 400, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
+def training_pages(many: int = 500, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
     """Labelled pages of many layouts.  An article's texts begin with a private character, which is taken off again."""
     rng, mark = random.Random(seed), "\ue000"
     letters = "etaoinshrdlu"
@@ -279,7 +284,7 @@ def training_pages(many: int = 400, seed: int = 7) -> list[tuple[list[Block], li
         def block() -> str:
             kind = rng.random()
             if kind < 0.62:
-                inner = mark + text(1, 80)
+                inner = mark + text(*rng.choice([(1, 3), (3, 20), (10, 80)]))
                 return f"<p>{inner[:40]}<b>{inner[40:]}</b></p>" if rng.random() < 0.1 else f"<p>{inner} {link()} {words(3)}.</p>" if rng.random() < 0.12 else f"<p>{inner}{rng.choice(['</p>', '</p>', ''])}"
             if kind < 0.7:
                 level = rng.randint(2, 4)
@@ -300,12 +305,12 @@ def training_pages(many: int = 400, seed: int = 7) -> list[tuple[list[Block], li
         if rng.random() < 0.15:
             parts[0] = f"<header>{parts[0]}</header>"
         for extra in (advert, side, form, notice):
-            if rng.random() < 0.12:
+            if rng.random() < 0.25:
                 parts.insert(rng.randint(1, len(parts)), extra())
         return "".join(parts)
 
     def page() -> str:
-        wrap = rng.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="post">{}</div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', "<div>{}</div>"])
+        wrap = rng.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>"] * 2 + ["<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="post">{}</div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', "<div>{}</div>"])
         inner = wrap.format(body() + (comments() if rng.random() < 0.08 else ""))
         ahead = [f() for f in (notice, menu, advert) if rng.random() < (0.8 if f is menu else 0.45)]
         after = [f() for f in (side, comments, advert, form, notice) if rng.random() < 0.3]

@@ -98,7 +98,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     ``vectors`` has ``vec_id`` and ``embedding``; ``queries`` says which rows are queries.  Every row
     is a candidate but those with the query's own id.  Rows with a null id, or whose vector is null,
     or has components that are null or not finite, take no part; nor do those whose length is not
-    that of most.  A repeated query row counts once if it repeats its vector too.
+    that of most.  A repeated query row counts once if it repeats its vector too.  Scores have to fit
+    64 bits.
     """
     rows = vectors.select("vec_id", whole(F.col("embedding")).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where("vec_id is not null and v is not null")
     rows = materialise(rows, "whole")
