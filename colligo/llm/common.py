@@ -8,12 +8,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most bytes of text that a task looks at together; one longer text is looked at alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+#: Rows of an Arrow batch: texts have no bound, so ten thousand of them may be too many for a task's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to BATCH_ROWS, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,11 +45,21 @@ def scratch(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast; about 32 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialised table of a few numbers, to be broadcast in a join if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """``batch`` in pieces of at most ``most`` bytes of ``column`` (or one row)."""
     if not batch.num_rows:

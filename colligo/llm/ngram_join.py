@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, split_words
+from .common import materialise, mix, slices, small, split_words
 from .components import components
 
 #: Odd multipliers, one for each place in a shingle (fixed values).
@@ -40,8 +40,10 @@ _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 _BAND = 1.5
 #: Largest group of texts with one signature that gives all its pairs.
 SMALL_GROUP = 12
-#: Texts of a large group that are compared with as many others at once.
-BLOCK = 1024
+#: Texts of a large group that others are compared with at once.
+BLOCK = 4096
+#: Times that a better linked member is held against the rest of a large group.
+HUB_ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
@@ -142,13 +144,13 @@ def signatures(own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     return np.concatenate(out), spare
 
 
-def sketch(own: np.ndarray) -> bytes:
+def sketch(own: np.ndarray, wide: int = 0) -> bytes:
     """Parities of the set's counts in 2**k cells, with as many cells as shingles or up to twice that.
 
-    A sketch folds to half its cells by exclusive or.  Sketches never differ in more cells than
-    their sets do in shingles.
+    ``wide`` doubles the cells so many times.  A sketch folds to half its cells by exclusive or.
+    Sketches never differ in more cells than their sets do in shingles.
     """
-    cells = 1 << max(6, (max(len(own), 1) - 1).bit_length())
+    cells = 1 << max(6, (max(len(own), 1) - 1).bit_length() + wide)
     odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -166,7 +168,7 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 #: What the tasks that make the signatures and those that group them send on.  doc: a text's set
 #: (a class).  pair: two classes that may be similar.  common: a class in a large group.
-_SCHEMA = "kind string, doc_id long, n long, a long, b long, spare long, sketch binary"
+_SCHEMA = "kind string, doc_id long, n long, a long, b long, spare long, sketch binary, wide binary"
 _SENT = "part int, docs binary, sigs binary, nodes binary"
 
 
@@ -183,10 +185,10 @@ def _signal(percent: int, words: int, parts: int):
                         mine, spare = signatures(own, percent)
                         sigs.append(mine)
                         whose.append(np.full(len(mine), node, np.int64))
-                        rows.append({"a": node, "n": len(own), "spare": spare, "sketch": sketch(own)})
+                        rows.append({"a": node, "n": len(own), "spare": spare, "sketch": sketch(own), "wide": sketch(own, 2)})
                 docs = pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "a": pa.array(nodes)})
                 sink = pa.BufferOutputStream()
-                told = pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", pa.binary())]))
+                told = pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary())]))
                 for x in (docs, told):
                     with pa.ipc.new_stream(sink, x.schema) as out:
                         out.write_batch(x)
@@ -209,7 +211,7 @@ def _signal(percent: int, words: int, parts: int):
 
 
 def _rows(kind: str, count: int, /, **columns) -> pa.RecordBatch:
-    types = {"doc_id": pa.int64(), "n": pa.int64(), "a": pa.int64(), "b": pa.int64(), "spare": pa.int64(), "sketch": pa.binary()}
+    types = {"doc_id": pa.int64(), "n": pa.int64(), "a": pa.int64(), "b": pa.int64(), "spare": pa.int64(), "sketch": pa.binary(), "wide": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([kind] * count, pa.string())] + [columns[k] if k in columns else pa.nulls(count, t) for k, t in types.items()], ["kind", *types])
 
 
@@ -294,36 +296,42 @@ def _verify(percent: int, words: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Compares the classes of one block of a large group with those of another; keeps what sketches allow.
+def _folded(sketches: pd.Series, cells: int) -> np.ndarray:
+    """Sketches of one length, one in a row, folded to ``cells``."""
+    out = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while out.shape[1] * 64 > cells:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
 
-    Of classes that are in one component already none is compared again.
-    """
 
-    def words_of(sketches: pd.Series, cells: int) -> np.ndarray:
-        out = np.empty((len(sketches), cells // 64), np.uint64)
-        for i, s in enumerate(sketches):
-            x = np.frombuffer(s, np.uint64)
-            while len(x) > cells // 64:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            out[i] = x
-        return out
+def _block_pairs(percent: int, nearest: bool):
+    """Compares the probers of a block with the probed of another; keeps what wide sketches allow.
+
+    Classes of one component are not compared.  ``nearest``: of a prober's partners in one
+    component only the closest, as one link is enough.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
+        rows = rows.assign(cells=rows.wide.str.len() * 8)
         one, two = rows[rows.side == 0], rows[rows.side == 1]
-        for cells, other in ((x, y) for x in one.sketch.str.len().unique() * 8 for y in two.sketch.str.len().unique() * 8):
-            left, right = one[one.sketch.str.len() * 8 == cells], two[two.sketch.str.len() * 8 == other]
+        for (cells, left), (other, right) in ((x, y) for x in one.groupby("cells") for y in two.groupby("cells")):
             fewer = int(min(cells, other))
-            x, y = words_of(left.sketch, fewer), words_of(right.sketch, fewer)
-            n, k = left.n.to_numpy(), right.n.to_numpy()
+            x, y = _folded(left.wide, fewer), _folded(right.wide, fewer)
+            n, k, a, b, la, lb = left.n.to_numpy(), right.n.to_numpy(), left.a.to_numpy(), right.a.to_numpy(), left.label.to_numpy(), right.label.to_numpy()
             for i in range(len(left)):
-                far = np.bitwise_count(x[i] ^ y).sum(1)
-                ok = (far <= (n[i] + k) * (100 - percent) // (100 + percent)) & (right.label.to_numpy() != left.label.iat[i])
-                ok &= (100 * np.minimum(n[i], k) >= percent * np.maximum(n[i], k)) & (right.a.to_numpy() != left.a.iat[i])
-                found += [(left.a.iat[i], b) for b in right.a.to_numpy()[ok]]
-        pairs = pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
+                ok = np.flatnonzero((lb != la[i]) & (100 * np.minimum(n[i], k) >= percent * np.maximum(n[i], k)))
+                far = np.bitwise_count(x[i] ^ y[ok]).sum(1, dtype=np.int64)
+                fits = far <= (n[i] + k[ok]) * (100 - percent) // (100 + percent)
+                ok, far = ok[fits], far[fits]
+                if nearest and len(ok) > 1:
+                    order = np.argsort(far, kind="stable")
+                    ok = ok[order[np.unique(lb[ok[order]], return_index=True)[1]]]
+                if len(ok):
+                    found.append(np.stack([np.minimum(a[i], b[ok]), np.maximum(a[i], b[ok])], 1))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
 
@@ -342,7 +350,7 @@ def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[D
     sent = docs.mapInArrow(_signal(percent, words, parts), _SENT)
     told = materialise(sent.repartition(parts, "part").mapInArrow(_group, _SCHEMA), "signatures")
     texts = told.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("class"))
-    classes = told.where("kind = 'class'").select("a", "n", "spare", "sketch").dropDuplicates(["a"])
+    classes = told.where("kind = 'class'").select("a", "n", "spare", "sketch", "wide").dropDuplicates(["a"])
     classes = materialise(classes, "classes")
     heads = texts.where("n_shingles > 0").groupBy(F.col("class").alias("a")).agg(F.min("doc_id").alias("doc_id"))
 
@@ -352,8 +360,8 @@ def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[D
         if sketched:
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
         pairs = materialise(pairs, "pairs")
-        wanted = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().join(heads, "a")
-        whole = wanted.join(docs, "doc_id").groupBy("a").agg(F.max("text").alias("text"))
+        wanted = materialise(pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().join(heads, "a"), "wanted")
+        whole = docs.join(small(wanted), "doc_id").groupBy("a").agg(F.max("text").alias("text"))
         whole = materialise(whole, "texts")
         text = lambda x: whole.select(F.col("a").alias(x), F.col("text").alias(f"t{x}"))
         return materialise(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent, words), "a long, b long"), "verified")
@@ -362,24 +370,41 @@ def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[D
     common = told.where("kind = 'common'").select("a", F.col("b").alias("sig"))
     if not common.limit(1).count():
         return texts, links
-    labels = components(links)
-    # Groups in several components; of their members those with too few signatures elsewhere.
-    marked = common.join(labels, F.col("a") == F.col("node"), "left").select("sig", "a", F.coalesce("label", "a").alias("label"))
-    marked = materialise(marked, "marked")
-    open_ = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    marked = marked.join(open_, "sig")
-    wanting = marked.groupBy("a").count().join(classes, "a").where("count > spare").select("a", "n", "sketch")
-    marked = materialise(marked.join(wanting, "a"), "wanting")
-    several = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many")).where("x < y")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    marked = marked.join(several.select("sig", blocks.alias("blocks")), "sig").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    # Each member goes once to every pair of blocks that holds its own.
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), o.alias("o"))))
-    sides = marked.select("sig", "a", "label", "n", "sketch", "block", grid.alias("g")).select(
-        "sig", "a", "label", "n", "sketch", "g.i", "g.j", F.explode(F.when(F.col("g.i") == F.col("g.j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("block") == F.col("g.i"), 0).otherwise(1)))).alias("side")
-    )
-    rest = sides.groupBy("sig", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")
-    return texts, links.union(verified(rest, False))
+    for _ in range(HUB_ROUNDS):
+        # The best linked member of a group's largest component is held against the other components.
+        marked = _open_groups(common, links)
+        ends = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
+        ranked = marked.join(ends, "a", "left").groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.coalesce("degree", F.lit(0)), F.col("a").alias("hub"))).alias("best"))
+        hubs = ranked.groupBy("sig").agg(F.max(F.struct("many", "best", "label")).alias("x")).select("sig", F.col("x.best.hub").alias("hub"), F.col("x.label").alias("of"))
+        pairs = marked.join(hubs, "sig").where("label != of").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
+        links = links.union(verified(pairs, True))
+    # First the closest partners, as most components meet through them; then all that are left.
+    links = links.union(verified(_compared(common, links, classes, percent, True), False))
+    return texts, links.union(verified(_compared(common, links, classes, percent, False), False))
+
+
+def _compared(common: DataFrame, links: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidates ``(a, b)`` of groups still in several components, of members with too few signatures elsewhere.
+
+    Groups with the same largest component are compared as one: near copies share a group in most of
+    their signatures, and so meet once.
+    """
+    marked = _open_groups(common, links)
+    wanting = marked.groupBy("a").count().join(classes.select("a", "spare"), "a").where("count > spare").select("a")
+    marked = marked.join(wanting, "a")
+    ranked = marked.groupBy("sig", "label").agg(F.count("*").alias("many"))
+    several = ranked.groupBy("sig").agg(F.max(F.struct("many", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("sig", F.col("x.label").alias("around"))
+    members = materialise(marked.join(several, "sig").select("around", "a", "label").distinct(), "members")
+    probes = F.col("label") != F.col("around")
+    blocks = lambda rows: F.greatest(F.lit(1), F.ceil(rows / BLOCK)).cast("int")
+    sizes = members.groupBy("around").agg(blocks(F.count("*")).alias("js"), blocks(F.count_if(probes)).alias("is"))
+    members = members.join(sizes, "around").join(classes.select("a", "n", "wide"), "a").withColumn("h", F.xxhash64("a"))
+    # Members outside the largest component probe; all are probed.  Every block of the ones meets every block of the others.
+    own = lambda of: F.pmod("h", of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    probed = members.select("around", "a", "label", "n", "wide", F.lit(1).alias("side"), own("js").alias("j"), every("is").alias("i"))
+    probing = members.where(probes).select("around", "a", "label", "n", "wide", F.lit(0).alias("side"), every("js").alias("j"), own("is").alias("i"))
+    return probing.unionByName(probed).groupBy("around", "i", "j").applyInPandas(_block_pairs(percent, nearest), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -407,7 +432,7 @@ def first_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFra
     """
     gone = near_duplicates(docs.select("doc_id", "text"), percent, words).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialise(gone, "gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    kept = docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
     return kept if kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() else _once(kept)
 
 
