@@ -62,3 +62,10 @@ def test_conflicts_and_upsert(spark):
 def test_by_alias_takes_the_first_field(spark):
     fields = spark.createDataFrame([(1, "b", ["Emp ID"]), (0, "a", ["emp-id"])], "field_position int, field_name string, aliases array<string>")
     assert matching.by_alias(spark.createDataFrame([("EMP_ID",)], "column_name string"), fields).first()["field_name"] == "a"
+
+
+def test_distinct_tokens(spark):
+    from colligo.operators.tokens import distinct_tokens
+
+    rows = spark.createDataFrame([(1, "Emp ID emp  id X"), (2, ""), (3, None), (4, "a\nA b")], "k int, text string")
+    assert {r["k"]: r["tokens"] for r in distinct_tokens(rows, "k").collect()} == {1: "Emp ID X", 4: "a b"}
