@@ -407,6 +407,15 @@ def _compared(common: DataFrame, links: DataFrame, classes: DataFrame, percent:
     return probing.unionByName(probed).groupBy("around", "i", "j").applyInPandas(_block_pairs(percent, nearest), "a long, b long")
 
 
+def _open_groups(common: DataFrame, links: DataFrame) -> DataFrame:
+    """``(sig, a, label)`` of the large groups whose members are in several components so far."""
+    labels = components(links)
+    marked = common.join(labels, F.col("a") == F.col("node"), "left").select("sig", "a", F.coalesce("label", "a").alias("label"))
+    marked = materialise(marked, "marked")
+    open_ = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    return materialise(marked.join(open_, "sig"), "open")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id``, the smallest ``doc_id`` that links reach, for each row of ``docs``.
 
