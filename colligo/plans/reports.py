@@ -349,3 +349,18 @@ class Registry:
 
     def run_all(self, tables: Tables, parameters: dict[str, Any] | None = None) -> dict[str, Result]:
         return {n: self.run(n, tables, parameters) for n in self.applicable(tables)}
+
+
+def export(results: dict[str, Result], folder: str) -> list[str]:
+    """Writes what each successful result has to a CSV folder of the report's name; returns the paths."""
+    paths = []
+    for name, result in sorted(results.items()):
+        if result.success:
+            result.to_csv(path := f"{folder}/{name}.csv")
+            paths.append(path)
+    return paths
+
+
+def log(results: dict[str, Result]) -> list[dict[str, Any]]:
+    """What was run, for a JSON log: report, parameters as text, rows, time and error."""
+    return [{"report": r.report, "parameters": {k: None if v is None else str(v) for k, v in r.parameters.items()}, "rows": r.row_count, "execution_ms": round(r.execution_ms, 1), "error": r.error} for r in results.values()]

@@ -93,3 +93,12 @@ def test_classify(spark):
     assert c.document_type == "employee_shifts"
     assert c.mappings["emp_id"] == "employee_id" and c.mappings["start_time"] == "shift_start"
     assert c.conversions == {"duration_minutes": ("hours", "minutes")}
+
+
+def test_export_and_log(spark, tables, tmp_path):
+    from colligo.plans.reports import export, log
+
+    results = Registry().run_all({P: tables[P], C: tables[C]})
+    paths = export(results, str(tmp_path))
+    assert len(paths) == 1 and spark.read.csv(paths[0], header=True).count() == 1
+    assert log(results)[0]["rows"] == 1 and log(results)[0]["error"] is None
