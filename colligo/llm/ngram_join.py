@@ -9,11 +9,12 @@ and collide less, but leave more texts short of h+1.  Those few texts also show
 neighbourhoods of their segments, where a segment counts twice, since one difference is allowed in it.
 
 Texts with one signature are candidates.  Small groups give all their pairs.  Of a large group
-every member is first held against one head.  Where that leaves a group in several components,
-members that also show enough signatures outside such groups need nothing more; the others are
-compared block by block through parity sketches, whose distance never exceeds the true one.  So
-nothing is missed and no pairs are formed that the sketches rule out.  What is left is verified on
-the whole sets.
+every member is first held against one head, then against the best linked member of its largest
+component.  Where that leaves a group in several components, members that also show enough
+signatures outside such groups need nothing more; the others are compared block by block through
+parity sketches, whose distance never exceeds the true one.  Groups around the same component are
+compared together, so that near copies meet once.  Nothing is missed, and no pairs are formed that
+the sketches rule out.  What is left is verified on the whole sets.
 """
 
 from __future__ import annotations
