@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from .common import slices
 
 #: Unicode's white space, as the normaliser's pattern has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Most different words that a task remembers.
-REMEMBERED = 400_000
+#: Most different words, and beginnings of words, that a task remembers.
+REMEMBERED = 600_000
 #: A longer word is not remembered.
 SHORT = 64
 
@@ -66,8 +67,9 @@ class Bpe:
         self._letter = (-1, "", "")
         self._whole: dict[str, bool] = {}
         self._follows: dict[tuple[str, str], bool] = {}
-        # Ids of short words, and of short texts between white space.
-        self._words: dict[str, bytes] = {}
+        # Ends of tokens; the last token of words' beginnings; ids of short texts between white space.
+        self.tails = {"".join(symbols[i:]) for symbols in map(self._symbols, self.vocab) for i in range(len(symbols))}
+        self._states: dict[str, str] = {}
         self._known: dict[str, bytes] = {}
 
     def _symbols(self, token: str) -> list[str]:
@@ -133,29 +135,40 @@ class Bpe:
             self._whole[token] = known
         return known
 
+    def _last(self, text: str, most: int, n: int, last: list[str | None], before_all: str | None, ended: bool) -> str | None:
+        """The token that ends the encoding of ``n`` symbols.
+
+        ``text`` ends with up to ``most`` of them, and with the word's end if ``ended``; ``last`` has
+        the shorter ends.
+        """
+        length, tails, ending = self.length, self.tails, []
+        letters = len(text) - (len(self.end) if ended else 0)
+        for size in range(1, most + 1):
+            token = text[letters - size :]
+            if token not in tails:
+                break
+            if length.get(token) == size:
+                ending.append((size, token))
+        for size, token in reversed(ending):  # at most one fits, mostly a long one
+            before = last[n - size] if n > size else before_all
+            if before is None and n > size:
+                continue
+            if self._alone(token) if before is None else self.follows(before, token):
+                return token
+        return None
+
     def transduce(self, symbols: Iterator[str]) -> Iterator[int]:
         """The ids of one word's symbols, each as soon as no further symbol can change it.
 
         ``last[k]`` is the token that ends the encoding of the first ``base + k`` symbols read.
         """
         window: list[str] = []
-        length = self.length
         last: list[str | None] = [None]
         base_text: str | None = None
         for symbol in symbols:
             window.append(symbol)
-            n, token, found, ending = len(window), "", None, []
-            for size in range(1, min(n, self.longest) + 1):
-                token = window[n - size] + token
-                if length.get(token) == size:
-                    ending.append((size, token))
-            for size, token in reversed(ending):  # at most one fits, mostly a long one
-                before = last[n - size] if n > size else base_text
-                if before is None and n > size:
-                    continue
-                if self._alone(token) if before is None else self.follows(before, token):
-                    found = token
-                    break
+            n = len(window)
+            found = self._last("".join(window[-self.longest :]), min(n, self.longest), n, last, base_text, len(symbol) > 1)
             last.append(found)
             if n >= self.lookahead + 2 * self.longest:
                 emitted = self._stable(last, n)
@@ -195,18 +208,36 @@ class Bpe:
 
     def word(self, word: str) -> bytes:
         """A pre-token's ids as little-endian unsigned 32-bit integers."""
-        known = self._words.get(word)
-        if known is not None:
-            return known
         letters = self.letters
         raw = word.encode("utf-8")
+        if len(raw) <= SHORT:
+            return self._short("".join([letters[b] for b in raw]))
         symbols = (letters[b] + (self.end if i == len(raw) - 1 else "") for i, b in enumerate(raw))
-        known = np.fromiter(self.transduce(symbols), np.dtype("<u4")).tobytes()
-        if len(word) <= SHORT:
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            self._words[word] = known
-        return known
+        return np.fromiter(self.transduce(symbols), np.dtype("<u4")).tobytes()
+
+    def _short(self, text: str) -> bytes:
+        """The transducer for a short word: its states for the beginnings of words are remembered, and shared by all words."""
+        states, last, n = self._states, [None], len(text)
+        for k in range(1, n):
+            begin = text[:k]
+            token = states.get(begin)
+            if token is None:
+                token = self._last(begin, min(k, self.longest), k, last, None, False)
+                if token is None:
+                    raise ValueError("the vocabulary lacks a letter")
+                if len(states) >= REMEMBERED:
+                    states.clear()
+                states[begin] = token
+            last.append(token)
+        last.append(self._last(text + self.end, min(n, self.longest), n, last, None, True))
+        out, at = [], n
+        while at:
+            token = last[at]
+            if token is None:
+                raise ValueError("the vocabulary lacks a letter")
+            out.append(self.vocab[token])
+            at -= self.length[token]
+        return struct.pack(f"<{len(out)}I", *reversed(out))
 
     def chunk(self, chunk: str) -> bytes:
         """The ids of a normalised text without white space."""
