@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import materialise, slices
 from .quality_rules import text_counts
 
 #: Labelled texts of each label that the model keeps at most.
@@ -107,10 +107,12 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` texts of each label of ``labels.quality``, those whose hashed ids come first.
 
-    Held-out rows, null ids and labels other than 0 and 1 take no part.  Several labels of one id
-    count as its largest.  Only the sample's features reach the driver.
+    Held-out rows, null ids, ids that ``docs`` has not and labels other than 0 and 1 take no part, in
+    the sample or in the shares of the labels.  Several labels of one id count as its largest.  Only
+    the sample's features reach the driver.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("good"))
+    known = materialise(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
     by_label = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
     chosen = [known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for g in (0, 1)]
     # At most 2 * sample rows of two numbers, whatever the size of the corpus.

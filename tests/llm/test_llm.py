@@ -147,6 +147,18 @@ def test_quality_classifier_held_out(spark):
     assert all(r["score"] == 0.5 for r in quality_classifier.classify(docs, labels.limit(0)).collect())
 
 
+def test_quality_classifier_samples_what_the_docs_have(spark):
+    labels = spark.createDataFrame([(i, int(i >= 400), 0) for i in range(800)], "doc_id long, quality int, toxic int")
+    free = [(r["doc_id"], r["quality"]) for r in labels.where(~quality_classifier.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    # Of each label the docs have the ids that come last: 30 of label 0, 10 of label 1.
+    ids = [i for i, g in free if g == 0][-30:] + [i for i, g in free if g == 1][-10:]
+    docs = frame(spark, [prose(random.Random(i), 30) for i in range(800)]).where(F.col("doc_id").isin(ids))
+    model = quality_classifier.fit(docs, labels, sample=20)
+    assert [int((model.good == g).sum()) for g in (0, 1)] == [20, 10]
+    # Shares and weights are those of the 40 labelled rows that the docs have.
+    assert model.prior == 0.25 and model.weight[model.good == 0] == pytest.approx(1) and model.weight[model.good == 1] == pytest.approx(10 / 10 / (30 / 20))
+
+
 # --- 4: pages ---
 
 
