@@ -26,7 +26,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of hex digits that are long enough; a shorter run fails as a whole.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: One of these in the 64 characters before a string makes its context sensitive (fixed values).
-SENSITIVE = ["auth", "bearer", "cert", "client", "cookie", "cred", "hmac", "jwt", "key", "login", "nonce", "passphrase", "private", "pwd", "salt", "session", "sign", "webhook"]
+SENSITIVE = [
+    "api", "auth", "bearer", "cert", "client", "cookie", "cred", "hmac", "jwt", "key", "login", "nonce", "passphrase", "passwd", "password", "private", "pwd", "salt", "secret", "session", "sign", "token", "webhook",
+]
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _NEAR = re.compile("|".join(SENSITIVE))
 #: Names that primes the compressor (fixed values).

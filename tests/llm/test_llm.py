@@ -84,6 +84,14 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_secrets_behind_the_most_sensitive_words(spark):
+    value = "Zx9kQ2mLp7Rt4WvB8nYc1sD"
+    texts = [f"run --token {value}", f"the secret is {value}", f"<secret>{value}</secret>", f'token = new Token("{value}")', f"password -> {value}", f"passwd {value}", f"api {value}"]
+    texts += ["the secret is misunderstandings", "token your-api-key-here-123 end"]
+    got = secrets.scan(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["found"] for r in got] == [[value]] * 7 + [[], []]
+
+
 # --- 3, 8: quality ---
 
 
