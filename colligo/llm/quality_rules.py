@@ -33,7 +33,7 @@ SHARE = 0.75
 FLOORS = (0.12, 0.25, 0.25, 0.25, 0.25)
 #: A text is an outlier beyond this Mahalanobis distance.
 CUTOFF = 6.0
-#: Groups of fewer rows are judged by the estimate over all rows of their language, or over all rows.
+#: The rows that the wider estimate (a language's, or that of all rows) counts for in a group's own.
 LEAST_GROUP = 200
 STEPS = 4
 
@@ -204,11 +204,45 @@ def fit(counts: DataFrame) -> DataFrame:
     return params
 
 
+def _blends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    p = len(FLOORS)
+    for pdf in batches:
+        centre, inverse = [], []
+        for r in pdf.itertuples():
+            at, cov = np.zeros(p), np.zeros((p, p))
+            for k, (rows, c, i) in enumerate(zip(r.chain_rows, r.chain_centre, r.chain_inverse)):
+                share = rows / (rows + LEAST_GROUP) if k else 1.0
+                at = share * np.asarray(c) + (1 - share) * at
+                cov = share * np.linalg.inv(np.reshape(i, (p, p))) + (1 - share) * cov
+            centre.append(at)
+            inverse.append(np.linalg.inv(cov).ravel())
+        yield pdf[["level", "lang", "source", "rows"]].assign(centre=centre, inverse=inverse)
+
+
+def blended(params: DataFrame) -> DataFrame:
+    """``params`` with each language's estimate blended with that of all texts, and each source's with its language's so blended.
+
+    An estimate's share is its rows in its rows and LEAST_GROUP, so no number of rows switches from one to another.
+    """
+    at = lambda level, *names: params.where(f"level = {level}").select(*names, F.col("rows").alias(f"n{level}"), F.col("centre").alias(f"c{level}"), F.col("inverse").alias(f"i{level}"))
+    whole = at(2)
+    wide = at(1, "lang").join(F.broadcast(whole), F.lit(True))
+    own = at(0, "lang", "source").join(wide, "lang")
+    chain = lambda df, level, lang, source: df.select(
+        F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"), F.col(f"n{level}").alias("rows"),
+        *[F.array(*[f"{c}{k}" for k in range(2, level - 1, -1)]).alias(name) for c, name in (("n", "chain_rows"), ("c", "chain_centre"), ("i", "chain_inverse"))],
+    )
+    none = F.lit("")
+    every = chain(whole, 2, none, none).unionByName(chain(wide, 1, F.col("lang"), none)).unionByName(chain(own, 0, F.col("lang"), F.col("source")))
+    return every.mapInPandas(_blends, _PARAMS)
+
+
 def judged(counts: DataFrame, params: DataFrame) -> DataFrame:
-    """``counts`` with ``base_failed``, ``distance`` (null where no estimate is fit to judge) and ``kept``."""
-    own = params.where(f"level = 0 and rows >= {LEAST_GROUP}").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("centre").alias("_c0"), F.col("inverse").alias("_i0"))
-    wide = params.where(f"level = 1 and rows >= {LEAST_GROUP}").select(F.col("lang").alias("_w"), F.col("centre").alias("_c1"), F.col("inverse").alias("_i1"))
-    whole = params.where(f"level = 2 and rows >= {LEAST_GROUP}").select(F.col("centre").alias("_c2"), F.col("inverse").alias("_i2"))
+    """``counts`` with ``base_failed``, ``distance`` (null only where no text at all has ten words) and ``kept``."""
+    params = materialise(blended(params), "blended")
+    own = params.where("level = 0").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("centre").alias("_c0"), F.col("inverse").alias("_i0"))
+    wide = params.where("level = 1").select(F.col("lang").alias("_w"), F.col("centre").alias("_c1"), F.col("inverse").alias("_i1"))
+    whole = params.where("level = 2").select(F.col("centre").alias("_c2"), F.col("inverse").alias("_i2"))
     names = counts.columns
     df = counts.join(own, (_key("lang") == F.col("_l")) & (_key("source") == F.col("_s")), "left").join(wide, _key("lang") == F.col("_w"), "left").join(F.broadcast(whole), F.lit(True), "left")
     df = df.select(*names, *vector(), F.coalesce("_c0", "_c1", "_c2").alias("centre"), F.coalesce("_i0", "_i1", "_i2").alias("inverse"))

@@ -137,6 +137,22 @@ def test_robust_estimate_ignores_a_contaminated_quarter(spark):
     assert got == 300
 
 
+def test_small_tables_and_groups_are_judged(spark):
+    rng = random.Random(6)
+    strange = " ".join(w + "#$%&" for w in prose(rng, 60, 5000).split())
+    plain = [prose(rng, rng.randrange(30, 200), 5000) for _ in range(60)]
+    rows = quality_rules.quality(frame(spark, [*plain, strange])).collect()
+    assert all(r["distance"] is not None and r["kept"] == (r["doc_id"] < 60) for r in rows)
+    # A text is judged nearly alike whether its group has 199 rows or 200.
+    far = {}
+    for n in (199, 200):
+        other = [(i, prose(random.Random(i), 80, 5000), "en", "s", 0) for i in range(1000)]
+        capitals = [(1000 + i, prose(random.Random(i), 80, 5000).replace("w", "W" if i % 2 else "WW"), "en", "t", 0) for i in range(n)]
+        got = quality_rules.quality(spark.createDataFrame(other + capitals, DOCS)).where("doc_id = 1000").collect()
+        far[n] = got[0]["distance"]
+    assert far[199] == pytest.approx(far[200], rel=0.05)
+
+
 def test_quality_classifier_held_out(spark):
     rng = random.Random(4)
     good = [prose(rng, rng.randrange(20, 120)) for _ in range(300)]
