@@ -28,8 +28,11 @@ _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^'
 _WORDS = re.compile(r"[a-z]+")
 #: Elements without an end, elements whose content is never text, and elements that stand in a line (fixed values).
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = set("script style noscript template svg math head title iframe object select textarea canvas audio video".split())
+_HIDDEN = set("script style noscript template svg head title iframe object select textarea canvas audio video".split())
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE |= set("math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Hidden elements that hold no other elements: if the end tag is missing, the rest of the page is theirs.
+_RAW = set("script style title iframe textarea".split())
 #: A start of one of these ends an open one of the same kind.
 _ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in names of elements that say what they are for (fixed values).
@@ -81,6 +84,24 @@ def _text_features(text: str, linked: int) -> list[str]:
     return out
 
 
+def _first(tags: str, page: str, at: int, none: int) -> int:
+    """Where the first of ``tags`` begins from ``at`` on, or ``none``."""
+    m = re.compile(rf"(?:{tags})(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII).search(page, at)
+    return m.start() if m else none
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """For each start tag of an element that has an end tag: where the start tag ends, and where the end tag begins."""
+    waiting, out = [], {}
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", page, re.IGNORECASE | re.ASCII):
+        if m[1]:
+            if waiting:
+                out[waiting.pop()] = m.start()
+        elif (start := _TAG.match(page, m.start())) and not start[2].endswith("/"):
+            waiting.append(start.end())
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order.  Unclosed and crossed elements are taken as a browser would, more or less."""
     out: list[Block] = []
@@ -89,7 +110,7 @@ def blocks(page: str) -> list[Block]:
     own = ""  # the innermost block element
     parts: list[str] = []
     links, linked, at, n = 0, 0, 0, len(page)
-    lower = None
+    ends: dict[str, dict[int, int]] = {}
 
     def close():
         nonlocal linked
@@ -139,13 +160,16 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
         elif tag in _HIDDEN:
-            lower = page.lower() if lower is None and len(page) == len(page.lower()) else (lower or page)
-            e = lower.find(f"</{tag}", at)
-            if tag == "head":  # a page may leave its end out
-                b = lower.find("<body", at)
-                e = b if e < 0 or 0 <= b < e else e
             if not m[2].endswith("/"):
-                at = n if e < 0 else e
+                if tag in _RAW:
+                    at = _first(f"</{tag}", page, at, n)
+                elif tag == "head":  # a page may leave its end out
+                    e = _first("</head|<body", page, at, n)
+                    at = e if e < n else at
+                else:
+                    if tag not in ends:
+                        ends[tag] = _ends(page, tag)
+                    at = ends[tag].get(at, at)
             close()
             continue
         elif tag in _INLINE:

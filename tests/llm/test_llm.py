@@ -191,6 +191,19 @@ def test_html_blocks():
     assert [b.text for b in html_text.blocks(page)] == ["m", "A & B", "onetwo three", "four five &am", "tail"]
 
 
+def test_html_unclosed_hidden_elements():
+    text = lambda page: " ".join(b.text for b in html_text.blocks(page))
+    for tag in "select object svg canvas audio video noscript template".split():
+        assert text(f"<article><p>one</p><{tag}><p>two</p></article>") == "one two"
+        assert text(f"<article><p>one</p><{tag}><p>two</p><{tag}>hidden</{tag}><p>three</p></article>") == "one two three"
+        assert text(f"<p>one</p><{tag}>hidden<{tag}>hidden</{tag}>hidden</{tag.upper()}><p>two</p>") == "one two"
+    assert text("<head><title>x</title><article><header>one</header></article>") == "one"
+    assert text("<p>one</p><script>two") == "one"
+    assert text("<p>\u0130</p><script>x</SCRIPT><style>y</STYLE ><p>two</p>") == "\u0130 two"
+    assert text("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>") == "If x=2 then"
+    assert len(html_text.blocks("<select>" * 50000 + "<p>one</p>")) == 1
+
+
 def test_html_main_text(spark):
     model = html_text.train(html_text.training_pages())
     held, errors = 0, 0
