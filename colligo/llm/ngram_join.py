@@ -338,7 +338,7 @@ def _block_pairs(percent: int, nearest: bool):
 
 
 def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The exact similarity join of ``docs`` (``doc_id``, ``text``) with itself.
+    """Links that connect what is similar in ``docs`` (``doc_id``, ``text``): a subset of the similarity join with itself.
 
     Returns ``(documents, links)``: one row ``(doc_id, n_shingles, class)`` for each document, and
     one row ``(a, b)`` for each link found between classes of equal sets.  All links between
