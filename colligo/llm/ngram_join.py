@@ -8,13 +8,14 @@ one of them at least.  How many segments a band has is chosen by cost: fewer seg
 and collide less, but leave more texts short of h+1.  Those few texts also show the one-deletion
 neighbourhoods of their segments, where a segment counts twice, since one difference is allowed in it.
 
-Texts with one signature are candidates.  Small groups give all their pairs.  Of a large group
-every member is first held against one head, then against the best linked member of its largest
-component.  Where that leaves a group in several components, members that also show enough
-signatures outside such groups need nothing more; the others are compared block by block through
-parity sketches, whose distance never exceeds the true one.  Groups around the same component are
-compared together, so that near copies meet once.  Nothing is missed, and no pairs are formed that
-the sketches rule out.  What is left is verified on the whole sets.
+Texts with one signature are candidates.  Small groups give all their pairs.  A group that is large
+among the texts of one task is told there and only its head is sent on, so that no task gets all
+members of a common signature.  Of a large group every member is first held against a head, then
+against the best linked member of its largest component.  Where that leaves a group in several
+components, texts with too few signatures outside such groups are compared with all members, block
+by block, through parity sketches, whose distance never exceeds the true one.  Groups around the same
+component are compared together, so that near copies meet once.  Nothing is missed, and no pairs are
+formed that the sketches rule out.  What is left is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, small, split_words
+from .common import discard, materialise, mix, slices, small, split_words
 from .components import components
 
 #: Odd multipliers, one for each place in a shingle (fixed values).
@@ -42,9 +43,9 @@ _BAND = 1.5
 #: Largest group of texts with one signature that gives all its pairs.
 SMALL_GROUP = 12
 #: Texts of a large group that others are compared with at once.
-BLOCK = 4096
-#: Times that a better linked member is held against the rest of a large group.
-HUB_ROUNDS = 2
+BLOCK = 1024
+#: Signatures that a task gathers before it sends them on, which bounds its memory.
+GATHERED = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
@@ -167,100 +168,166 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-#: What the tasks that make the signatures and those that group them send on.  doc: a text's set
-#: (a class).  pair: two classes that may be similar.  common: a class in a large group.
-_SCHEMA = "kind string, doc_id long, n long, a long, b long, spare long, sketch binary, wide binary"
-_SENT = "part int, docs binary, sigs binary, nodes binary"
+#: What the tasks that make the signatures and those that group them tell.  doc: a text (a: its
+#: class, which is its set; b: the text's hash).  class: a set.  pair: two classes that may be
+#: similar.  common: a class in a large group (b: the group).
+_TOLD = "kind string, doc_id long, n long, a long, b long, spare long, sketch binary"
+_TYPES = {"doc_id": pa.int64(), "n": pa.int64(), "a": pa.int64(), "b": pa.int64(), "spare": pa.int64(), "sketch": pa.binary()}
+#: A message to the task that groups part ``part``: rows to tell, or signatures, who shows them, and which stand for a large group.
+_SENT = "part int, told binary, sigs binary, nodes binary, large binary"
+
+
+def _rows(kind: str, count: int, /, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * count, pa.string())] + [columns[k] if k in columns else pa.nulls(count, t) for k, t in _TYPES.items()], ["kind", *_TYPES])
+
+
+def _class_of(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _low(sigs: np.ndarray) -> bytes:
+    """The six low bytes of each signature; the part that it is sent to is the rest."""
+    return sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _group_names(low: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return (low & np.uint64((1 << 48) - 1)) | (part.astype(np.uint64) << np.uint64(48))
+
+
+def _members(nodes: np.ndarray) -> bytes:
+    """Classes, as numbers in a list of the different ones if that is shorter."""
+    few, at = np.unique(nodes, return_inverse=True)
+    at = at.astype(np.min_scalar_type(max(len(few) - 1, 0)))
+    if few.nbytes + at.nbytes < nodes.nbytes:
+        return np.array([len(few), at.itemsize], np.int64).tobytes() + few.tobytes() + at.tobytes()
+    return np.array([0, 0], np.int64).tobytes() + nodes.tobytes()
+
+
+def _members_of(raw: bytes) -> np.ndarray:
+    few, width = np.frombuffer(raw, np.int64, 2).tolist()
+    if not few:
+        return np.frombuffer(raw, np.int64, -1, 16)
+    return np.frombuffer(raw, np.int64, few, 16)[np.frombuffer(raw, f"<u{width}", -1, 16 + 8 * few)]
+
+
+def _starred(first: np.ndarray, large: np.ndarray, size: np.ndarray, names: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What is told of large groups: their members, and each of them with the group's head."""
+    which, head = np.repeat(large, size), np.repeat(nodes[first], size)
+    yield _rows("common", int(which.sum()), a=pa.array(nodes[which]), b=pa.array(names[which].view(np.int64)))
+    star = which & (head != nodes)
+    yield from _pairs(head[star], nodes[star])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    for i in range(0, len(found), 1 << 16):
+        part = found[i : i + (1 << 16)]
+        yield _rows("pair", len(part), a=pa.array(part[:, 0]), b=pa.array(part[:, 1]))
+
+
+def _posted(sigs: list[np.ndarray], classes: list[int], parts: int) -> Iterator[pa.RecordBatch]:
+    """The messages of some classes' signatures, one for each part.
+
+    A group that is large among these classes alone is told here; only its head is sent on, so no
+    task ever gets all members of a common signature.
+    """
+    sig, who = np.concatenate(sigs), np.repeat(np.array(classes, np.int64), [len(s) for s in sigs])
+    order = np.lexsort((who, sig))
+    sig, who = sig[order], who[order]
+    part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(first, len(sig)))
+    large = size > SMALL_GROUP
+    standing = np.repeat(large, size)
+    if large.any():
+        yield from (_message(int(part[0]), told=[x]) for x in _starred(first, large, size, _group_names(sig, part), who))
+        sent = ~standing
+        sent[first] = True
+        sig, who, part, standing = sig[sent], who[sent], part[sent], standing[sent]
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+    for s, e in zip(cut, cut[1:] + [len(sig)]):
+        yield _message(int(part[s]), _low(sig[s:e]), _members(who[s:e]), np.packbits(standing[s:e]).tobytes() if standing[s:e].any() else b"")
+
+
+def _message(part: int, sigs: bytes | None = None, nodes: bytes | None = None, large: bytes | None = None, told: list[pa.RecordBatch] | None = None) -> pa.RecordBatch:
+    raw = None
+    if told:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, told[0].schema) as out:
+            for x in told:
+                out.write_batch(x)
+        raw = sink.getvalue().to_pybytes()
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (raw, sigs, nodes, large))], ["part", "told", "sigs", "nodes", "large"])
 
 
 def _signal(percent: int, words: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        sigs: list[np.ndarray] = []
+        classes: list[int] = []
+        held = 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = shingle_sets(piece.column("text"), words)
-                nodes = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
-                met, sigs, whose, rows = set(), [], [], []
-                for node, own in zip(nodes.tolist(), sets):
+                nodes, new = [_class_of(s) for s in sets], {"a": [], "n": [], "spare": [], "sketch": []}
+                for node, own in zip(nodes, sets):
                     if node not in met and len(own):
                         met.add(node)
                         mine, spare = signatures(own, percent)
                         sigs.append(mine)
-                        whose.append(np.full(len(mine), node, np.int64))
-                        rows.append({"a": node, "n": len(own), "spare": spare, "sketch": sketch(own), "wide": sketch(own, 2)})
-                docs = pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "a": pa.array(nodes)})
-                sink = pa.BufferOutputStream()
-                told = pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary())]))
-                for x in (docs, told):
-                    with pa.ipc.new_stream(sink, x.schema) as out:
-                        out.write_batch(x)
-                out_part, out_docs, out_sigs, out_nodes = [int(abs(int(nodes[0])) % parts)], [sink.getvalue().to_pybytes()], [b""], [b""]
-                if sigs:
-                    sig, who = np.concatenate(sigs), np.concatenate(whose)
-                    order = np.argsort(sig, kind="stable")
-                    sig, who = sig[order], who[order]
-                    part = (((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-                    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
-                    for s, e in zip(cut, cut[1:] + [len(sig)]):
-                        out_part.append(int(part[s]))
-                        out_docs.append(None)
-                        out_sigs.append(sig[s:e].tobytes())
-                        few, at = np.unique(who[s:e], return_inverse=True)
-                        out_nodes.append(np.array([len(few)], np.int64).tobytes() + few.tobytes() + at.astype(np.uint16 if len(few) < 65536 else np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_docs, pa.binary()), pa.array(out_sigs, pa.binary()), pa.array(out_nodes, pa.binary())], ["part", "docs", "sigs", "nodes"])
+                        classes.append(node)
+                        held += len(mine)
+                        for c, x in zip(new, (node, len(own), spare, sketch(own))):
+                            new[c].append(x)
+                docs = _rows("doc", len(sets), doc_id=piece.column("doc_id").cast(pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()), a=pa.array(nodes, pa.int64()), b=piece.column("hash"))
+                told = _rows("class", len(new["a"]), **{c: pa.array(x, _TYPES[c]) for c, x in new.items()})
+                yield _message(abs(nodes[0]) % parts, told=[docs, told])
+                if held >= GATHERED:
+                    yield from _posted(sigs, classes, parts)
+                    met, sigs, classes, held = set(), [], [], 0
+        if sigs:
+            yield from _posted(sigs, classes, parts)
 
     return run
 
 
-def _rows(kind: str, count: int, /, **columns) -> pa.RecordBatch:
-    types = {"doc_id": pa.int64(), "n": pa.int64(), "a": pa.int64(), "b": pa.int64(), "spare": pa.int64(), "sketch": pa.binary(), "wide": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([kind] * count, pa.string())] + [columns[k] if k in columns else pa.nulls(count, t) for k, t in types.items()], ["kind", *types])
-
-
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sigs, whose = [], []
+    names, whose, standing = [], [], []
     for batch in batches:
-        for docs, sig, node in zip(*(batch.column(c).to_pylist() for c in ("docs", "sigs", "nodes"))):
-            if docs is not None:
-                source = pa.BufferReader(docs)
-                for kind in ("doc", "class"):
-                    for x in pa.ipc.open_stream(source):
-                        yield _rows(kind, x.num_rows, **{c: x.column(c) for c in x.schema.names})
-            if sig:
-                sigs.append(np.frombuffer(sig, np.uint64))
-                few = int(np.frombuffer(node, np.int64, 1)[0])
-                names = np.frombuffer(node, np.int64, few, 8)
-                whose.append(names[np.frombuffer(node, np.uint16 if few < 65536 else np.uint32, -1, 8 + 8 * few)])
-    if not sigs:
+        for part, told, sigs, nodes, large in zip(*(batch.column(c).to_pylist() for c in ("part", "told", "sigs", "nodes", "large"))):
+            if told is not None:
+                yield from pa.ipc.open_stream(told)
+            if sigs:
+                n = len(sigs) // 6
+                low = np.zeros((n, 8), np.uint8)
+                low[:, :6] = np.frombuffer(sigs, np.uint8).reshape(-1, 6)
+                names.append(_group_names(low.view("<u8")[:, 0], np.full(n, part)))
+                whose.append(_members_of(nodes))
+                standing.append(np.unpackbits(np.frombuffer(large, np.uint8))[:n].astype(bool) if large else np.zeros(n, bool))
+    if not names:
         return
-    sig, node = np.concatenate(sigs), np.concatenate(whose)
-    del sigs, whose
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-    sig, node = sig[new], node[new]
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    size = np.diff(np.append(first, len(sig)))
-    pairs = []
-    for k in np.unique(size[(size > 1) & (size <= SMALL_GROUP)]).tolist():
-        at = first[size == k]
+    name, node, stands = np.concatenate(names), np.concatenate(whose), np.concatenate(standing)
+    del names, whose, standing
+    order = np.lexsort((node, name))
+    name, node, stands = name[order], node[order], stands[order]
+    groups = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    stands = np.logical_or.reduceat(stands, groups)
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (node[1:] != node[:-1])])
+    name, node = name[new], node[new]
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    size = np.diff(np.append(first, len(name)))
+    large = (size > SMALL_GROUP) | stands
+    one, two = [], []
+    for k in np.unique(size[(size > 1) & ~large]).tolist():
+        at = first[(size == k) & ~large]
         for i in range(k):
             for j in range(i + 1, k):
-                pairs.append(np.stack([node[at + i], node[at + j]]))
-    large = size > SMALL_GROUP
+                one.append(node[at + i])
+                two.append(node[at + j])
+    if one:
+        yield from _pairs(np.concatenate(one), np.concatenate(two))
     if large.any():
-        which = np.repeat(large, size)
-        head = np.repeat(node[first], size)
-        star = which & (head != node)
-        pairs.append(np.stack([head[star], node[star]]))
-        yield _rows("common", int(which.sum()), a=pa.array(node[which]), b=pa.array(sig[which].view(np.int64)))
-    if pairs:
-        found = np.concatenate(pairs, 1)
-        order = np.lexsort(found)
-        found = found[:, order]
-        found = found[:, np.concatenate([[True], (found[:, 1:] != found[:, :-1]).any(0)])]
-        for i in range(0, found.shape[1], 1 << 16):
-            part = found[:, i : i + (1 << 16)]
-            yield _rows("pair", part.shape[1], a=pa.array(part[0]), b=pa.array(part[1]))
+        yield from _starred(first, large, size, name, node)
 
 
 def _near(percent: int):
@@ -297,6 +364,18 @@ def _verify(percent: int, words: int):
     return run
 
 
+def _widened(words: int):
+    """Adds a class's wide sketch to its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                wide = [sketch(s, 2) for s in shingle_sets(piece.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(wide, pa.binary())], [*piece.schema.names, "wide"])
+
+    return run
+
+
 def _folded(sketches: pd.Series, cells: int) -> np.ndarray:
     """Sketches of one length, one in a row, folded to ``cells``."""
     out = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
@@ -309,8 +388,8 @@ def _folded(sketches: pd.Series, cells: int) -> np.ndarray:
 def _block_pairs(percent: int, nearest: bool):
     """Compares the probers of a block with the probed of another; keeps what wide sketches allow.
 
-    Classes of one component are not compared.  ``nearest``: of a prober's partners in one
-    component only the closest, as one link is enough.
+    Classes of one component are not compared.  ``nearest``: of a prober's partners in one component
+    only the closest, as one link is enough.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -320,7 +399,7 @@ def _block_pairs(percent: int, nearest: bool):
         for (cells, left), (other, right) in ((x, y) for x in one.groupby("cells") for y in two.groupby("cells")):
             fewer = int(min(cells, other))
             x, y = _folded(left.wide, fewer), _folded(right.wide, fewer)
-            n, k, a, b, la, lb = left.n.to_numpy(), right.n.to_numpy(), left.a.to_numpy(), right.a.to_numpy(), left.label.to_numpy(), right.label.to_numpy()
+            (n, a, la), (k, b, lb) = ([side[c].to_numpy() for c in ("n", "a", "label")] for side in (left, right))
             for i in range(len(left)):
                 ok = np.flatnonzero((lb != la[i]) & (100 * np.minimum(n[i], k) >= percent * np.maximum(n[i], k)))
                 far = np.bitwise_count(x[i] ^ y[ok]).sum(1, dtype=np.int64)
@@ -337,75 +416,77 @@ def _block_pairs(percent: int, nearest: bool):
     return run
 
 
+def _hash(text: str = "text"):
+    return F.xxhash64(text)
+
+
 def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[DataFrame, DataFrame]:
     """Links that connect what is similar in ``docs`` (``doc_id``, ``text``): a subset of the similarity join with itself.
 
     Returns ``(documents, links)``: one row ``(doc_id, n_shingles, class)`` for each document, and
     one row ``(a, b)`` for each link found between classes of equal sets.  All links between
     different components of the rest are there; inside a component there may be more links than
-    are listed.  Documents without words have an empty set and no links.
+    are listed.  Documents without words have an empty set and no links.  ``doc_id`` is a whole
+    number; it may be null or repeated, with equal texts or others.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     docs = docs.select("doc_id", "text")
-    sent = docs.mapInArrow(_signal(percent, words, parts), _SENT)
-    told = materialise(sent.repartition(parts, "part").mapInArrow(_group, _SCHEMA), "signatures")
+    sent = docs.withColumn("hash", _hash()).mapInArrow(_signal(percent, words, parts), _SENT)
+    told = materialise(sent.repartitionById(parts, "part").mapInArrow(_group, _TOLD), "told")
     texts = told.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("class"))
-    classes = told.where("kind = 'class'").select("a", "n", "spare", "sketch", "wide").dropDuplicates(["a"])
-    classes = materialise(classes, "classes")
-    heads = texts.where("n_shingles > 0").groupBy(F.col("class").alias("a")).agg(F.min("doc_id").alias("doc_id"))
-
-    def verified(pairs: DataFrame, sketched: bool) -> DataFrame:
+    classes = materialise(told.where("kind = 'class'").select("a", "n", "spare", "sketch").dropDuplicates(["a"]), "classes")
+    common = materialise(told.where("kind = 'common'").select("a", F.col("b").alias("sig")).distinct(), "common")
+    heads = told.where("kind = 'doc' and n > 0").groupBy("a").agg(F.min(F.struct("doc_id", "b")).alias("head"))
+
+    def held(wanted: DataFrame, name: str) -> DataFrame:
+        """``(a, text)``: one text of each class of ``wanted``, found again by its hash and id, as neither needs to be there once only."""
+        places = materialise(wanted.distinct().join(heads, "a").select("a", F.col("head.doc_id").alias("_id"), F.col("head.b").alias("_hash")), "places")
+        found = docs.join(small(places), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == _hash()))
+        out = materialise(found.groupBy("a").agg(F.first("text").alias("text")), name)
+        discard(places)
+        return out
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs that their narrow sketches allow."""
         side = lambda x: classes.select(F.col("a").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        pairs = pairs.distinct()
-        if sketched:
-            pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
-        pairs = materialise(pairs, "pairs")
-        wanted = materialise(pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().join(heads, "a"), "wanted")
-        whole = docs.join(small(wanted), "doc_id").groupBy("a").agg(F.max("text").alias("text"))
-        whole = materialise(whole, "texts")
-        text = lambda x: whole.select(F.col("a").alias(x), F.col("text").alias(f"t{x}"))
-        return materialise(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent, words), "a long, b long"), "verified")
-
-    links = verified(told.where("kind = 'pair'").select("a", "b"), True)
-    common = told.where("kind = 'common'").select("a", F.col("b").alias("sig"))
-    if not common.limit(1).count():
+        return materialise(pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long"), "likely")
+
+    def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        """The pairs whose sets have the similarity; ``whole`` has the texts of their classes."""
+        ends = materialise(_ends(pairs), "ends")
+        few = whole.join(small(ends), "a", "left_semi")
+        text = lambda x: few.select(F.col("a").alias(x), F.col("text").alias(f"t{x}"))
+        found = materialise(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent, words), "a long, b long"), "links")
+        discard(ends)
+        return found
+
+    pairs = likely(told.where("kind = 'pair'").select("a", "b"))
+    whole = held(_ends(pairs), "texts")
+    links = verified(pairs, whole)
+    discard(pairs, whole)
+    open_ = _open_groups(common, links)
+    if open_.isEmpty():
         return texts, links
-    for _ in range(HUB_ROUNDS):
-        # The best linked member of a group's largest component is held against the other components.
-        marked = _open_groups(common, links)
-        ends = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
-        ranked = marked.join(ends, "a", "left").groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.coalesce("degree", F.lit(0)), F.col("a").alias("hub"))).alias("best"))
-        hubs = ranked.groupBy("sig").agg(F.max(F.struct("many", "best", "label")).alias("x")).select("sig", F.col("x.best.hub").alias("hub"), F.col("x.label").alias("of"))
-        pairs = marked.join(hubs, "sig").where("label != of").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
-        links = links.union(verified(pairs, True))
+    whole = materialise(held(open_.select("a"), "members").mapInArrow(_widened(words), "a long, text string, wide binary"), "members")
+    # The best linked member of a group's largest component is held against the other components.
+    ends = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
+    ranked = open_.join(ends, "a", "left").groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.coalesce("degree", F.lit(0)), F.col("a").alias("hub"))).alias("best"))
+    hubs = ranked.groupBy("sig").agg(F.max(F.struct("many", "best", "label")).alias("x")).select("sig", F.col("x.best.hub").alias("hub"), F.col("x.label").alias("of"))
+    pairs = likely(open_.join(hubs, "sig").where("label != of").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")))
+    links = links.union(verified(pairs, whole))
     # First the closest partners, as most components meet through them; then all that are left.
-    links = links.union(verified(_compared(common, links, classes, percent, True), False))
-    return texts, links.union(verified(_compared(common, links, classes, percent, False), False))
+    for nearest in (True, False):
+        discard(open_)
+        open_ = _open_groups(common, links)
+        pairs = materialise(_compared(open_, classes, whole, percent, nearest).distinct(), "pairs")
+        links = links.union(verified(pairs, whole))
+    discard(open_, whole, common)
+    return texts, links
 
 
-def _compared(common: DataFrame, links: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Candidates ``(a, b)`` of groups still in several components, of members with too few signatures elsewhere.
-
-    Groups with the same largest component are compared as one: near copies share a group in most of
-    their signatures, and so meet once.
-    """
-    marked = _open_groups(common, links)
-    wanting = marked.groupBy("a").count().join(classes.select("a", "spare"), "a").where("count > spare").select("a")
-    marked = marked.join(wanting, "a")
-    ranked = marked.groupBy("sig", "label").agg(F.count("*").alias("many"))
-    several = ranked.groupBy("sig").agg(F.max(F.struct("many", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("sig", F.col("x.label").alias("around"))
-    members = materialise(marked.join(several, "sig").select("around", "a", "label").distinct(), "members")
-    probes = F.col("label") != F.col("around")
-    blocks = lambda rows: F.greatest(F.lit(1), F.ceil(rows / BLOCK)).cast("int")
-    sizes = members.groupBy("around").agg(blocks(F.count("*")).alias("js"), blocks(F.count_if(probes)).alias("is"))
-    members = members.join(sizes, "around").join(classes.select("a", "n", "wide"), "a").withColumn("h", F.xxhash64("a"))
-    # Members outside the largest component probe; all are probed.  Every block of the ones meets every block of the others.
-    own = lambda of: F.pmod("h", of).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    probed = members.select("around", "a", "label", "n", "wide", F.lit(1).alias("side"), own("js").alias("j"), every("is").alias("i"))
-    probing = members.where(probes).select("around", "a", "label", "n", "wide", F.lit(0).alias("side"), every("js").alias("j"), own("is").alias("i"))
-    return probing.unionByName(probed).groupBy("around", "i", "j").applyInPandas(_block_pairs(percent, nearest), "a long, b long")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
 
 
 def _open_groups(common: DataFrame, links: DataFrame) -> DataFrame:
@@ -413,40 +494,77 @@ def _open_groups(common: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links)
     marked = common.join(labels, F.col("a") == F.col("node"), "left").select("sig", "a", F.coalesce("label", "a").alias("label"))
     marked = materialise(marked, "marked")
-    open_ = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    return materialise(marked.join(open_, "sig"), "open")
+    several = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    out = materialise(marked.join(several, "sig"), "open")
+    discard(marked, labels)
+    return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id``, the smallest ``doc_id`` that links reach, for each row of ``docs``.
+def _compared(open_: DataFrame, classes: DataFrame, whole: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidates ``(a, b)`` of groups in several components, where one at least has too few signatures elsewhere.
 
-    Empty and null texts are alone.  Repeated rows are copies and so linked; a null ``doc_id`` has a
-    row of its own and is never a component's id unless it is alone.
+    Of two similar texts, the one whose shown segments end first agrees with the other on all of its
+    signatures but ``h``.  If it shows more than ``h`` outside open groups, they have met.  If not,
+    it wants to be compared with all members of its open groups, whatever those show elsewhere.
+
+    Groups with the same largest component are compared as one: near copies share a group in most of
+    their signatures, and so meet once.  In it, every block of the ones meets every block of the others.
     """
+    wants = open_.groupBy("a").count().join(classes.select("a", "n", "spare"), "a").select("a", "n", (F.col("count") > F.col("spare")).alias("wants"))
+    ranked = open_.groupBy("sig", "label").agg(F.count("*").alias("many"))
+    around = ranked.groupBy("sig").agg(F.max(F.struct("many", "label")).getField("label").alias("around"))
+    members = materialise(open_.join(around, "sig").select("around", "a", "label").distinct().join(wants, "a"), "members")
+    outside, wanting = F.col("label") != F.col("around"), F.col("wants")
+    # Wanting ones outside the largest component are held against all; those in it against the others outside.
+    meetings = [(outside & wanting, F.lit(True)), (outside & ~wanting, ~outside & wanting)]
+    blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+    sizes = members.groupBy("around").agg(*[blocks(which).alias(f"{side}{k}") for k, sides in enumerate(meetings) for side, which in zip(("is", "js"), sides)])
+    members = members.join(sizes, "around").where(" or ".join(f"is{k} > 0 and js{k} > 0" for k in range(len(meetings))))
+    members = members.join(whole.select("a", "wide"), "a").withColumn("h", F.xxhash64("a"))
+    own = lambda of: F.pmod("h", F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    dealt = []
+    for k, (probing, probed) in enumerate(meetings):
+        there = members.where(f"is{k} > 0 and js{k} > 0")
+        key = ["around", F.lit(k).alias("meeting"), "a", "label", "n", "wide"]
+        dealt.append(there.where(probing).select(*key, F.lit(0).alias("side"), own(f"is{k}").alias("i"), every(f"js{k}").alias("j")))
+        dealt.append(there.where(probed).select(*key, F.lit(1).alias("side"), every(f"is{k}").alias("i"), own(f"js{k}").alias("j")))
+    return reduce(DataFrame.unionByName, dealt).groupBy("around", "meeting", "i", "j").applyInPandas(_block_pairs(percent, nearest), "a long, b long")
+
+
+def labelled(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """``(doc_id, n_shingles, label)`` of each row of ``docs``: rows with words and one label are one component."""
     texts, links = similar_texts(docs, percent, words)
     labels = components(links)
-    least = texts.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    joined = least.join(labels, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("label", "class").alias("label"))
-    joined = materialise(joined, "joined")
-    of_label = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = joined.join(of_label, "label").select("class", "component_id")
-    full = texts.where("n_shingles > 0").join(of_class, "class", "left")
-    return full.select("doc_id", "n_shingles", "component_id").unionByName(texts.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return texts.join(labels, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "class").alias("label"))
 
 
-def first_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are the first of their near duplicates: the one with the component's id.
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, the smallest ``doc_id`` that links reach, for each row of ``docs``.
 
-    Of repeated rows with that id one stays.  Rows without words and rows with a null ``doc_id``
-    have no partner that could stand for them, and stay.
+    Empty and null texts are alone.  Repeated rows are copies and so linked; rows with one ``doc_id``
+    and other texts are rows of their own.  A null ``doc_id`` is a component's id only if no row of it has another.
     """
-    gone = near_duplicates(docs.select("doc_id", "text"), percent, words).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone, "gone")
-    kept = docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
-    return kept if kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() else _once(kept)
+    rows = materialise(labelled(docs, percent, words), "labelled")
+    least = rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    full = rows.where("n_shingles > 0").join(least, "label", "left")
+    return full.select("doc_id", "n_shingles", "component_id").unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows that repeat an earlier one's ``doc_id`` and text."""
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.where("doc_id is null"))
+def first_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that are the first of their near duplicates: the one with the smallest ``doc_id``, null last.
+
+    Rows are told apart by their place, not by their id: of equal ids the first row counts, and a
+    repeated id with another text stays.  Rows without words stay.
+    """
+    names = docs.columns
+    hidden = docs.toDF(*[f"_doc_{i}" for i in range(len(names))]).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(hidden, "rows")
+    own = lambda c: F.col(f"_doc_{names.index(c)}")
+    found = labelled(rows.select(F.col("_row").alias("doc_id"), own("text").alias("text")), percent, words).where("n_shingles > 0")
+    placed = materialise(found.select("label", F.col("doc_id").alias("_row")).join(rows.select("_row", own("doc_id").alias("id")), "_row"), "placed")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_row")
+    first = placed.groupBy("label").agg(F.min(order).getField("_row").alias("_row"))
+    gone = materialise(placed.select("_row").join(first, "_row", "left_anti"), "gone")
+    discard(placed)
+    return rows.join(small(gone), "_row", "left_anti").drop("_row").toDF(*names)

@@ -375,6 +375,55 @@ def test_join_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if label[i] == i]
 
 
+def test_join_with_ids_that_are_no_keys(spark):
+    """Ids may be null or repeated, with equal texts or others; every row counts for itself."""
+    rng = random.Random(17)
+    one, other, third, lone = (prose(rng, 60, 10**6) for _ in range(4))
+    rows = [(1, one), (1, other), (2, one + " more"), (None, other + " more"), (9, other + " and"), (None, third), (None, third + " more"), (4, lone), (4, lone), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOCS)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs.repartition(3)).collect()), key=str)
+    want = [(1, 56, 1), (1, 56, 1), (2, 57, 1), (None, 57, 1), (9, 57, 1), (None, 56, None), (None, 57, None), (4, 56, 4), (4, 56, 4), (4, 0, 4), (None, 0, None)]
+    assert got == sorted(want, key=str)
+    kept = sorted(r["n_chars"] for r in ngram_join.first_of_each(docs).collect())
+    # The first of each component (the second text's component has id 1 as well), and the rows without words.
+    assert kept[:2] == [0, 1] and kept[2] in (5, 6) and kept[3] in (7, 8) and kept[4:] == [9, 10]
+
+
+def test_join_of_large_groups_with_unlike_slack(spark):
+    """Hundreds of texts share passages in texts of several sizes, so that some have too few signatures elsewhere and others enough."""
+    rng = random.Random(18)
+    passages = [prose(rng, n, 10**6) for n in (60, 90, 120)]
+    texts = []
+    for k in range(150):
+        own = f"{passages[k % 3]} {prose(rng, rng.choice([12, 18, 26, 40]), 10**6)}"
+        texts += [own] + ([own + " " + prose(rng, rng.randrange(1, 30), 10**6)] if k % 2 else [])
+    rng.shuffle(texts)
+    sizes, label = classes_of(texts)
+    rows = {r["doc_id"]: r for r in ngram_join.near_duplicates(frame(spark, texts).repartition(5)).collect()}
+    assert [rows[i]["component_id"] for i in range(len(texts))] == label and [rows[i]["n_shingles"] for i in range(len(texts))] == sizes
+
+
+def test_messages_of_signatures(monkeypatch):
+    """What is sent in few or many parts, and told of large groups on the way, groups alike."""
+    rng = np.random.default_rng(5)
+    sigs = [np.unique(np.concatenate([rng.integers(0, 1 << 63, 40, dtype=np.uint64), np.arange(3, dtype=np.uint64) << np.uint64(61 - k % 2)])) for k in range(60)]
+    found = []
+    for parts, most in ((1, 60), (7, 60), (500, 60), (7, 9)):
+        told = collections.defaultdict(list)
+        for a in range(0, 60, most):
+            for m in ngram_join._posted(sigs[a : a + most], list(range(a, min(a + most, 60))), parts):
+                told[m.column("part")[0].as_py()].append(m)
+        rows = [r for part in told.values() for b in ngram_join._group(iter(part)) for r in b.to_pylist()]
+        found.append({r["a"] for r in rows if r["kind"] == "common"})
+        ends = collections.defaultdict(set)
+        for r in rows:
+            if r["kind"] == "pair":
+                ends[r["a"]].add(r["b"])
+                ends[r["b"]].add(r["a"])
+        assert len(ends) == 60
+    assert all(f == set(range(60)) for f in found)
+
+
 def test_signatures_meet_whenever_sets_are_similar():
     """The pigeonhole for sets of every small size, with no help of heads or hubs."""
     rng = np.random.default_rng(2)
