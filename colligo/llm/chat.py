@@ -56,13 +56,14 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first_mark = max(ranks.values()) + 2
+        self._roles: dict[str, list[int]] = {}
 
     def mark(self, name: str) -> int:
         return self.first_mark + MARKS[name]
 
     def segments(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A turn's ids, and +1 where its loss begins and -1 where it ends."""
-        role_ids, text_ids = (self.encoding.encode_ordinary_batch([escape(role), escape(text)], num_threads=1))
+        role_ids, text_ids = self._role(role), self.encoding.encode_ordinary(escape(text))
         ids = np.array([self.mark("<s>"), *role_ids, self.mark("\n"), *text_ids, self.mark("</s>")], np.uint32)
         border = np.zeros(len(ids), np.int8)
         if role == "assistant" and text_ids:
@@ -70,6 +71,15 @@ class Codec:
             border[-1] -= 1
         return ids, border
 
+    def _role(self, role: str) -> list[int]:
+        """A role's ids; there are few roles, so they are remembered, up to a bound."""
+        known = self._roles.get(role)
+        if known is None:
+            known = self.encoding.encode_ordinary(escape(role))
+            if len(self._roles) < 1024:
+                self._roles[role] = known
+        return known
+
     def read(self, ids: np.ndarray) -> str:
         return self.encoding.decode_bytes(ids.tolist()).decode("utf-8")
 
