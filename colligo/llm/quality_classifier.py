@@ -31,6 +31,8 @@ THRESHOLD = 0.7
 TRAITS, TRAIT_WEIGHT = 5, 3.0
 #: Texts whose products are taken together.
 BLOCK = 256
+#: Decimal digits of a cosine; what differs only beyond them is equal, whatever the block that it is computed in.
+DIGITS = 6
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -77,18 +79,27 @@ class Model:
         """The share of good among the nearest, by similarity; the share in all labels where nothing is similar."""
         out = np.empty(len(x))
         for i in range(0, len(x), BLOCK):
-            near = self.latent(x[i : i + BLOCK]) @ self.vectors.T
+            near = self.latent(x[i : i + BLOCK]).astype(float) @ self.vectors.T.astype(float)
+            near = np.round(near, DIGITS)
             k = min(NEIGHBOURS, near.shape[1])
             if not k:
                 out[i : i + BLOCK] = self.prior
                 continue
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            at = nearest(near, k)
             vote = np.maximum(np.take_along_axis(near, at, 1), 0) ** 4 * self.weight[at]
             total = vote.sum(1)
             out[i : i + BLOCK] = np.where(total > 0, (vote * self.good[at]).sum(1) / np.maximum(total, 1e-12), self.prior)
         return np.clip(out, 0, 1)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's ``k`` largest, in ascending order; of equals at the end those that come first."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    above, equal = near > least, near == least
+    chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(chosen)[1].reshape(len(near), k)
+
+
 def _featured(docs: DataFrame, carry: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` texts of each label of ``labels.quality``, those whose hashed ids come first.
 
     Held-out rows, null ids, ids that ``docs`` has not and labels other than 0 and 1 take no part, in
-    the sample or in the shares of the labels.  Several labels of one id count as its largest.  Only
-    the sample's features reach the driver.
+    the sample or in the shares of the labels.  Several labels of one id count as its largest, of
+    several texts of one id the smallest is learnt from.  Only the sample's features reach the driver.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("good"))
     known = materialise(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
@@ -117,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for g in (0, 1)]
     # At most 2 * sample rows of two numbers, whatever the size of the corpus.
     few = F.broadcast(chosen[0].union(chosen[1]))
-    rows = _featured(docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"]), ["doc_id", "good"]).orderBy("doc_id").collect()
+    rows = _featured(docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text")), ["doc_id", "good"]).orderBy("doc_id").collect()
     n = CELLS + TRAITS
     if not rows:
         return Model(np.ones(n, np.float32), np.zeros((n, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), 0.5)
