@@ -1,12 +1,11 @@
 """Packing of texts of unlike lengths into padded batches.
 
-Lengths are counted into one histogram; dynamic programming over it finds the bucket bounds with
-the least padding; inside each bucket consecutive texts make batches of one token budget.
+Lengths are counted into one histogram; dynamic programming over all of its lengths finds the bucket
+bounds with the least padding; inside each bucket consecutive texts make batches of one token budget.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,10 +15,8 @@ from .common import materialise
 BUCKETS = 16
 #: Tokens of a batch, padding included.
 BUDGET = 65_536
-#: Lengths up to EXACT are told apart one by one; above, so many steps double a length.
-EXACT, STEPS = 512, 128
-#: Texts of a bucket are numbered in so many parts.
-PARTS = 256
+#: Texts are numbered in parts of about so many.
+PART_ROWS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -27,41 +24,49 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]++")), F.lit(0)).cast("long")
 
 
-def cell(length: Column) -> Column:
-    """A length's cell of the histogram; cells keep the order of lengths and are about 1 % wide at most."""
-    above = F.floor(F.log2(length.cast("double") / EXACT) * STEPS).cast("int") + EXACT + 1
-    return F.when(length <= EXACT, length.cast("int")).otherwise(above)
+def best_bounds(longest: list[int], count: list[int], buckets: int) -> list[int]:
+    """The bucket bounds (largest lengths) with the least padding, exactly.
 
-
-def best_bounds(longest: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
-    """The bucket bounds (largest lengths) with the least padding.
-
-    ``longest`` ascends: each cell's largest length; ``count`` has the texts of each.  Padding only
-    depends on what a bucket's texts are padded to, so the cost of cells i..j is longest[j] times
-    their texts.
+    ``longest`` has the different lengths, ascending; ``count`` the texts of each.  Padding only depends
+    on what a bucket's texts are padded to, so a bucket of lengths i+1..j costs longest[j] times its
+    texts.  The best split before j is the lowest at longest[j] of lines with slopes that fall, one
+    for each i; both only move to the right, so a bucket more takes one walk over the lengths.
     """
     n = len(longest)
     if not n:
         return []
-    before = np.concatenate([[0], np.cumsum(count)]).astype(float)
-    cost = longest * before[1:]
-    choice = []
+    before = [0]
+    for c in count:
+        before.append(before[-1] + int(c))
+    # cost[j]: of the first j lengths; each choice says where the last bucket begins, or -1 where one bucket more is of no use.
+    cost, choices = [0, *(int(x) * c for x, c in zip(longest, before[1:]))], []
     for _ in range(1, min(buckets, n)):
-        new, at = cost.copy(), np.zeros(n, np.int64)
-        for j in range(n):
-            # A bucket of cells i+1..j after the best buckets of cells 0..i; at -1 there is none before.
-            split = cost[:j] + longest[j] * (before[j + 1] - before[1 : j + 1])
-            k = int(np.argmin(split)) if j else 0
-            new[j], at[j] = (split[k], k) if j and split[k] < cost[j] else (cost[j], -2)
-        choice.append(at)
+        new, at, hull, top = cost[:], [-1] * (n + 1), [], 0
+        for j in range(1, n + 1):
+            i = j - 1
+            if i:  # the line of i: cost[i] - x * before[i]
+                while len(hull) - top >= 2 and _covered(cost, before, hull[-2], hull[-1], i):
+                    hull.pop()
+                hull.append(i)
+            top = min(top, max(len(hull) - 1, 0))
+            x = int(longest[j - 1])
+            while top + 1 < len(hull) and cost[hull[top + 1]] - x * before[hull[top + 1]] <= cost[hull[top]] - x * before[hull[top]]:
+                top += 1
+            if hull and (split := cost[hull[top]] + x * (before[j] - before[hull[top]])) < cost[j]:
+                new[j], at[j] = split, hull[top]
+        choices.append(at)
         cost = new
-    bounds, j = [], n - 1
-    for at in reversed(choice):
-        if at[j] == -2:
-            continue
-        bounds.append(int(longest[j]))
-        j = int(at[j])
-    return sorted([*bounds, int(longest[j])])
+    bounds, j = [], n
+    for at in reversed(choices):
+        if at[j] >= 0:
+            bounds.append(int(longest[j - 1]))
+            j = at[j]
+    return sorted([*bounds, int(longest[j - 1])])
+
+
+def _covered(cost: list[int], before: list[int], a: int, b: int, c: int) -> bool:
+    """Whether the line of ``b`` is nowhere below both those of ``a`` and ``c``."""
+    return (cost[c] - cost[a]) * (before[b] - before[a]) <= (cost[b] - cost[a]) * (before[c] - before[a])
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -72,16 +77,19 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     the budget has room for at that length, one at least; a bucket's last batch may hold fewer.
     Texts without tokens, null ones included, are in no batch: bucket, batch and place are null.
     """
-    sized = materialise(docs.select("doc_id", (words(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("n_tokens")), "sized")
-    full = sized.where("n_tokens > 0").withColumn("cell", cell(F.col("n_tokens")))
-    # One row for each cell: a few thousand, however many texts there are.
-    table = full.groupBy("cell").agg(F.max("n_tokens").alias("longest"), F.count("*").alias("count")).orderBy("cell").toPandas()
-    bounds = best_bounds(table["longest"].to_numpy(), table["count"].to_numpy(), buckets)
+    sized = docs.select("doc_id", (words(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("n_tokens"))
+    sized = materialise(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
+    full = sized.where("n_tokens > 0")
+    # One row for each different length.  If there are D of them, there are D * D / 2 tokens at least: even 10^13 tokens have under 5 million.
+    table = full.groupBy("n_tokens").agg(F.count("*").alias("count")).orderBy("n_tokens").toPandas()
+    bounds = best_bounds(table["n_tokens"].tolist(), table["count"].tolist(), buckets)
+    parts = 1 + int(table["count"].sum()) // PART_ROWS
     if not bounds:
         return sized.select("doc_id", "n_tokens", F.lit(None).cast("long").alias("bucket_len"), F.lit(None).cast("string").alias("batch_id"), F.lit(None).cast("long").alias("place"))
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(b)) for b in bounds]).cast("long")
-    numbered = full.drop("cell").withColumn("bucket_len", bucket).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
-    within = F.row_number().over(W.partitionBy("bucket_len", "part").orderBy("doc_id", "n_tokens"))
+    # Rows are dealt by their own number, as ids may be null or repeated.
+    numbered = full.withColumn("bucket_len", bucket).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    within = F.row_number().over(W.partitionBy("bucket_len", "part").orderBy("doc_id", "n_tokens", "row"))
     counts = numbered.groupBy("bucket_len", "part").count()
     offsets = counts.select("bucket_len", "part", (F.sum("count").over(W.partitionBy("bucket_len").orderBy("part")) - F.col("count")).alias("before"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
