@@ -25,13 +25,16 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of hex digits that are long enough; a shorter run fails as a whole.
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: One of these in the 64 characters before a string makes its context sensitive (fixed values).
-SENSITIVE = [
-    "api", "auth", "bearer", "cert", "client", "cookie", "cred", "hmac", "jwt", "key", "login", "nonce", "passphrase", "passwd", "password", "private", "pwd", "salt", "secret", "session", "sign", "token", "webhook",
-]
+#: One of these among the words of the 64 characters before a string makes its context sensitive (fixed values).
+SENSITIVE = set(
+    """api apikey auth authentication authorization authtoken bearer cert certificate client cookie cookies cred creds credential credentials
+    hmac jwt key keys login nonce oauth pass passcode passphrase passwd password passwords private pwd salt secret secrets session sign signature
+    signing token tokens webhook""".split()
+)
+#: Words of code and prose: runs of letters, cut where a capital begins a word.
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-_NEAR = re.compile("|".join(SENSITIVE))
-#: Names that primes the compressor (fixed values).
+#: Names and parts of words that prime the compressor (fixed values).
 IDENTIFIERS = """
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX example placeholder
 changeme your_key_here your-api-key-here YOUR_ACCESS_TOKEN insert_here undefined null none true false default value string number object function return
@@ -40,9 +43,15 @@ username password client_id client_secret access_token refresh_token authorizati
 request response header content application json http https localhost database connection host port user index length result error message
 created_at updated_at timestamp identifier uuid version release module package service manager controller handler factory provider
 getElementById addEventListener querySelector innerHTML toString valueOf hasOwnProperty prototype constructor
+the and that with have this will your from they know want been good much some time very when come here just like long make many more only over
+ability able ance another around ation back before between brown character circum consider counter could development different electro ement
+ence environment every first found government great ically ification ility important ing inter ious ishment ization jumps large less little
+lution ment micro might multi ness never nothing ology ously other people place point present quick right should sion small something state
+still super tele their there these thing think those thought three through tion trans under water where which while whole without work world
 """.split()
-#: Characters of the surroundings on either side, the least marginal bytes, and the least for each character.
-AROUND, LEAST, SHARE = 256, 14, 0.7
+#: Characters of the surroundings on either side, the least marginal bytes, and the least for each
+#: character of a string with digits and of one of letters alone, which may be a rare word.
+AROUND, LEAST, SHARE, OF_LETTERS = 256, 14, 0.7, 0.9
 
 
 @cache
@@ -58,28 +67,39 @@ def marginal_bytes(value: str, before: str, after: str, words: tuple[str, ...] =
     return len(pack((around + value).encode("utf-8", "replace"))) - len(pack(around.encode("utf-8", "replace")))
 
 
+def sensitive(context: str) -> bool:
+    """Whether a word of ``context``, which may be a part of a name in code, says that something secret follows."""
+    return any(w.lower() in SENSITIVE for w in _WORD.findall(context))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """``(kind, start, end)`` of the base patterns' matches, leftmost and not overlapping within a kind; none for an empty text."""
     out = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Strings of 16 characters or more, letters and digits both, that are novel where they stand and no base span covers."""
+    """Strings of 16 characters or more, with a letter, that are novel where they stand and no base span covers.
+
+    Bare numbers are none: in prose they are amounts, dates and the like.
+    """
     out, borders, at = [], sorted((s, e) for _, s, e in base), 0
     for m in _CANDIDATE.finditer(text):
         while at < len(borders) and borders[at][1] <= m.start():
             at += 1
         value = m[0]
-        if at < len(borders) and borders[at][0] < m.end() or not (any(map(str.isdigit, value)) and any(map(str.isalpha, value))):
+        if at < len(borders) and borders[at][0] < m.end() or not any(map(str.isalpha, value)):
             continue
         before = text[max(0, m.start() - AROUND) : m.start()]
-        if _NEAR.search(before[-64:].lower()) and marginal_bytes(value, before, text[m.end() : m.end() + AROUND]) >= max(LEAST, SHARE * len(value)):
+        share = SHARE if any(map(str.isdigit, value)) else OF_LETTERS
+        if sensitive(before[-64:]) and marginal_bytes(value, before, text[m.end() : m.end() + AROUND]) >= max(LEAST, share * len(value)):
             out.append(("novel", m.start(), m.end()))
     return out
 
 
 def rendered(spans: list[tuple[str, int, int]]) -> str:
+    """The spans as ``kind:start:end``, by start, then kind as listed, joined by commas; '' for none."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
