@@ -13,7 +13,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +57,17 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
-@cache
-def _around(outer: tuple[str, ...], tag: str, attributes: str) -> tuple[str, ...]:
+def _purposes(attributes: str) -> tuple[str, ...]:
+    """What the names in an element's attributes say it is for: of a few words only, so that what depends on them can be remembered."""
+    if "=" not in attributes:
+        return ()
+    return tuple(sorted({_BY_WORD[w] for m in _NAMES.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _BY_WORD}))
+
+
+@lru_cache(1 << 14)
+def _around(outer: tuple[str, ...], tag: str, purposes: tuple[str, ...]) -> tuple[str, ...]:
     """The features that an element and all around it give a block."""
-    new = [f"in {tag}"] if tag in _KNOWN else []
-    for m in _NAMES.finditer(attributes):
-        new += [f"for {_BY_WORD[w]}" for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _BY_WORD]
+    new = ([f"in {tag}"] if tag in _KNOWN else []) + [f"for {p}" for p in purposes]
     if tag in ("header", "footer", "form", "aside", "section") and ("in article" in outer or "in main" in outer):
         new.append(f"{tag} in article")
     found = {*outer, *new} - {"plain"}
@@ -185,7 +190,7 @@ def blocks(page: str) -> list[Block]:
                         del stack[k:]
                         break
             if tag not in _VOID:
-                stack.append((tag, _around(stack[-1][1] if stack else (), tag, m[2])))
+                stack.append((tag, _around(stack[-1][1] if stack else (), tag if tag in _KNOWN else "", _purposes(m[2]))))
         links = 0
         near = stack[-1][1] if stack else ()
         own = stack[-1][0] if stack and stack[-1][0] in _KNOWN else ""
@@ -357,9 +362,18 @@ def main_text(page: str, model: Field) -> str:
     return " ".join(b.text for b, ok in zip(found, model.decode(found)) if ok)
 
 
+@cache
+def trained() -> Field:
+    """The field of the generated pages, learnt once in a process."""
+    return train(training_pages())
+
+
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each row of ``pages``; a null or empty page has an empty text."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(training_pages()))
+    """``page_id, url, text, n_chars`` for each row of ``pages``; a null or empty page has an empty text.
+
+    Ids and addresses are passed on as they are: null or repeated ones have their rows as others do.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
