@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import itertools
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from .common import slices
 
 #: Unicode's white space, as the normaliser's pattern has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Most different words, and beginnings of words, that a task remembers.
-REMEMBERED = 600_000
-#: A longer word is not remembered.
-SHORT = 64
+#: Most different short texts between white space whose ids a task remembers, and the letters of the longest.
+REMEMBERED, SHORT = 600_000, 64
+#: Tokens, or short texts' tokens, that are handed on together.
+PIECE = 1 << 14
 
 
 def byte_letters() -> list[str]:
@@ -56,6 +57,7 @@ class Bpe:
         self.surface = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for text, i in (self.vocab | self.special).items():
             self.surface[i] = text
+        self.raw = [t.encode("utf-8") for t in self.surface]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -67,9 +69,8 @@ class Bpe:
         self._letter = (-1, "", "")
         self._whole: dict[str, bool] = {}
         self._follows: dict[tuple[str, str], bool] = {}
-        # Ends of tokens; the last token of words' beginnings; ids of short texts between white space.
+        # Ends of tokens; ids of short texts between white space.
         self.tails = {"".join(symbols[i:]) for symbols in map(self._symbols, self.vocab) for i in range(len(symbols))}
-        self._states: dict[str, str] = {}
         self._known: dict[str, bytes] = {}
 
     def _symbols(self, token: str) -> list[str]:
@@ -157,28 +158,28 @@ class Bpe:
                 return token
         return None
 
-    def transduce(self, symbols: Iterator[str]) -> Iterator[int]:
+    def transduce(self, symbols: Iterable[str], step: int | None = None) -> Iterator[int]:
         """The ids of one word's symbols, each as soon as no further symbol can change it.
 
-        ``last[k]`` is the token that ends the encoding of the first ``base + k`` symbols read.
+        ``last[k]`` is the token that ends the encoding of the first ``k`` symbols of the window.  Every
+        ``step`` symbols what has become stable is emitted and leaves the window, which so never
+        holds more than the lookahead, two tokens and a step.
         """
         window: list[str] = []
         last: list[str | None] = [None]
         base_text: str | None = None
-        for symbol in symbols:
+        step, longest, n = step or self.longest, self.longest, 0
+        for read, symbol in enumerate(symbols, 1):
             window.append(symbol)
-            n = len(window)
-            found = self._last("".join(window[-self.longest :]), min(n, self.longest), n, last, base_text, len(symbol) > 1)
-            last.append(found)
-            if n >= self.lookahead + 2 * self.longest:
-                emitted = self._stable(last, n)
-                if emitted:
-                    for t in emitted:
-                        yield self.vocab[t]
-                    gone = sum(self.length[t] for t in emitted)
-                    window, last = window[gone:], [None, *last[gone + 1 :]]
-                    base_text = emitted[-1]
-        out, at = [], len(window)
+            n += 1
+            last.append(self._last("".join(window[-longest:]), min(n, longest), n, last, base_text, len(symbol) > 1))
+            if n > longest and read % step == 0 and (emitted := self._stable(last, n)):
+                for t in emitted:
+                    yield self.vocab[t]
+                gone = sum([self.length[t] for t in emitted])
+                window, last = window[gone:], [None, *last[gone + 1 :]]
+                base_text, n = emitted[-1], n - gone
+        out, at = [], n
         while at:
             token = last[at]
             if token is None:
@@ -189,7 +190,10 @@ class Bpe:
             yield self.vocab[t]
 
     def _stable(self, last: list[str | None], n: int) -> list[str]:
-        """The tokens at the window's start on which every place agrees that a later token may follow."""
+        """The tokens at the window's start on which every place agrees that a later token may follow.
+
+        A later token begins at one of the last places that a token's length reaches back to.
+        """
         paths = []
         for end in range(max(1, n - self.longest + 1), n + 1):
             at, path = end, []
@@ -198,7 +202,7 @@ class Bpe:
                 at -= self.length[last[at]]
             if at == 0:
                 paths.append(path[::-1])
-        common = paths[0]
+        common = paths[0] if paths else []
         for p in paths[1:]:
             k = 0
             while k < min(len(common), len(p)) and common[k] == p[k]:
@@ -206,88 +210,81 @@ class Bpe:
             common = common[:k]
         return common[:-1]
 
-    def word(self, word: str) -> bytes:
-        """A pre-token's ids as little-endian unsigned 32-bit integers."""
-        letters = self.letters
-        raw = word.encode("utf-8")
-        if len(raw) <= SHORT:
-            return self._short("".join([letters[b] for b in raw]))
-        symbols = (letters[b] + (self.end if i == len(raw) - 1 else "") for i, b in enumerate(raw))
-        return np.fromiter(self.transduce(symbols), np.dtype("<u4")).tobytes()
-
-    def _short(self, text: str) -> bytes:
-        """The transducer for a short word: its states for the beginnings of words are remembered, and shared by all words."""
-        states, last, n = self._states, [None], len(text)
-        for k in range(1, n):
-            begin = text[:k]
-            token = states.get(begin)
-            if token is None:
-                token = self._last(begin, min(k, self.longest), k, last, None, False)
-                if token is None:
-                    raise ValueError("the vocabulary lacks a letter")
-                if len(states) >= REMEMBERED:
-                    states.clear()
-                states[begin] = token
-            last.append(token)
-        last.append(self._last(text + self.end, min(n, self.longest), n, last, None, True))
-        out, at = [], n
-        while at:
-            token = last[at]
-            if token is None:
-                raise ValueError("the vocabulary lacks a letter")
-            out.append(self.vocab[token])
-            at -= self.length[token]
-        return struct.pack(f"<{len(out)}I", *reversed(out))
+    def word(self, word: str) -> Iterator[int]:
+        """A pre-token's ids."""
+        letters, raw = self.letters, word.encode("utf-8")
+        return self.transduce(letters[b] + (self.end if i == len(raw) - 1 else "") for i, b in enumerate(raw))
 
-    def chunk(self, chunk: str) -> bytes:
-        """The ids of a normalised text without white space."""
+    def chunk(self, chunk: str) -> Iterator[bytes]:
+        """The ids of a normalised text without white space, as little-endian unsigned 32-bit integers, piece by piece."""
         known = self._known.get(chunk)
-        if known is None:
-            known = b"".join(self.word(w) for w in self.pattern.findall(chunk))
-            if len(chunk) <= SHORT:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[chunk] = known
-        return known
+        if known is not None:
+            yield known
+        elif len(chunk) <= SHORT:
+            known = b"".join([struct.pack("<I", i) for w in self.pattern.findall(chunk) for i in self.word(w)])
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            self._known[chunk] = known
+            yield known
+        else:
+            for m in self.pattern.finditer(chunk):
+                ids = self.word(m[0])
+                while piece := list(itertools.islice(ids, PIECE)):
+                    yield struct.pack(f"<{len(piece)}I", *piece)
 
     def normalised(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
         # One letter at a time, for a final sigma has no form of its own here.
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text; special tokens in it keep their own ids."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, piece by piece; special tokens in it keep their own ids.  '' has none."""
         if self.split_special is None or "<|" not in text:
-            return self._plain(text)
-        out, at = [], 0
+            yield from self._plain(text)
+            return
+        at = 0
         for m in self.split_special.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+            yield from self._plain(text[at : m.start()])
+            yield struct.pack("<I", self.special[m[0]])
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
-
-    def _plain(self, text: str) -> bytes:
-        known, chunk = self._known, self.chunk
-        return b"".join([known.get(c) if c in known else chunk(c) for c in split_space(self.normalised(text))])
+        yield from self._plain(text[at:])
 
-    def decode(self, ids: bytes, most: int = 1 << 16) -> Iterator[str]:
-        """The text of ids piece by piece: tokens with a space between, read byte by byte into letters.
+    def _plain(self, text: str) -> Iterator[bytes]:
+        known, chunk, held = self._known, self.chunk, []
+        for c in split_space(self.normalised(text)):
+            if c in known:
+                held.append(known[c])
+            else:
+                held += chunk(c) if len(c) <= SHORT else [b"".join(held)]
+                if len(c) > SHORT:
+                    yield held.pop()
+                    held.clear()
+                    yield from chunk(c)
+            if len(held) >= PIECE:
+                yield b"".join(held)
+                held.clear()
+        yield b"".join(held)
+
+    def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
+        """The text of ids piece by piece: their tokens' bytes with a space between, read into letters.
 
         The state is an incomplete letter's bytes and whether a token came before.
         """
-        state = codecs.getincrementaldecoder("utf-8")("strict")
-        codes, surface = np.frombuffer(ids, "<u4"), self.surface
-        for i in range(0, len(codes), most):
-            piece = " ".join([surface[k] for k in codes[i : i + most].tolist()])
-            yield state.decode((" " if i else "").encode() + piece.encode("utf-8"))
+        state, raw, first = codecs.getincrementaldecoder("utf-8")("strict"), self.raw, True
+        for piece in ids:
+            if piece:
+                tokens = b" ".join([raw[i] for i in np.frombuffer(piece, "<u4").tolist()])
+                yield state.decode(tokens if first else b" " + tokens)
+                first = False
         yield state.decode(b"", True)
 
-    def bytes_of(self, ids: bytes) -> Iterator[str]:
+    def words_of(self, ids: Iterable[bytes]) -> Iterator[str]:
         """The words of ids as text, byte letters turned back: what the encoder was given, normalised, with a space after each word.
 
         Bytes that are no UTF-8 become the replacement character.
         """
         state, back = codecs.getincrementaldecoder("utf-8")("replace"), {c: bytes([b]) for b, c in enumerate(self.letters)}
-        for k in np.frombuffer(ids, "<u4").tolist():
+        for k in (k for piece in ids for k in np.frombuffer(piece, "<u4").tolist()):
             token = self.surface[k]
             ends = token.endswith(self.end) and len(token) > len(self.end)
             body = token[: -len(self.end)] if ends else token
@@ -326,12 +323,31 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
         bpe = loaded(path)
         for batch in batches:
             for piece in slices(batch, column):
-                ids = [bpe.encode(t) for t in pc.fill_null(piece.column(column), "").to_pylist()]
+                ids = [b"".join(bpe.encode(t)) for t in pc.fill_null(piece.column(column), "").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(ids, pa.binary())], [*names, "ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
+def digest(bpe: Bpe, text: str) -> tuple[int, str, str]:
+    """The number of a text's tokens, the digest of its ids, and that of what they decode to.
+
+    Ids are decoded as they come, so neither they nor the decoded text are ever held whole.
+    """
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def watched() -> Iterator[bytes]:
+        nonlocal n
+        for piece in bpe.encode(text):
+            n += len(piece) // 4
+            of_ids.update(piece)
+            yield piece
+
+    for part in bpe.decode(watched()):
+        of_text.update(part.encode("utf-8"))
+    return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each text; null and empty texts have no tokens."""
 
@@ -341,10 +357,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             for piece in slices(batch, "text"):
                 rows = []
                 for t in pc.fill_null(piece.column("text"), "").to_pylist():
-                    ids, text = bpe.encode(t), hashlib.sha256()
-                    for part in bpe.decode(ids):
-                        text.update(part.encode("utf-8"))
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), text.hexdigest()))
+                    rows.append(digest(bpe, t))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
