@@ -1,93 +1,139 @@
 """Exact top-k by inner product, a block of candidates at a time.
 
 Every dimension of a vector is two terms, one for its positive and one for its negative values.
-Candidates are dealt into ranges by their strongest term, so that vectors of a range are alike, and
-ranges into blocks.  A block knows the maximum of each term.  For a query the blocks are ordered by
-the sum of the query's weights times those maxima; they are scored through their own vectors until
-that bound falls below the query's k-th score.  Queries, in blocks too, meet every range once; what
-a task has learnt of a query's k-th score helps it with the ranges that it meets later.
+Candidates are sorted by their strongest term where they lie, so that vectors of a range are alike,
+and cut into ranges of blocks.  A block knows the maximum of each term.  For a query the blocks are
+ordered by the sum of its weights times those maxima; they are scored through their own vectors until
+that bound falls below the query's k-th score.  What a k-th score is at least is found among the
+queries themselves first, for all tasks; what a task learns beyond that helps it with later ranges.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Vectors of a block, of a range, and queries that are looked at together.
 BLOCK, RANGE, QUERIES = 128, 4096, 256
-#: Sums below this are exact in double precision.
-_EXACT = float(1 << 52)
+#: Blocks of queries whose best scores a task remembers at once.
+REMEMBERED = 1024
+#: Sums below this are exact in double precision; sums below _LARGEST fit 64 bits.
+_EXACT, _LARGEST = float(1 << 52), float(1 << 62)
+#: Stands for a k-th score that is not known.
+_NONE = -(1 << 63)
 
 _FOUND = "query_id long, vec_id long, score long"
+_PACKED = "ids binary, vectors binary, least binary"
 
 
-def whole(embedding: Column) -> Column:
-    """floor(1024 * x) of every component; null where the vector or a component is null or not finite."""
-    sound = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(sound, F.transform(embedding, lambda x: F.floor(x.cast("double") * 1024).cast("long")))
+def sound(embedding: Column) -> Column:
+    """Whether a vector and all its components are there and finite."""
+    return F.coalesce(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def _packed(rows: DataFrame, key: list[Column], size: int, name: str) -> DataFrame:
-    """Rows ``(vec_id, v)`` as ``(ids, vectors)`` of about ``size`` each, by their number within ``key``.
+def strongest(embedding: Column) -> Column:
+    """The number of a vector's largest component, negative if that component is; 0 for an empty one."""
+    size = F.transform(embedding, lambda x: F.abs(x.cast("double")))
+    at = F.coalesce(F.array_position(size, F.array_max(size)), F.lit(0)).cast("int")
+    return F.when(at == 0, 0).when(F.try_element_at(embedding, at) < 0, -at).otherwise(at)
 
-    Rows of one key are numbered in parts, so no task numbers or holds them all.
-    """
-    parts = rows.select("vec_id", "v", *key).withColumn("part", F.spark_partition_id())
-    rank = F.row_number().over(W.partitionBy(*[F.col(f"key{i}") for i in range(len(key))], "part").orderBy("vec_id"))
-    return parts.withColumn("chunk", F.floor(rank / size)).groupBy(*[f"key{i}" for i in range(len(key))], "part", "chunk").agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_v"))
+
+def _packing(size: int, width: int):
+    """Packs rows ``(vec_id, embedding, least)`` as they come, ``size`` in one, as whole numbers of ``width`` dimensions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _rebatched(batches, size):
+            vectors, lists = np.zeros((batch.num_rows, width)), batch.column("embedding")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            vectors[np.arange(width) < n[:, None]] = np.floor(1024 * lists.flatten().to_numpy(zero_copy_only=False).astype(float))
+            if np.abs(vectors).max(initial=0) >= _LARGEST:
+                raise OverflowError("a component times 1024 does not fit 64 bits")
+            numbers = [batch.column("vec_id").to_numpy(), vectors.astype(np.int64), pc.fill_null(batch.column("least"), _NONE).to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in numbers], ["ids", "vectors", "least"])
+
+    return run
+
+
+def _rebatched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, size - n)
+            batch, n = batch.slice(part.num_rows), n + part.num_rows
+            held.append(part)
+            if n == size:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact whole-number inner products."""
-    most = np.abs(queries).sum(1).max(initial=0).astype(float) * np.abs(vectors).max(initial=0)
+    """Exact whole-number inner products; raises OverflowError where they may not fit 64 bits."""
+    most = (np.abs(queries).astype(float) @ np.abs(vectors).max(0, initial=0).astype(float)).max(initial=0)
     if most < _EXACT:
         return np.rint(queries.astype(float) @ vectors.T.astype(float)).astype(np.int64)
+    if most >= _LARGEST:
+        raise OverflowError("an inner product may not fit 64 bits")
     return queries @ vectors.T
 
 
-def _search(k: int):
+def best_in_range(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, least: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query's place, candidate's id, score)`` of what may be among the best of each query.
+
+    ``least``: what each query's k-th score is at least; ``top``: the k best scores that each query has
+    met so far, which are brought up to date.
+    """
+    k, starts, rows = top.shape[1], np.arange(0, len(c), BLOCK), []
+    high, low = (np.maximum(np.maximum.reduceat(x, starts, axis=0), 0).astype(float) for x in (c, -c))
+    bounds = np.ceil((np.maximum(q, 0).astype(float) @ high.T + np.maximum(-q, 0).astype(float) @ low.T) * (1 + 1e-12))
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    kth, alive = np.maximum(least, top.min(1)), np.arange(len(q))
+    # Every query takes the blocks in the order of its own bounds; those whose next block is the same are scored together.
+    for step in range(len(starts)):
+        alive = alive[bounds[alive, order[alive, step]] >= kth[alive]]
+        for b in np.unique(order[alive, step]).tolist():
+            own, names = alive[order[alive, step] == b], c_ids[starts[b] : starts[b] + BLOCK]
+            got = _scores(q[own], c[starts[b] : starts[b] + BLOCK])
+            fit = (got >= kth[own, None]) & (names != q_ids[own, None])
+            at, to = np.nonzero(fit)
+            if len(at):
+                rows.append((own[at], names[to], got[at, to]))
+                both = np.concatenate([top[own], np.where(fit, got, _NONE)], 1)
+                top[own] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                kth[own] = np.maximum(least[own], top[own].min(1))
+    who, names, score = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*rows) if rows else ((), (), ())))
+    fit = score >= kth[who]
+    who, names, score = who[fit], names[fit], score[fit]
+    sort = np.lexsort((names, -score, who))
+    who, names, score = who[sort], names[sort], score[sort]
+    near = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[near], names[near], score[near]
+
+
+def _search(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}  # of each query: a heap of (score, -vec_id)
+        tops: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, c_ids = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("q_ids", "c_ids"))
-                q, c = (np.array(batch.column(x)[i].as_py(), np.int64) for x in ("q_v", "c_v"))
-                n = len(c_ids)
-                starts = np.arange(0, n, BLOCK)
-                high = np.maximum(np.maximum.reduceat(c, starts, axis=0), 0)
-                low = np.maximum(np.maximum.reduceat(-c, starts, axis=0), 0)
-                up, down = np.maximum(q, 0), np.maximum(-q, 0)
-                bounds = up.astype(float) @ high.T.astype(float) + down.astype(float) @ low.T.astype(float)
-                bounds = np.ceil(bounds * (1 + 1e-12))
-                order = np.argsort(-bounds, axis=1, kind="stable")
-                for j, own in enumerate(q_ids.tolist()):
-                    heap = best.setdefault(own, [])
-                    for b in order[j].tolist():
-                        if len(heap) == k and bounds[j, b] < heap[0][0]:
-                            break
-                        s = slice(starts[b], starts[b] + BLOCK)
-                        got = _scores(q[j : j + 1], c[s])[0]
-                        names = c_ids[s]
-                        fit = np.flatnonzero((names != own) & ((got >= heap[0][0]) if len(heap) == k else True))
-                        for at in fit.tolist():
-                            new = (int(got[at]), -int(names[at]))
-                            if len(heap) < k:
-                                heapq.heappush(heap, new)
-                            elif new > heap[0]:
-                                heapq.heapreplace(heap, new)
-        rows = [(own, -v, s) for own, heap in best.items() for s, v in heap]
-        for i in range(0, len(rows), 1 << 16):
-            part = rows[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part)], ["query_id", "vec_id", "score"])
+            for block, *raw in zip(*(batch.column(x).to_pylist() for x in ("block", "q_ids", "q_vectors", "q_least", "ids", "vectors"))):
+                q_ids, q, least, c_ids, c = (np.frombuffer(x, np.int64) for x in raw)
+                top = tops.pop(block, None)
+                if top is None:
+                    top = np.full((len(q_ids), k), _NONE)
+                    if len(tops) >= REMEMBERED:
+                        tops.popitem(last=False)
+                tops[block] = top
+                who, found, score = best_in_range(q.reshape(-1, width), q_ids, c.reshape(-1, width), c_ids, least, top)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -97,28 +143,36 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
 
     ``vectors`` has ``vec_id`` and ``embedding``; ``queries`` says which rows are queries.  Every row
     is a candidate but those with the query's own id.  Rows with a null id, or whose vector is null,
-    or has components that are null or not finite, take no part; nor do those whose length is not
-    that of most.  A repeated query row counts once if it repeats its vector too.  Scores have to fit
-    64 bits.
+    or has components that are null or not finite, take no part.  A shorter vector counts as one with
+    zeros behind it.  A repeated query row counts once if it repeats its vector too.  Components or
+    scores that may not fit 64 bits raise OverflowError.
     """
-    rows = vectors.select("vec_id", whole(F.col("embedding")).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where("vec_id is not null and v is not null")
-    rows = materialise(rows, "whole")
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("v") == (usual[0]["n"] if usual else 0))
-    strongest = F.array_position(F.transform("v", F.abs), F.array_max(F.transform("v", F.abs)))
-    sign = F.signum(F.element_at("v", strongest.cast("int")).cast("double"))
-    ranges = _packed(rows, [(strongest * sign).cast("long").alias("key0")], RANGE, "c").drop("part", "chunk", "key0")
-    asked = _packed(rows.where("is_query").select("vec_id", "v").distinct(), [F.lit(0).alias("key0")], QUERIES, "q").drop("part", "chunk", "key0")
-    # Blocks of the stated queries against ranges of all rows.
-    found = asked.crossJoin(ranges).mapInArrow(_search(k), _FOUND)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
+    width = max(rows.agg(F.max(F.size("embedding"))).first()[0] or 0, 1)
+    unknown = F.lit(None).cast("long").alias("least")
+    # Sorted inside their partitions: nothing is shuffled, and no term is all in one task.
+    alike = rows.withColumn("term", strongest(F.col("embedding"))).sortWithinPartitions("term")
+    ranges = materialise(alike.select("vec_id", "embedding", unknown).mapInArrow(_packing(RANGE, width), _PACKED), "ranges")
+    once = materialise(rows.where("is_query").select("vec_id", "embedding").distinct(), "queries")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def best(asked: DataFrame, among: DataFrame) -> DataFrame:
+        blocks = asked.withColumnsRenamed({c: f"q_{c}" for c in asked.columns}).withColumn("block", F.monotonically_increasing_id())
+        # Blocks of the stated queries against ranges.  The queries are a table of known size, which Spark broadcasts only if it is small.
+        return blocks.crossJoin(among.select("ids", "vectors")).mapInArrow(_search(k, width), _FOUND).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    asked = materialise(once.withColumn("least", unknown).mapInArrow(_packing(QUERIES, width), _PACKED), "asked")
+    kth = materialise(best(asked, asked).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least")), "kth")
+    discard(asked)
+    asked = materialise(once.join(kth, "vec_id", "left").select("vec_id", "embedding", "least").mapInArrow(_packing(QUERIES, width), _PACKED), "asked")
+    discard(once, kth)
+    return best(asked, ranges).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = """
 WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings),
      s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                  CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+                  CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
            FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10

@@ -252,7 +252,8 @@ def test_bpe_against_the_library(spark):
     lib, rng = tokenizers.Tokenizer.from_file(path), random.Random(0)
     texts = [t for t in HARD if t is not None] + ["<|endoftext|>x <|endof", "ΑΣ İ a\x1cb", "ab" * 2000, "!" * 1000, "it's 12'3"]
     texts += ["".join(rng.choice(rng.choice(["abcdefgh ", "etaoin shrdlu", "0123 !?.'", "éüñ漢字 ", "ΣΑ'sσ", "\x00\x1c\x85 <|>"])) for _ in range(rng.randrange(60))) for _ in range(500)]
-    texts += ["".join(rng.choice("abcdeinot") for _ in range(2000))]
+    texts += ["".join(rng.choice("abcdeinot") for _ in range(2000)), "the quick brown fox " * 30000, "x" * 40000 + " y"]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(50, 300))) for _ in range(40)]
     got = {r["doc_id"]: r for r in bpe.digests(frame(spark, [*texts, None]), path).collect()}
     for i, t in enumerate(texts):
         ids = lib.encode(t, add_special_tokens=False).ids
@@ -261,19 +262,26 @@ def test_bpe_against_the_library(spark):
     assert got[len(texts)]["n_tokens"] == 0
 
 
-def test_bpe_keeps_a_window_only():
-    own = bpe.loaded(public_tokenizers.path("word_bpe_49k.json"))
-    first, read = None, 0
+def test_bpe_emits_within_the_lookahead():
+    """No token waits for more letters behind it than the lookahead, nor does a word without end fill the memory."""
+    own, rng = bpe.loaded(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    for kind in range(40):
+        letters, read = rng.choice(["abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "0123456789", "!?.", "thequickbrown"]), 0
 
-    def symbols():
-        nonlocal read
-        for c in itertools.cycle("thequickbrown"):
-            read += 1
-            yield c
+        def symbols(n=700):
+            nonlocal read
+            for i in range(n):
+                read += 1
+                yield (letters[i % len(letters)] if kind % 3 == 0 else rng.choice(letters)) + ("</w>" if i == n - 1 else "")
 
-    first = next(own.transduce(symbols()))
-    assert first == own.vocab["the"] and read <= own.lookahead + 3 * own.longest
-    assert "".join(own.bytes_of(own.encode("Hello, wörld"))) == "hello , wörld "
+        end = 0
+        for k in own.transduce(symbols(), step=1):
+            end += own.length[own.surface[k]]
+            assert read == 700 or read - end <= own.lookahead
+        assert end == 700
+    first = next(own.transduce(itertools.cycle("thequickbrown")))
+    assert first == own.vocab["the"]
+    assert "".join(own.words_of(own.encode("Hello, wörld"))) == "hello , wörld "
 
 
 # --- 7: top-k ---
@@ -284,17 +292,31 @@ def test_topk_against_brute_force(spark, scale):
     rng = np.random.default_rng(1)
     v = (rng.normal(size=(700, 8)) * scale).round(3)
     v[5:60] = v[5]
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000, None), (1100, [1.0, None] + [0.0] * 6), (1200, [float("nan")] * 8), (None, [1.0] * 8), (1300, [1.0])]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000, None), (1100, [1.0, None] + [0.0] * 6), (1200, [float("nan")] * 8), (None, [1.0] * 8), (1301, [20.0 * scale]), (1302, [])]
     got = collections.defaultdict(list)
     for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     w = [[int(x) for x in np.floor(r * 1024)] for r in v]
     assert sorted(got) == list(range(0, 700, 100))
     for q in got:
-        best = sorted((-sum(a * b for a, b in zip(w[q], w[j])), j) for j in range(700) if j != q)[:10]
+        others = [(j, w[j]) for j in range(700) if j != q] + [(1301, [int(20480 * scale)]), (1302, [])]
+        best = sorted((-sum(a * b for a, b in zip(w[q], x)), j) for j, x in others)[:10]
         assert got[q] == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
 
 
+def test_topk_of_hard_tables(spark):
+    find = lambda rows: [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score int, least int"), F.col("vec_id") % 100 == 0, 2).orderBy("query_id", "rank").collect()]
+    extra = ("mine", 5, 7)
+    assert find([(None, None, *extra)]) == [] and find([(0, [1.0], *extra)]) == []
+    # Fewer candidates than wanted, ties, repeated rows, and another row of a query's id, which is none of its candidates.
+    rows = [(0, [1.0, 0.5], *extra)] * 2 + [(1, [1.0, 0.0], *extra), (2, [1.0, 0.0], *extra), (100, [0.0, -1.0], *extra)]
+    one = 1024
+    assert find(rows) == [(0, 1, 1, one * one), (0, 2, 2, one * one), (100, 1, 1, 0), (100, 2, 2, 0)]
+    assert find([(0, [-1e-9], *extra), (5, [3e-3], *extra)]) == [(0, 1, 5, -3)]
+    with pytest.raises(Exception, match="64 bits"):
+        find([(0, [1e300], *extra), (1, [1.0], *extra)])
+
+
 # --- 9: packing ---
 
 
@@ -305,7 +327,7 @@ def test_best_bounds_against_brute_force():
         longest, count = np.sort(rng.choice(50, n, replace=False)) + 1, rng.integers(1, 9, n)
         cost = lambda bounds: sum(int(c) * min(b for b in bounds if b >= x) for x, c in zip(longest, count))  # noqa: E731, B023
         best = min(cost((*s, longest[-1])) for k in range(min(buckets, n)) for s in itertools.combinations(longest[:-1].tolist(), k))
-        got = packing.best_bounds(longest, count, buckets)
+        got = packing.best_bounds(longest.tolist(), count.tolist(), buckets)
         assert len(got) <= buckets and cost(got) == best
 
 
