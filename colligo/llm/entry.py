@@ -14,18 +14,22 @@ from .common import table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that learnt contexts add."""
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base spans, and novel strings in sensitive contexts."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and what the rules and the outliers' test say of it."""
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
@@ -38,22 +42,27 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's tokens and of what they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other vectors for every hundredth one."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document, learnt from the labels that are not held out."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucket, batch and place of every document."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near duplicates' component of every document."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 

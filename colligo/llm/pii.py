@@ -1,10 +1,12 @@
 """Personal data: base patterns for four kinds, and bootstrapped contextual extraction.
 
-What the base patterns find are seed entities.  The word before a seed is a lexical pattern; all
-strings that look like identifiers, found or not, are instances.  Patterns and instances form a
-graph that is scored round by round: a pattern by the scores of its instances, an instance by those
-of its patterns.  Patterns of high confidence then give the spans that no base pattern finds.  All of
-it is DataFrame operations.
+What the base patterns find are seed entities.  The word before an entity, and the two words before
+it, are lexical patterns; all strings that look like identifiers, found or not, are instances.
+Patterns and instances form a graph that is scored round by round: a pattern by the share of its
+instances that are sure, an instance by its patterns.  Instances that become sure support the other
+patterns that they stand in, so that patterns without a seed are learnt too.  Patterns of high
+confidence then give the spans that no base pattern finds.  All of it is DataFrame operations, and
+the work on a text grows with its length, not with its square.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The base patterns, each written so that it never tries a run of characters anew from inside: a
@@ -31,22 +33,64 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9
 CANDIDATE = r"(?<![A-Za-z0-9@._+()-])[+(]?[A-Za-z0-9](?=[A-Za-z._()-]{0,79}[0-9@])[A-Za-z0-9@._()-]{5,79}+(?![A-Za-z0-9@._+()-])"
 #: A pattern counts with so many different seeds and this confidence, after so many rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
-#: Characters before an instance in which its context is looked for.
+#: Characters before an instance in which its contexts are looked for.
 CONTEXT = 48
+#: Sums over an array are taken in strides of so many, and parts of a text from pieces of so many characters.
+STRIDE, PIECE = 256, 1024
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, more) -> Column:
+    """``more`` of all values up to each place, from 0 on: sums or maxima.
+
+    A stride's results are collected by themselves, so that long arrays are not copied for each element.
+    """
+
+    def of(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
+        one = lambda last, part: F.aggregate(part, F.array(last), lambda acc, x: F.concat(acc, F.array(more(F.element_at(acc, -1), x))))
+        step = lambda acc, i: let(one(acc["last"], F.slice(v, i, STRIDE)), lambda r: F.struct(F.element_at(r, -1).alias("last"), F.concat(acc["all"], F.array(F.slice(r, 2, STRIDE))).alias("all")))
+        return F.flatten(F.aggregate(starts, F.struct(F.lit(0).alias("last"), F.array().cast("array<array<int>>").alias("all")), step)["all"])
+
+    return let(values, of)
 
 
 def matches(text: Column, pattern: str, hint: str) -> Column:
-    """Leftmost non-overlapping matches as ``array<struct<start,end,value>>`` in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.char_length)
-    sizes = F.transform(found, F.char_length)
-    # The ends of the matches are sums of what is before them.
-    ends = F.aggregate(
-        F.arrays_zip(sizes.alias("m"), F.slice(between, 1, F.size(found)).alias("b")), F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["m"] + x["b"])),
-    )
-    spans = F.transform(F.arrays_zip(ends.alias("e"), sizes.alias("m"), found.alias("v")), lambda x: F.struct((x["e"] - x["m"]).alias("start"), x["e"].alias("end"), x["v"].alias("value")))
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    """Leftmost non-overlapping matches: ``array<struct<start,end,value,before>>`` in code points, end exclusive.
+
+    ``before`` is what stands before a match, up to CONTEXT characters and no further than the match before it.
+    """
+
+    def spans(found: Column, between: Column) -> Column:
+        sizes = F.transform(F.arrays_zip(found.alias("v"), F.slice(between, 1, F.size(found)).alias("b")), lambda x: F.char_length(x["v"]) + F.char_length(x["b"]))
+        every = F.arrays_zip(running(sizes, lambda a, x: a + x).alias("e"), found.alias("v"), F.slice(between, 1, F.size(found)).alias("b"))
+        return F.transform(every, lambda x: F.struct((x["e"] - F.char_length(x["v"])).alias("start"), x["e"].alias("end"), x["v"].alias("value"), F.right(x["b"], F.lit(CONTEXT)).alias("before")))
+
+    all_ = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(F.split(text, pattern, -1), lambda between: spans(found, between)))
+    return F.when(text.rlike(hint), all_).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string>>"))
+
+
+def replaced(text: Column, spans: Column, fill) -> Column:
+    """``text`` with each of ``spans`` (structs with start and end) replaced by ``fill`` of it and of where those before it end."""
+
+    def part(pieces: Column, at: Column, end: Column) -> Column:
+        first, last = F.floor(at / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+        return F.when(end > at, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), at % PIECE + 1, end - at)).otherwise("")
+
+    def joined(sorted_: Column, pieces: Column) -> Column:
+        def with_ends(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            out = F.transform(sorted_, lambda x, i: F.concat(part(pieces, before(i), x["start"]), fill(x, before(i))))
+            return F.concat(F.array_join(out, ""), part(pieces, F.coalesce(F.element_at(ends, -1), F.lit(0)), F.char_length(text)))
+
+        return let(running(F.transform(sorted_, lambda x: x["end"]), F.greatest), with_ends)
+
+    whole = let(F.array_sort(spans), lambda x: let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: joined(x, pieces)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def _luhn(value: Column) -> Column:
@@ -65,10 +109,11 @@ VALID = {
 }
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The word before a span in lower case with what joins it to the span, or '' if there is none nearby."""
-    near = F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
-    return F.lower(F.regexp_replace(F.regexp_extract(near, r"(\p{L}{2,24}[:=#]?)[\x20\t\"'(]{0,3}$", 1), r"\s+", " "))
+def _contexts(before: Column) -> Column:
+    """The word before a span, and the two words, in lower case with what joins them to it; none if there is no word right before."""
+    shape = r"(?:(\p{L}{2,24}[:=#]?)[\x20\t]+)?(\p{L}{2,24}[:=#]?)[\x20\t\"'(]{0,3}$"
+    word = lambda i: F.lower(F.regexp_extract(before, shape, i))
+    return F.filter(F.array(word(2), F.when(word(1) != "", F.concat(word(1), F.lit(" "), word(2))).otherwise("")), lambda c: c != "")
 
 
 def _valid(text: Column, kind: str) -> Column:
@@ -76,7 +121,7 @@ def _valid(text: Column, kind: str) -> Column:
 
 
 def _named(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _contexts(x["before"]).alias("contexts")))
 
 
 def _count(kind: str) -> Column:
@@ -84,48 +129,49 @@ def _count(kind: str) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` (the spans of each kind, in order) and ``seen`` (identifier-like strings and their contexts)."""
+    """``docs`` with ``base``, the spans of each kind in order, and ``loose``, other strings that look like identifiers; both with their contexts.
+
+    Loose strings are looked for where no base span is.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = [_named(_valid(text, k), k) for k in KINDS]
-    out = docs.withColumn("base", F.concat(*base))
-    return out.withColumn("seen", F.transform(F.concat("base", _named(matches(text, CANDIDATE, "[0-9@]"), "")), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(text, x["start"]).alias("context"))))
+    out = docs.withColumn("base", F.concat(*[_named(_valid(text, k), k) for k in KINDS]))
+    # No loose string has a plus sign inside or right beside it.
+    rest = replaced(text, F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), lambda x, before: F.repeat(F.lit("+"), F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], before))))
+    return out.withColumn("loose", F.filter(_named(matches(rest, CANDIDATE, "[0-9@]"), ""), lambda x: F.size(x["contexts"]) > 0))
 
 
 def bootstrap(seen: DataFrame) -> DataFrame:
     """``(context, kind, confidence)`` of the patterns to trust.
 
-    ``seen`` has ``rid``, ``base`` and ``seen`` as ``found`` gives them.  An instance that overlaps a
-    base span counts as that span's.
+    ``seen`` has ``base`` and ``loose`` as ``found`` gives them.  A pattern counts with SUPPORT different
+    sure instances of one kind; its confidence is their share in all of its instances.  Seeds are
+    sure; another instance is if its patterns leave no more doubt than CONFIDENCE allows.
     """
-    rows = seen.select("base", F.explode("seen").alias("s")).where("s.context != ''")
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    rows = rows.where((F.col("s.kind") != "") | clear)
-    edges = materialise(rows.select("s.context", F.xxhash64("s.value").alias("instance"), F.col("s.kind").alias("seed")).distinct(), "edges")
-    support = edges.where("seed != ''").groupBy("context", F.col("seed").alias("kind")).agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    support = materialise(support, "support")
-    among = edges.groupBy("context").agg(F.count("*").alias("instances"))
-    # Patterns with enough seeds, each kind for itself; what else a context holds weighs against it.
-    patterns = support.join(among, "context").withColumn("confidence", F.col("support") / (F.col("instances") + 1))
-    patterns = materialise(patterns, "patterns")
-    loose = edges.where("seed = ''").join(support.select("context").distinct(), "context").select("context", "instance")
-    loose = materialise(loose, "loose")
+    each = seen.select(F.explode(F.concat("base", "loose")).alias("s")).select(F.explode("s.contexts").alias("context"), F.xxhash64("s.value").alias("instance"), F.col("s.kind").alias("seed"))
+    edges = materialise(each.distinct(), "edges")
+    among = materialise(edges.groupBy("context").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT), "among")
+    seeds = edges.where("seed != ''").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    sure, last = materialise(seeds, "sure"), None
     for _ in range(ROUNDS):
+        good = edges.join(sure, "instance").groupBy("context", "kind").agg(F.sum("score").alias("good"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+        patterns = materialise(good.join(among, "context").select("context", "kind", (F.col("good") / (F.col("instances") + 1)).alias("confidence")), "patterns")
+        discard(*([last] if last else []), sure)
+        last = patterns
         # An instance is of a kind unless all of its patterns are wrong about it.
-        score = loose.join(patterns, "context").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
-        gained = loose.join(score, "instance").groupBy("context", "kind").agg(F.sum("score").alias("gained"))
-        patterns = materialise(
-            patterns.join(gained, ["context", "kind"], "left").select("context", "kind", "support", "instances", ((F.col("support") + F.coalesce("gained", F.lit(0.0)) * F.col("support") / F.col("instances")) / (F.col("instances") + 1)).alias("confidence")), "patterns"
-        )
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
+        won = edges.where("seed = ''").join(patterns, "context").groupBy("instance", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= CONFIDENCE)
+        sure = materialise(seeds.unionByName(won), "sure")
     best = patterns.where(F.col("confidence") >= CONFIDENCE).groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
-    return materialise(best, "trusted")
+    best = materialise(best, "trusted")
+    discard(edges, among, sure, patterns)
+    return best
 
 
 def discovered(seen: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(rid, more)``: the spans that trusted patterns add to a row's base spans, none overlapping those."""
-    rows = seen.select("rid", "base", F.explode("seen").alias("s")).where("s.kind = '' and s.context != ''")
-    rows = rows.where(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start"))))
-    hits = rows.select("rid", "s.start", "s.end", "s.value", "s.context").join(patterns.select("context", "kind"), "context")
-    return hits.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end", "value"))).alias("more"))
+    """``(rid, more)``: the loose strings that trusted patterns say are personal data; of several the surest names the kind."""
+    rows = seen.select("rid", F.explode("loose").alias("s")).select("rid", "s.start", "s.end", "s.value", F.explode("s.contexts").alias("context"))
+    hits = rows.join(patterns, "context").groupBy("rid", "start", "end", "value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    return hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("more"))
 
 
 def _ordered(spans: Column) -> Column:
@@ -142,11 +188,18 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     seen = materialise(found(docs.select("doc_id", "text")).drop("text").withColumn("rid", F.monotonically_increasing_id()), "seen")
     more = discovered(seen, bootstrap(seen))
-    all_ = seen.join(more, "rid", "left").withColumn("more", F.coalesce("more", F.slice("base", 1, 0)))
+    all_ = seen.join(more, "rid", "left").select("doc_id", _plain("base"), F.coalesce("more", F.array().cast(_SPANS)).alias("more"))
     found_ = F.concat("base", "more")
     return all_.select("doc_id", *[_count(k) for k in KINDS], F.sha2(_ordered(F.col("base")), 256).alias("base_sha256"), _ordered(found_).alias("spans"), F.size("more").cast("long").alias("n_more"), found_.alias("found"))
 
 
+_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+
+
+def _plain(spans: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "value")])).alias(spans)
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; ``n_chars``, if there, follows.
 
@@ -156,18 +209,10 @@ def masked(docs: DataFrame) -> DataFrame:
     clash = {c: f"_doc_{i}" for i, c in enumerate(names) if c not in ("text", "n_chars")}
     rows = materialise(found(docs.withColumnsRenamed(clash)).withColumn("rid", F.monotonically_increasing_id()), "seen")
     more = materialise(discovered(rows, bootstrap(rows)), "more")
-    all_ = rows.drop("seen").join(more, "rid", "left")
-    spans = F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.slice("base", 1, 0))), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
-    part = lambda a, n: F.substring(F.col("text"), a + 1, n)
-    whole = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], -x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], part(acc["at"], x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], part(acc["at"], F.char_length("text"))),
-    )
-    new = all_.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text")))
+    all_ = rows.drop("loose").join(more, "rid", "left")
+    spans = F.transform(F.concat(_plain("base"), F.coalesce("more", F.array().cast(_SPANS))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    whole = replaced(F.col("text"), spans, lambda x, before: F.when(x["start"] >= before, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(""))
+    new = all_.withColumn("text", whole)
     if "n_chars" in names:
         new = new.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return new.select(*[clash.get(c, c) for c in names]).withColumnsRenamed({v: k for k, v in clash.items()})

@@ -69,6 +69,33 @@ def test_pii_bootstraps_from_contexts(spark):
     assert kept[8]["text"] == "Call tel: [PHONE] now" and kept[8]["n_chars"] == 21 and kept[10]["text"] == texts[10] and kept[11]["text"] is None and kept[0]["rid"] == 2
 
 
+def test_pii_patterns_grow(spark):
+    """Identifiers learnt in one context teach another one, which has no seed; and two words may say what one does not."""
+    seeds = [f"Call tel: +1 555 000 {1000 + i} now" for i in range(200)]
+    learnt = [f"Call tel: 555{100 + i}1234567z now" for i in range(20)] + [f"the fon: 555{100 + i}1234567z is his" for i in range(20)]
+    pairs = [f"my own number +1 555 111 {1000 + i} yes" for i in range(20)] + [f"the lot number 77{i}881234x" for i in range(30)]
+    texts = seeds + learnt + pairs + ["the fon: 999888777x is hers", "see 999888777y too", "my own number 4400440044z yes"]
+    rows = {r["doc_id"]: r["n_more"] for r in pii.detect(frame(spark, texts)).collect()}
+    new = len(texts) - 3
+    assert [rows[i] for i in range(200, 240)] == [1] * 40 and (rows[new], rows[new + 1], rows[new + 2]) == (1, 0, 1)
+    assert not any(rows[i] for i in range(240, new))
+
+
+def test_pii_of_very_long_texts(spark):
+    """Positions and masks over many strides and pieces, with letters of two units."""
+    rng = random.Random(2)
+    text = "".join(rng.choice(["😀 ", "a@b.cc ", "word ", "10.0.0.1 ", "+1 555 000 1234 / ", "é", "4111 1111 1111 1111, "]) for _ in range(20000))
+    got = pii.detect(frame(spark, [text, "x" * 300000, "1@" * 50000])).orderBy("doc_id").first()
+    assert got["base_sha256"] == hashlib.sha256(base_pii(text).encode()).hexdigest()
+    spans = sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in got["spans"].split(","))
+    out, at = [], 0
+    for s, e, kind in spans:
+        if s >= at:
+            out += [text[at:s], f"[{kind.upper()}]"]
+        at = max(at, e)
+    assert pii.masked(frame(spark, [text])).first()["text"] == "".join(out) + text[at:]
+
+
 def test_pii_of_nothing(spark):
     empty = frame(spark, ["x"]).limit(0)
     assert pii.detect(empty).count() == 0 and pii.masked(empty).columns == empty.columns
