@@ -1,8 +1,9 @@
 """Quality rules: plain counts for each text, and robust multivariate outliers.
 
 For every language and source a minimum-covariance-determinant estimate is made over all of its
-texts: from medians and quartiles, each step keeps the three quarters of the rows with the smallest
-Mahalanobis distances and takes their mean and covariance anew.  A step is one aggregation over
+texts: from two starts, medians with quartiles and plain moments, each step keeps the three quarters of
+the rows with the smallest Mahalanobis distances and takes their mean and covariance anew; of both ends
+the one with the smaller determinant counts.  A step is one aggregation over
 (group, distance bin) that adds up whole numbers, so its result depends neither on the order of the
 rows nor on how a large group is spread, and no group is ever in one task.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import materialise, mix, row_of, slices, split_words
+from .common import discard, materialise, mix, row_of, slices, split_words
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_echoes"]
 #: The transformed statistics are whole multiples of 1/SCALE.
@@ -146,12 +147,13 @@ def _consistency(p: int) -> float:
 
 
 _PARAMS = "level int, lang string, source string, rows long, centre array<double>, inverse array<double>"
+_TRIED = f"start int, {_PARAMS}, volume double"
 
 
 def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     p, factor = len(FLOORS), _consistency(len(FLOORS))
     for pdf in batches:
-        centre, inverse = [], []
+        centre, inverse, volume = [], [], []
         for r in pdf.itertuples():
             mean = np.array([getattr(r, f"s{i}") for i in range(p)], float) / r.kept / SCALE
             cov = np.empty((p, p))
@@ -159,8 +161,10 @@ def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for j in range(i + 1):
                     cov[i, j] = cov[j, i] = getattr(r, f"s{j}_{i}") / r.kept / SCALE**2 - mean[i] * mean[j]
             centre.append(mean)
-            inverse.append(np.linalg.inv(cov * factor + np.diag(np.square(FLOORS))).ravel())
-        yield pdf[["level", "lang", "source", "rows"]].assign(centre=centre, inverse=inverse)
+            cov = cov * factor + np.diag(np.square(FLOORS))
+            inverse.append(np.linalg.inv(cov).ravel())
+            volume.append(np.linalg.slogdet(cov)[1])
+        yield pdf[["start", "level", "lang", "source", "rows"]].assign(centre=centre, inverse=inverse, volume=volume)
 
 
 def _key(c: str) -> Column:
@@ -186,22 +190,27 @@ def fit(counts: DataFrame) -> DataFrame:
         F.sum("w").alias("rows"), *[F.percentile(c, [0.25, 0.5, 0.75], F.col("w")).alias(f"q{i}") for i, c in enumerate(z)]
     )
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * SCALE), F.lit(FLOORS[i])) for i in range(p)]
-    params = first.select(
-        "level", "lang", "source", "rows", F.array(*[F.col(f"q{i}")[1] / SCALE for i in range(p)]).alias("centre"),
-        F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("inverse"),
+    sums = [F.sum(F.col("w") * F.col(f"z{i}")).alias(f"s{i}") for i in range(p)]
+    sums += [F.sum(F.col("w") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{j}_{i}") for i in range(p) for j in range(i + 1)]
+    quartiles = first.select(
+        F.lit(0).alias("start"), "level", "lang", "source", "rows", F.array(*[F.col(f"q{i}")[1] / SCALE for i in range(p)]).alias("centre"),
+        F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("inverse"), F.lit(0.0).alias("volume"),
     )
-    params = materialise(params, "params")
-    group = ["level", "lang", "source"]
+    moments = rows.groupBy("level", "lang", "source").agg(F.sum("w").alias("kept"), F.sum("w").alias("rows"), *sums).withColumn("start", F.lit(1)).mapInPandas(_estimates, _TRIED)
+    params = materialise(quartiles.unionByName(moments), "params")
+    group = ["start", "level", "lang", "source"]
     for _ in range(STEPS):
-        far = rows.join(params, group).withColumn("bin", F.floor(8 * F.log2(_distance() + 1e-4)).cast("int"))
-        sums = [F.sum(F.col("w") * F.col(f"z{i}")).alias(f"s{i}") for i in range(p)]
-        sums += [F.sum(F.col("w") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{j}_{i}") for i in range(p) for j in range(i + 1)]
+        far = rows.join(params, ["level", "lang", "source"]).withColumn("bin", F.floor(8 * F.log2(_distance() + 1e-4)).cast("int"))
         bins = far.groupBy(*group, "bin").agg(F.sum("w").alias("kept"), F.max("rows").alias("rows"), *sums)
         before = F.sum("kept").over(W.partitionBy(*group).orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
         near = bins.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SHARE * F.col("rows"))
         total = near.groupBy(*group).agg(F.max("rows").alias("rows"), *[F.sum(c).alias(c) for c in bins.columns if c not in (*group, "bin", "rows")])
-        params = materialise(total.mapInPandas(_estimates, _PARAMS), "params")
-    return params
+        last, params = params, materialise(total.mapInPandas(_estimates, _TRIED), "params")
+        discard(last)
+    best = params.groupBy("level", "lang", "source").agg(F.min(F.struct("volume", "start", "rows", "centre", "inverse")).alias("x"))
+    out = materialise(best.select("level", "lang", "source", *[F.col(f"x.{c}").alias(c) for c in ("rows", "centre", "inverse")]), "params")
+    discard(rows, params)
+    return out
 
 
 def _blends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +261,7 @@ def judged(counts: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed``, ``distance`` and ``kept`` for each row of ``docs``."""
+    """``doc_id``, the counts, ``base_failed``, ``distance`` and ``kept`` for each row of ``docs``; null and empty texts fail."""
     counts = materialise(counted(docs, ["doc_id", "lang", "source"]), "counts")
     return judged(counts, fit(counts)).drop("lang", "source")
 
