@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import discard, materialise, mix, slices, small, split_words
 from .components import components
@@ -504,19 +505,27 @@ def _compared(open_: DataFrame, classes: DataFrame, whole: DataFrame, percent: i
     """Candidates ``(a, b)`` of groups in several components, where one at least has too few signatures elsewhere.
 
     Of two similar texts, the one whose shown segments end first agrees with the other on all of its
-    signatures but ``h``.  If it shows more than ``h`` outside open groups, they have met.  If not,
-    it wants to be compared with all members of its open groups, whatever those show elsewhere.
+    signatures but ``h``: on more than its spare ones.  If no more of them than these are of open
+    groups, the two have met elsewhere.  If there are more, they meet in any choice of open groups
+    that leaves out no more than the spare number.  So such a text is held against all members of its
+    open groups but the largest ones, whatever those members show elsewhere.
 
     Groups with the same largest component are compared as one: near copies share a group in most of
     their signatures, and so meet once.  In it, every block of the ones meets every block of the others.
     """
-    wants = open_.groupBy("a").count().join(classes.select("a", "n", "spare"), "a").select("a", "n", (F.col("count") > F.col("spare")).alias("wants"))
-    ranked = open_.groupBy("sig", "label").agg(F.count("*").alias("many"))
+    wants = open_.groupBy("a").count().join(classes.select("a", "spare"), "a").select("a", (F.col("count") - F.col("spare")).alias("wants")).where("wants > 0")
+    many = open_.groupBy("sig").agg(F.count("*").alias("many"))
+    smallest = F.row_number().over(W.partitionBy("a").orderBy("many", "sig"))
+    chosen = materialise(open_.join(wants, "a").join(many, "sig").withColumn("rank", smallest).where("rank <= wants").select("sig", "a", "label"), "chosen")
+    members = materialise(open_.join(chosen.select("sig").distinct(), "sig", "left_semi"), "met")
+    ranked = members.groupBy("sig", "label").agg(F.count("*").alias("many"))
     around = ranked.groupBy("sig").agg(F.max(F.struct("many", "label")).getField("label").alias("around"))
-    members = materialise(open_.join(around, "sig").select("around", "a", "label").distinct().join(wants, "a"), "members")
-    outside, wanting = F.col("label") != F.col("around"), F.col("wants")
-    # Wanting ones outside the largest component are held against all; those in it against the others outside.
-    meetings = [(outside & wanting, F.lit(True)), (outside & ~wanting, ~outside & wanting)]
+    every_one = lambda rows: rows.join(around, "sig").groupBy("around", "a", "label").agg(F.lit(1).alias("there"))
+    members = every_one(members).join(every_one(chosen).withColumnRenamed("there", "probing"), ["around", "a", "label"], "left")
+    members = materialise(members.join(classes.select("a", "n"), "a"), "members")
+    outside, probing = F.col("label") != F.col("around"), F.col("probing").isNotNull()
+    # Those outside the largest component are held against all; those in it against the others outside.
+    meetings = [(outside & probing, F.lit(True)), (~outside & probing, outside)]
     blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
     sizes = members.groupBy("around").agg(*[blocks(which).alias(f"{side}{k}") for k, sides in enumerate(meetings) for side, which in zip(("is", "js"), sides)])
     members = members.join(sizes, "around").where(" or ".join(f"is{k} > 0 and js{k} > 0" for k in range(len(meetings))))
@@ -524,10 +533,10 @@ def _compared(open_: DataFrame, classes: DataFrame, whole: DataFrame, percent: i
     own = lambda of: F.pmod("h", F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     dealt = []
-    for k, (probing, probed) in enumerate(meetings):
+    for k, (those, probed) in enumerate(meetings):
         there = members.where(f"is{k} > 0 and js{k} > 0")
         key = ["around", F.lit(k).alias("meeting"), "a", "label", "n", "wide"]
-        dealt.append(there.where(probing).select(*key, F.lit(0).alias("side"), own(f"is{k}").alias("i"), every(f"js{k}").alias("j")))
+        dealt.append(there.where(those).select(*key, F.lit(0).alias("side"), own(f"is{k}").alias("i"), every(f"js{k}").alias("j")))
         dealt.append(there.where(probed).select(*key, F.lit(1).alias("side"), every(f"is{k}").alias("i"), own(f"js{k}").alias("j")))
     return reduce(DataFrame.unionByName, dealt).groupBy("around", "meeting", "i", "j").applyInPandas(_block_pairs(percent, nearest), "a long, b long")
 
