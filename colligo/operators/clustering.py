@@ -71,17 +71,18 @@ def enrich(df: DataFrame, start: str = "shift_start") -> DataFrame:
 
     Fewer than two readable starts, or an unreadable one: UNKNOWN, -1 and 0.
     """
-    minute = minutes_of_day(F.col(start).cast("string"))
-    found = clusters(df.select(minute.alias("minute")))
-    none = F.lit(None)
-    number, centre = none.cast("int"), none.cast("double")
-    for i, (low, high, mid) in enumerate(found):
-        inside = minute.between(int(low), int(high))
-        number, centre = F.when(inside, i).otherwise(number), F.when(inside, F.lit(mid)).otherwise(centre)
-    sure = F.when(centre.isNotNull(), rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(minute - centre) / REACH)), 2))
-    out = df.withColumns({"shift_start_minutes": minute, "shift_cluster_id": F.coalesce(number, F.lit(-1)), "detected_shift_type": F.coalesce(band(centre), F.lit("UNKNOWN")), "shift_detection_confidence": F.coalesce(sure, F.lit(0.0))})
-    said = F.format_string("start %s is in the %s cluster around %s", clock(minute), band(centre), clock(centre))
-    return out.withColumn("shift_detection_evidence", F.when(centre.isNotNull(), said).otherwise("no readable start, or too few"))
+    new = ["shift_start_minutes", "shift_cluster_id", "detected_shift_type", "shift_detection_confidence", "shift_detection_evidence"]
+    rows = df.withColumn("_minute", minutes_of_day(F.col(start).cast("string"))).drop(*new)
+    found = clusters(rows.select(F.col("_minute").alias("minute")))
+    # A minute's cluster is looked up: the join keeps the reading of a start and what follows from it apart.
+    minutes = [(m, i, mid) for i, (low, high, mid) in enumerate(found) for m in range(int(low), int(high) + 1)]
+    known = df.sparkSession.createDataFrame(minutes, "_at int, shift_cluster_id int, centre double")
+    sure = rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.col("_at") - F.col("centre")) / REACH)), 2)
+    centre = F.col("centre")
+    said = F.format_string("start %s is in the %s cluster around %s", clock(F.col("_at")), band(centre), clock(centre))
+    known = known.select("_at", "shift_cluster_id", band(centre).alias("detected_shift_type"), sure.alias("shift_detection_confidence"), said.alias("shift_detection_evidence"))
+    out = rows.join(F.broadcast(known), F.col("_minute") == F.col("_at"), "left").drop("_at")
+    return out.withColumnRenamed("_minute", "shift_start_minutes").fillna({"shift_cluster_id": -1, "detected_shift_type": "UNKNOWN", "shift_detection_confidence": 0.0, "shift_detection_evidence": "no readable start, or too few"})
 
 
 def patterns(df: DataFrame, start: str = "shift_start", end: str = "shift_end") -> DataFrame:

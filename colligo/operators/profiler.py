@@ -1,52 +1,109 @@
 """What a table's columns are: one row of statistics and a detected type for each.
 
-The table is unpivoted once.  Counts of values and nulls are over all rows; the rest is over a sample,
-the first non-null values in a given order, which every partition narrows down before anything is
-shuffled.
+The table is unpivoted once, in a pass that keeps, of each column, the counts and the first non-null
+values in a given order of every partition.  Only these are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import parsing as P
 
 SAMPLE, EXAMPLES = 2000, 15
+#: Partitions' samples are narrowed again in so many parts.
+PARTS = 64
 #: Words in a column's name that hint at a duration (fixed values).
 DURATION_HINTS = ["duration", "dur", "elapsed", "turnover", "turn over", "tat", "t.a.t", "mins", "min", "minutes", "hours", "hrs", "sec", "seconds"]
 #: Types in the order that decides between equal scores.
 TYPES = ["datetime", "date", "time_of_day", "duration", "integer", "float", "boolean", "categorical", "free_text", "id_like", "text"]
 
 
-def unpivot(df: DataFrame, order: Column, columns: list[str] | None = None) -> DataFrame:
-    """``(column_position, column_name, at, value)``: every value as normalised text."""
-    names = columns or df.columns
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), P.normalised(F.col(f"`{n}`")).alias("v")) for i, n in enumerate(names)]))
-    return df.select(order.alias("at"), cells.alias("c")).select(F.col("c.i").alias("column_position"), F.col("c.n").alias("column_name"), "at", F.col("c.v").alias("value"))
-
-
-def sample(cells: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The first ``size`` non-null values of each column, numbered ``rank`` from 1."""
-    cells = cells.where(F.col("value").isNotNull())
-    near = W.partitionBy("column_name", "part").orderBy("at", "value")
-    few = cells.withColumn("part", F.spark_partition_id()).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= size)
-    return few.withColumn("rank", F.row_number().over(W.partitionBy("column_name").orderBy("at", "value"))).where(F.col("rank") <= size).drop("part")
+def _cell(df: DataFrame, name: str) -> Column:
+    """A column's values as normalised text; numbers, dates and the like have no white space to see to."""
+    column = F.col(f"`{name}`")
+    if df.schema[name].dataType.simpleString() in ("string", "binary") or isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return P.normalised(column)
+    text = column.cast("string")
+    return F.when(~F.lower(text).isin(P.NULL_LIKE), text)
+
+
+def _narrowing(names: list[str], keys: list[str], size: int):
+    """Keeps of each column the counts and the first ``size`` non-null values of a partition, in the order of ``keys`` and the values."""
+    order = [(k, "ascending") for k in [*keys, "value"]]
+
+    def first(rows: pa.Table) -> pa.Table:
+        return rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start").slice(0, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table | None] = [None] * len(names)
+        cut: list = [None] * len(names)
+        counts = np.zeros((len(names), 2), np.int64)
+        for batch in batches:
+            for i in range(len(names)):
+                values = batch.column(f"v{i}")
+                counts[i] += len(values) - values.null_count, values.null_count
+                rows = pa.Table.from_arrays([*(batch.column(k) for k in keys), values], [*keys, "value"])
+                rows = rows.filter(pc.is_valid(values))
+                if cut[i] is not None and rows.num_rows:  # nothing behind the last of enough others counts
+                    rows = rows.filter(pc.fill_null(pc.less_equal(rows[keys[0]], cut[i]), True))
+                if not rows.num_rows:
+                    continue
+                held[i] = rows if held[i] is None else pa.concat_tables([held[i], rows])
+                if held[i].num_rows > 4 * size:
+                    held[i] = first(held[i])
+                    cut[i] = held[i][keys[0]][-1] if held[i][keys[0]][-1].is_valid else None
+        for i, name in enumerate(names):
+            rows = first(held[i]).combine_chunks() if held[i] is not None else None
+            if rows is not None:
+                n = rows.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int32()), pa.array([name] * n), *(rows[c].combine_chunks() for c in [*keys, "value"]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["column_position", "column_name", *keys, "value", "filled", "missing"])
+            if counts[i].any():
+                types = [batch.schema.field(k).type for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([name]), *(pa.nulls(1, t) for t in types), pa.nulls(1, pa.string()), *(pa.array([int(x)]) for x in counts[i])], ["column_position", "column_name", *keys, "value", "filled", "missing"])
+
+    return run
+
+
+def sample(df: DataFrame, order: Column, columns: list[str] | None = None, size: int = SAMPLE) -> DataFrame:
+    """``(column_position, column_name, value, rank, filled, missing)``: the first ``size`` non-null values of each column, ``rank`` from 1.
+
+    Rows without a value have counts of values and of nulls instead.  Each partition sends no more than
+    ``size`` values of a column; those of many partitions are narrowed again before they come together.
+    """
+    names = list(columns or df.columns)
+    at = df.select(order.alias("at")).schema["at"].dataType
+    parts = [F.col("at")[f.name] for f in at.fields] if isinstance(at, T.StructType) else [F.col("at")]
+    kinds = [f.dataType for f in at.fields] if isinstance(at, T.StructType) else [at]
+    keys = [f"k{i}" for i in range(len(parts))]
+    cells = df.select(order.alias("at"), *[_cell(df, n).alias(f"v{i}") for i, n in enumerate(names)]).select(*[c.alias(k) for c, k in zip(parts, keys)], *[f"v{i}" for i in range(len(names))])
+    out = T.StructType([T.StructField("column_position", T.IntegerType()), T.StructField("column_name", T.StringType()), *[T.StructField(k, t) for k, t in zip(keys, kinds)], T.StructField("value", T.StringType()), T.StructField("filled", T.LongType()), T.StructField("missing", T.LongType())])
+    few = cells.mapInArrow(_narrowing(names, keys, size), out).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    for by in (["column_position", "column_name", "part"], ["column_position", "column_name"]):
+        counted = F.col("value").isNull()
+        few = few.withColumn("rank", F.row_number().over(W.partitionBy(*by, counted).orderBy(*keys, "value"))).where(counted | (F.col("rank") <= size))
+    return few.select("column_position", "column_name", "value", F.when(F.col("value").isNotNull(), F.col("rank")).alias("rank"), "filled", "missing")
 
 
 def statistics(df: DataFrame, order: Column, columns: list[str] | None = None, size: int = SAMPLE) -> DataFrame:
     """Counts, rates and ranges of each column."""
-    cells = unpivot(df, order, columns)
-    counts = cells.groupBy("column_position", "column_name").agg(F.count("value").alias("non_null_count"), F.count_if(F.col("value").isNull()).alias("null_count"))
     v = F.col("value")
-    rows = sample(cells, size).withColumns({"dt": P.datetime(v), "day": P.date(v), "tod": P.time_of_day(v), "dur": P.duration_seconds(v), "num": P.number(v), "clean": P.cleaned_number(v)})
-    rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    rows = sample(df, order, columns, size).withColumns({"dt": P.datetime(v), "day": P.date(v), "tod": P.time_of_day(v), "dur": P.duration_seconds(v), "num": P.number(v), "clean": P.cleaned_number(v)})
+    rate = lambda c: F.avg(F.when(v.isNotNull(), F.when(c, 1.0).otherwise(0.0)))
     hits = {name: rate(v.rlike(shape)) for name, shape in P.SHAPES.items()}
     in_years = rate(F.year("dt").between(2000, 2050)) / F.nullif(rate(F.col("dt").isNotNull()), F.lit(0.0))
     in_day = F.avg(F.when(F.col("dur").isNotNull(), F.when(F.col("dur").between(0, 86400), 1.0).otherwise(0.0)))
-    measured = rows.groupBy("column_name").agg(
-        F.count("*").alias("sample_count"), F.countDistinct("value").alias("unique_count"),
+    seen = F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("rank", "value")))), lambda x: x["value"])
+    return rows.groupBy("column_position", "column_name").agg(
+        F.sum("filled").alias("non_null_count"), F.sum("missing").alias("null_count"), F.nullif(F.count("value"), F.lit(0)).alias("sample_count"), F.countDistinct("value").alias("unique_count"),
         F.avg(F.char_length("value")).alias("avg_strlen"), F.max(F.char_length("value")).alias("max_strlen"),
         *[h.alias(f"hit_{n}") for n, h in hits.items()],
         rate(F.col("dt").isNotNull()).alias("rate_datetime"), rate(F.col("day").isNotNull()).alias("rate_date"), rate(F.col("tod").isNotNull()).alias("rate_time_of_day"),
@@ -56,10 +113,8 @@ def statistics(df: DataFrame, order: Column, columns: list[str] | None = None, s
         F.sum(F.when(F.col("num").isNotNull(), 1).otherwise(0)).alias("numeric_count"),
         in_years.alias("in_years"), in_day.alias("in_day"),
         F.min("num").alias("numeric_min"), F.max("num").alias("numeric_max"), F.min("dt").alias("datetime_min"), F.max("dt").alias("datetime_max"),
-        F.min("dur").alias("duration_min"), F.max("dur").alias("duration_max"),
+        F.min("dur").alias("duration_min"), F.max("dur").alias("duration_max"), F.slice(F.array_distinct(seen), 1, EXAMPLES).alias("sample_values"),
     )
-    firsts = rows.groupBy("column_name", "value").agg(F.min("rank").alias("rank")).groupBy("column_name").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "value"))), 1, EXAMPLES).getField("value").alias("sample_values"))
-    return counts.join(measured, "column_name", "left").join(firsts, "column_name", "left")
 
 
 def _guarded(scores: dict[str, Column]) -> dict[str, Column]:

@@ -425,9 +425,29 @@ def _starts(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH:mm").alias("shift_start"), F.date_format(F.col("ts") + F.expr("interval 8 hours"), "HH:mm").alias("shift_end"))
 
 
-@query()
+#: The same dynamic programming over the histogram's cells: c has the cost of one cluster, b2 to b4 the best of more and where the last begins.
+_CLUSTERED = """
+WITH e AS (SELECT event_id, CAST(extract(hour FROM ts) * 60 + extract(minute FROM ts) AS INTEGER) AS m FROM events),
+     h AS (SELECT m, row_number() OVER (ORDER BY m) AS i, sum(n) OVER w AS w, sum(n * m) OVER w AS s, sum(n * m * m) OVER w AS q FROM (SELECT m, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY m) WINDOW w AS (ORDER BY m)),
+     p AS (SELECT * FROM h UNION ALL SELECT -1, 0, 0, 0, 0),
+     c AS (SELECT a.i + 1 AS i, b.i AS j, b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.w - a.w) AS cost FROM p a JOIN p b ON a.i < b.i),
+     b1 AS (SELECT j, cost FROM c WHERE i = 1),
+     b2 AS (SELECT c.j, min(b1.cost + c.cost) AS cost, arg_min(c.i, b1.cost + c.cost) AS at FROM c JOIN b1 ON b1.j = c.i - 1 GROUP BY c.j),
+     b3 AS (SELECT c.j, min(b2.cost + c.cost) AS cost, arg_min(c.i, b2.cost + c.cost) AS at FROM c JOIN b2 ON b2.j = c.i - 1 GROUP BY c.j),
+     b4 AS (SELECT c.j, arg_min(c.i, b3.cost + c.cost) AS at FROM c JOIN b3 ON b3.j = c.i - 1 GROUP BY c.j),
+     k3 AS (SELECT b4.j AS e3, b4.at AS s3, b3.at AS s2 FROM b4 JOIN b3 ON b3.j = b4.at - 1 WHERE b4.j = (SELECT max(i) FROM h)),
+     k AS (SELECT e3, s3, s2, b2.at AS s1 FROM k3 JOIN b2 ON b2.j = s2 - 1),
+     r AS (SELECT 0 AS id, 1 AS a, s1 - 1 AS b FROM k UNION ALL SELECT 1, s1, s2 - 1 FROM k UNION ALL SELECT 2, s2, s3 - 1 FROM k UNION ALL SELECT 3, s3, e3 FROM k),
+     x AS (SELECT id, a, b, (hi.s - lo.s) / (hi.w - lo.w) AS centre FROM r JOIN p hi ON hi.i = b JOIN p lo ON lo.i = a - 1)
+"""
+
+
+@query(f"""{_CLUSTERED}
+SELECT event_id, e.m AS shift_start_minutes, CAST(id AS INTEGER) AS shift_cluster_id, {_BAND_SQL.replace("WHEN m", "WHEN floor(centre)")} AS detected_shift_type,
+       round(greatest(0, least(1, 1 - abs(e.m - centre) / 120)) * 100) / 100 AS shift_detection_confidence
+FROM e JOIN h ON h.m = e.m JOIN x ON h.i BETWEEN x.a AND x.b""")
 def kmeans_buckets(spark, sf_dir):
-    """The best four clusters of starts; tests hold them against brute force."""
+    """The best four clusters of starts."""
     return clustering.enrich(_starts(spark, sf_dir)).select("event_id", "shift_start_minutes", "shift_cluster_id", "detected_shift_type", "shift_detection_confidence")
 
 
