@@ -510,21 +510,22 @@ def _compared(open_: DataFrame, classes: DataFrame, whole: DataFrame, percent: i
     that leaves out no more than the spare number.  So such a text is held against all members of its
     open groups but the largest ones, whatever those members show elsewhere.
 
-    Groups with the same largest component are compared as one: near copies share a group in most of
-    their signatures, and so meet once.  In it, every block of the ones meets every block of the others.
+    Groups around the same component, of those in them the one that is in most, are compared as one: near
+    copies and texts with one passage share most of such groups, and so meet once.  In it, every block
+    of the ones meets every block of the others.
     """
     wants = open_.groupBy("a").count().join(classes.select("a", "spare"), "a").select("a", (F.col("count") - F.col("spare")).alias("wants")).where("wants > 0")
     many = open_.groupBy("sig").agg(F.count("*").alias("many"))
     smallest = F.row_number().over(W.partitionBy("a").orderBy("many", "sig"))
     chosen = materialise(open_.join(wants, "a").join(many, "sig").withColumn("rank", smallest).where("rank <= wants").select("sig", "a", "label"), "chosen")
     members = materialise(open_.join(chosen.select("sig").distinct(), "sig", "left_semi"), "met")
-    ranked = members.groupBy("sig", "label").agg(F.count("*").alias("many"))
-    around = ranked.groupBy("sig").agg(F.max(F.struct("many", "label")).getField("label").alias("around"))
+    weights = members.groupBy("label").agg(F.count("*").alias("weight"))
+    around = members.select("sig", "label").distinct().join(weights, "label").groupBy("sig").agg(F.max(F.struct("weight", "label")).getField("label").alias("around"))
     every_one = lambda rows: rows.join(around, "sig").groupBy("around", "a", "label").agg(F.lit(1).alias("there"))
     members = every_one(members).join(every_one(chosen).withColumnRenamed("there", "probing"), ["around", "a", "label"], "left")
     members = materialise(members.join(classes.select("a", "n"), "a"), "members")
     outside, probing = F.col("label") != F.col("around"), F.col("probing").isNotNull()
-    # Those outside the largest component are held against all; those in it against the others outside.
+    # Those outside that component are held against all; those in it against the others outside.
     meetings = [(outside & probing, F.lit(True)), (~outside & probing, outside)]
     blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
     sizes = members.groupBy("around").agg(*[blocks(which).alias(f"{side}{k}") for k, sides in enumerate(meetings) for side, which in zip(("is", "js"), sides)])
