@@ -71,22 +71,26 @@ def yes(value: Column) -> Column:
     return F.coalesce(F.lower(value.cast("string")).isin(YES), F.lit(False))
 
 
+#: Each term's unit: a unit's own name, or another name of it; of units with one term the first counts.
+UNIT_OF = {term: unit for unit, others in reversed(ALIASES.items()) for term in (*others.lower().split(), unit)}
+
+
 def unit_name(name: str | None) -> str | None:
     """A unit's canonical name, or None."""
-    low = (name or "").lower().strip()
-    if low in ALIASES:
-        return low
-    return next((unit for unit, others in ALIASES.items() if low and low in others.lower().split()), None)
+    return UNIT_OF.get((name or "").strip().lower())
 
 
 def unit_of_name(column: str, accepted: list[str]) -> str | None:
-    """The first accepted unit that a column's name shows at an end or at an underscore."""
+    """The unit that a column's name ends with, begins with or has as one of its words; of several accepted ones, the one accepted first.
+
+    Names are taken as terms: their words between underscores, and all beginnings and ends of those.
+    """
     low = column.lower()
-    for unit in map(unit_name, accepted):
-        for term in [unit, *ALIASES[unit].lower().split()] if unit else []:
-            if low.startswith(term) or low.endswith(term) or f"_{term}" in low or f"{term}_" in low:
-                return unit
-    return None
+    words = low.split("_")
+    heads = [w[:i] for w in words[1:] for i in range(1, len(w) + 1)] + [low[:i] for i in range(1, len(low) + 1)]
+    tails = [w[i:] for w in words[:-1] for i in range(len(w))] + [low[i:] for i in range(len(low))]
+    shown = {UNIT_OF[t] for t in {*heads, *tails} if t in UNIT_OF}
+    return next((u for u in map(unit_name, accepted) if u in shown), None)
 
 
 def unit_of_values(least: float | None, mean: float | None, most: float | None, target: str, accepted: list[str]) -> str | None:
