@@ -69,8 +69,9 @@ class Bpe:
         self._letter = (-1, "", "")
         self._whole: dict[str, bool] = {}
         self._follows: dict[tuple[str, str], bool] = {}
-        # Ends of tokens; ids of short texts between white space.
+        # Ends of tokens; the last token of words' beginnings; ids of short texts between white space.
         self.tails = {"".join(symbols[i:]) for symbols in map(self._symbols, self.vocab) for i in range(len(symbols))}
+        self._states: dict[str, str] = {}
         self._known: dict[str, bytes] = {}
 
     def _symbols(self, token: str) -> list[str]:
@@ -139,7 +140,7 @@ class Bpe:
     def _last(self, text: str, most: int, n: int, last: list[str | None], before_all: str | None, ended: bool) -> str | None:
         """The token that ends the encoding of ``n`` symbols.
 
-        ``text`` ends with up to ``most`` of them, and with the word's end if ``ended``; ``last`` has
+        ``text`` ends with ``most`` of them at least, and with the word's end if ``ended``; ``last`` has
         the shorter ends.
         """
         length, tails, ending = self.length, self.tails, []
@@ -165,14 +166,22 @@ class Bpe:
         ``step`` symbols what has become stable is emitted and leaves the window, which so never
         holds more than the lookahead, two tokens and a step.
         """
-        window: list[str] = []
+        states, longest, step = self._states, self.longest, step or self.longest
+        window, n = "", 0
         last: list[str | None] = [None]
         base_text: str | None = None
-        step, longest, n = step or self.longest, self.longest, 0
         for read, symbol in enumerate(symbols, 1):
-            window.append(symbol)
-            n += 1
-            last.append(self._last("".join(window[-longest:]), min(n, longest), n, last, base_text, len(symbol) > 1))
+            window, n, ended = window + symbol, n + 1, len(symbol) > 1
+            # What ends the beginning of a word is remembered for all words that begin so.
+            shared = base_text is None and n <= SHORT and not ended
+            found = states.get(window) if shared else None
+            if found is None:
+                found = self._last(window, min(n, longest), n, last, base_text, ended)
+                if shared and found is not None:
+                    if len(states) >= REMEMBERED:
+                        states.clear()
+                    states[window] = found
+            last.append(found)
             if n > longest and read % step == 0 and (emitted := self._stable(last, n)):
                 for t in emitted:
                     yield self.vocab[t]
@@ -213,7 +222,7 @@ class Bpe:
     def word(self, word: str) -> Iterator[int]:
         """A pre-token's ids."""
         letters, raw = self.letters, word.encode("utf-8")
-        return self.transduce(letters[b] + (self.end if i == len(raw) - 1 else "") for i, b in enumerate(raw))
+        return self.transduce(itertools.chain((letters[b] for b in raw[:-1]), (letters[raw[-1]] + self.end,)))
 
     def chunk(self, chunk: str) -> Iterator[bytes]:
         """The ids of a normalised text without white space, as little-endian unsigned 32-bit integers, piece by piece."""
