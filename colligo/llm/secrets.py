@@ -51,7 +51,7 @@ still super tele their there these thing think those thought three through tion
 """.split()
 #: Characters of the surroundings on either side, the least marginal bytes, and the least for each
 #: character of a string with digits and of one of letters alone, which may be a rare word.
-AROUND, LEAST, SHARE, OF_LETTERS = 256, 14, 0.7, 0.9
+AROUND, LEAST, SHARE, OF_LETTERS = 256, 14, 0.7, 0.95
 
 
 @cache
@@ -63,7 +63,8 @@ def _compressor(words: tuple[str, ...]) -> zstandard.ZstdCompressor:
 def marginal_bytes(value: str, before: str, after: str, words: tuple[str, ...] = tuple(IDENTIFIERS)) -> int:
     """What ``value`` adds to its compressed surroundings."""
     pack = _compressor(words).compress
-    around = before + "\n" + after + "\n"
+    # With the names in front, a short text too is compressed rather than stored as it is.
+    around = " ".join(words) + "\n" + before + "\n" + after + "\n"
     return len(pack((around + value).encode("utf-8", "replace"))) - len(pack(around.encode("utf-8", "replace")))
 
 
