@@ -119,6 +119,17 @@ def test_secrets_behind_the_most_sensitive_words(spark):
     assert [r["found"] for r in got] == [[value]] * 7 + [[], []]
 
 
+def test_secrets_base_against_plain_patterns():
+    rng = random.Random(9)
+    parts = ["password", "SECRET", "api_key", "apikey", "token", "'", '"', " ", ":", "=", "abc", "A1+/", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "\n", "é"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        want = [("assign", m.start(), m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert secrets.base_spans(t) == want, t
+
+
 # --- 3, 8: quality ---
 
 
@@ -211,6 +222,25 @@ def test_quality_classifier_held_out(spark):
     assert all(r["score"] == 0.5 for r in quality_classifier.classify(docs, labels.limit(0)).collect())
 
 
+def test_votes_against_plain_loops():
+    """Scores of a model against its definition, one text and one neighbour at a time; of equal neighbours the first count."""
+    rng = np.random.default_rng(6)
+    sample = rng.normal(size=(80, 4))
+    sample = np.concatenate([sample, sample[:30]])  # ties
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    good, weight = rng.integers(0, 2, 110).astype(float), rng.random(110)
+    model = quality_classifier.Model(np.ones(4), np.eye(4), sample, good, weight, 0.4)
+    x = np.concatenate([rng.normal(size=(300, 4)), np.zeros((1, 4))])
+    got = model.score(x)
+    for row, score in zip(x, got):
+        norm = np.linalg.norm(row)
+        near = [round(float(row @ v) / norm, quality_classifier.DIGITS) if norm else 0.0 for v in sample]
+        best = sorted(range(110), key=lambda i: (-near[i], i))[: quality_classifier.NEIGHBOURS]
+        votes = [(max(near[i], 0.0) ** 4 * weight[i], good[i]) for i in best]
+        total = sum(v for v, _ in votes)
+        assert score == pytest.approx(sum(v * g for v, g in votes) / total if total else 0.4, abs=1e-9)
+
+
 def test_quality_classifier_samples_what_the_docs_have(spark):
     labels = spark.createDataFrame([(i, int(i >= 400), 0) for i in range(800)], "doc_id long, quality int, toxic int")
     free = [(r["doc_id"], r["quality"]) for r in labels.where(~quality_classifier.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
