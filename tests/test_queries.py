@@ -6,8 +6,9 @@ import math
 
 import duckdb
 import pytest
-from colligo.plans.queries import QUERIES, SQL
+from colligo.plans import queries, report_queries
 
+QUERIES, SQL = queries.QUERIES | report_queries.QUERIES, queries.SQL | report_queries.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
 
 
