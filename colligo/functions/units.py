@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,13 +95,17 @@ def unit_of_name(column: str, accepted: list[str]) -> str | None:
     return next((u for u in map(unit_name, accepted) if u in shown), None)
 
 
-def unit_of_values(least: float | None, mean: float | None, most: float | None, target: str, accepted: list[str]) -> str | None:
-    """What unit a range of values looks like, where it is not likely to be the target's; None if nothing stands out."""
+def unit_of_values(least: float | None, mean: float | None, most: float | None, target: str, accepted: list[str], fractions: bool = False) -> str | None:
+    """What unit a range of values looks like, where it is not likely to be the target's; None if nothing stands out.
+
+    ``fractions``: no value is whole.
+    """
     if None in (least, mean, most):
         return None
     # Target, likely unit, and the ranges that say so.
     signs = [
         ("minutes", "hours", least >= 0 and most <= 24 and mean < 15),
+        ("minutes", "hours", most < 15 and fractions),
         ("hours", "minutes", least >= 30 and most <= 600),
         ("seconds", "minutes", least >= 0 and most <= 60),
         ("celsius", "fahrenheit", least >= 32 and most <= 212),
@@ -110,6 +116,20 @@ def unit_of_values(least: float | None, mean: float | None, most: float | None,
     return next((unit for to, unit, seen in signs if to == target and seen and unit in accepted), None)
 
 
+def unit_of_samples(values: list[str] | None, target: str, accepted: list[str]) -> str | None:
+    """What unit the numbers among a few sample values look like; texts that are no number are passed over."""
+    numbers = []
+    for value in values or []:
+        try:
+            numbers.append(float(value))
+        except (TypeError, ValueError):
+            continue
+    numbers = [x for x in numbers if math.isfinite(x)]
+    if not numbers:
+        return None
+    return unit_of_values(min(numbers), sum(numbers) / len(numbers), max(numbers), target, accepted, all(x % 1 for x in numbers))
+
+
 def conversion(column: str, target: str | None, accepted: list[str] | None, unit: str | None = None) -> dict:
     """Whether a column needs a conversion to reach its target's unit, and why."""
     if not target or not accepted:

@@ -118,6 +118,34 @@ def mapping_vote(neighbours: DataFrame) -> DataFrame:
     return best.select("source_column", F.col("best.t").alias("target_field"), rounded(-F.col("best.w") / F.nullif("total", F.lit(0.0)), 3).alias("confidence"))
 
 
+def similar_columns(columns: DataFrame, known: DataFrame, k: int = 5, vertical: str | None = None, document_type: str | None = None) -> DataFrame:
+    """The ``k`` known mappings whose column is most similar to each column, ``rank`` from 1, of one vertical or document type if named.
+
+    ``columns``: query_id, vector; ``known``: vertical, document_type, source_column, target_field, occurrence_count, vector.
+    Ties go to the mapping that comes first by its names.
+    """
+    for name, value in (("vertical", vertical), ("document_type", document_type)):
+        if value is not None:
+            known = known.where(F.col(name) == F.lit(value))
+    return nearest(columns, known.withColumn("item_id", F.to_json(F.array("vertical", "document_type", "source_column", "target_field"))), k).drop("item_id")
+
+
+def column_suggestions(columns: DataFrame, voted: DataFrame, similar: DataFrame) -> DataFrame:
+    """``source_column, target_field, confidence, origin, matched_column``: for each column the surer of two suggestions.
+
+    ``columns``: source_column; ``voted``: what similar tables mapped it to (``mapping_vote``); ``similar``:
+    source_column, target_field, similarity, rank, matched_column of known columns.  A column's own
+    neighbour counts only if it is surer than the vote; without either there is no target and confidence 0.
+    """
+    vote_ = voted.select("source_column", F.col("target_field").alias("v_target"), F.col("confidence").alias("v"))
+    near = similar.where("rank = 1").select("source_column", F.col("target_field").alias("n_target"), rounded("similarity", 3).alias("n"), "matched_column")
+    both = columns.select("source_column").join(vote_, "source_column", "left").join(near, "source_column", "left")
+    own = F.coalesce(F.col("n") > F.coalesce("v", F.lit(0.0)), F.lit(False))
+    pick = lambda a, b: F.when(own, a).otherwise(b)
+    origin = F.when(own, "column_similarity").when(F.col("v").isNotNull(), "similar_tables").otherwise("no_match")
+    return both.select("source_column", pick(F.col("n_target"), F.col("v_target")).alias("target_field"), pick(F.col("n"), F.coalesce("v", F.lit(0.0))).alias("confidence"), origin.alias("origin"), F.when(own, F.col("matched_column")).alias("matched_column"))
+
+
 def adjusted(matches: DataFrame) -> DataFrame:
     """Column-to-field matches with their similarity times the types' fit, ranked anew.
 

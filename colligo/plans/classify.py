@@ -52,14 +52,16 @@ def classify(table: DataFrame, examples: DataFrame | None = None, fields: DataFr
     """Hybrid classification of a table.
 
     ``examples``: labelled tables as ``item_id, document_type, vector``; without them the score rests
-    on columns and coverage.  Ties go to the type that comes first by name.
+    on columns and coverage.  Ties go to the type that comes first by name.  Suggestions rest on a second
+    search, among the fields of the best type alone.
     """
     spark = table.sparkSession
     fields = schemas.fields(spark) if fields is None else fields
     data = table.drop("_row") if "_row" in table.columns else table
     profiles = profiler.profile(data if order is not None else table, order if order is not None else (F.col("_row") if "_row" in table.columns else None), data.columns)
     profiles = profiles.cache()
-    matches = column_matches(profiles, indexed(fields, embedder), embedder, k).cache()
+    index = indexed(fields, embedder)
+    matches = column_matches(profiles, index, embedder, k).cache()
     if examples is None:
         documents = spark.createDataFrame([], "document_type string, document_score double")
     else:
@@ -68,21 +70,63 @@ def classify(table: DataFrame, examples: DataFrame | None = None, fields: DataFr
     scores = matching.hybrid(documents, matching.column_scores(matches, len(data.columns)), matching.coverage(matches, fields))
     first = scores.orderBy("rank").limit(1).collect()
     winner = first[0]["document_type"] if first else None
-    inside = matches.where(F.col("document_type") == winner).select("column_name", "field_name", F.col("adjusted").alias("confidence"))
+    inside = column_matches(profiles, index.where(F.col("document_type") == F.lit(winner)), embedder, k).select("column_name", "field_name", F.col("adjusted").alias("confidence"))
     suggestions = matching.suggest(inside)
     wanted = {r["field_name"]: r["unit"] for r in fields.where((F.col("document_type") == winner) & F.col("unit").isNotNull()).collect()}
     # A suggestion's conversion: one row for each column of the table, so few.
     conversions = {}
-    for r in suggestions.where("target_field is not null").collect():
+    for r in suggestions.where("target_field is not null").join(profiles.select("column_name", "sample_values"), "column_name").collect():
         unit = wanted.get(r["target_field"])
         if unit in units.ALIASES:
             accepted = [unit, *(a for a, b in units.CONVERSIONS if b == unit)]
-            found = units.conversion(r["column_name"], unit, accepted)
+            found = units.conversion(r["column_name"], unit, accepted, units.unit_of_name(r["column_name"], accepted) or units.unit_of_samples(r["sample_values"], unit, accepted))
             if found["needed"]:
                 conversions[r["target_field"]] = (found["source"], unit)
     return Classification(winner, scores, suggestions, matching.conflicts(suggestions), conversions)
 
 
+def classify_by_examples(table: DataFrame, examples: DataFrame, known: DataFrame | None = None, embedder: embedding.Embedder | None = None, order: Column | None = None, vertical: str | None = None, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """A table's type by the vote of its ``k`` most similar examples, and a suggestion for each column.
+
+    ``examples``: item_id, document_type, vector, column_mappings (as ``ingest`` gives them); ``known``: known
+    mappings (``knowledge.upsert``).  Gives ``document_type, confidence``, without a row if no example is
+    similar, and ``matching.column_suggestions``: what those examples mapped a column to, or the most similar known column's target if that is surer.
+    """
+    data = table.drop("_row") if "_row" in table.columns else table
+    order = F.col("_row") if order is None and "_row" in table.columns else order
+    described = profiler.described(profiler.profile(table, order, data.columns)).cache()
+    whole = embedding.with_vectors(profiler.table_text(described), "text", embedder).select(F.lit(0).alias("query_id"), "vector")
+    near = matching.nearest(whole, examples, k).cache()
+    names = described.select(F.col("column_name").alias("source_column"))
+    similar = table.sparkSession.createDataFrame([], "source_column string, target_field string, similarity double, rank int, matched_column string")
+    if known is not None:
+        asked = embedding.with_vectors(described, "embedding_text", embedder).select(F.col("column_name").alias("query_id"), "vector")
+        indexed_ = embedding.with_vectors(known.withColumn("text", F.concat_ws(" ", F.regexp_replace("source_column", "_", " "), F.regexp_replace("target_field", "_", " "))), "text", embedder).drop("text")
+        similar = matching.similar_columns(asked, indexed_, 3, vertical).select(F.col("query_id").alias("source_column"), "target_field", "similarity", "rank", F.col("source_column").alias("matched_column"))
+    return matching.vote(near, "document_type").drop("query_id"), matching.column_suggestions(names, matching.mapping_vote(near), similar)
+
+
+def ingest_all(tables: list[tuple[DataFrame, str, str, dict[str, str]]], embedder: embedding.Embedder | None = None) -> tuple[DataFrame | None, DataFrame | None, list[tuple[str, str | None]]]:
+    """Ingests labelled tables ``(table, item_id, document_type, mappings)`` one by one: all examples, all mappings, and each table's error or None.
+
+    A table that fails is left out and does not stop the others.
+    """
+    examples, known, told = None, None, []
+    for table, item_id, document_type, mappings in tables:
+        try:
+            missing = sorted(set(mappings) - set(table.columns))
+            if missing:
+                raise ValueError(f"not in the table: {', '.join(missing)}")
+            example, new = ingest(table, item_id, document_type, mappings, embedder)
+        except Exception as e:
+            told.append((item_id, f"{type(e).__name__}: {e}"))
+            continue
+        examples = example if examples is None else examples.unionByName(example)
+        known = new if known is None else known.unionByName(new)
+        told.append((item_id, None))
+    return examples, known, told
+
+
 def ingest(table: DataFrame, item_id: str, document_type: str, mappings: dict[str, str], embedder: embedding.Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """A labelled table as an example (``item_id, document_type, vector, column_mappings``) and its mappings for the known ones."""
     spark = table.sparkSession

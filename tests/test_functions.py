@@ -58,6 +58,8 @@ def test_units(spark):
     assert units.unit_of_name("dur_hrs", ["minutes", "hours"]) == "hours"
     assert units.unit_name(" HRS ") == "hours" and units.unit_name("parsec") is None
     assert units.unit_of_values(4, 8, 12, "minutes", ["hours", "minutes"]) == "hours"
+    assert units.unit_of_samples(["-0.5", "7.25", "x", None, "inf"], "minutes", ["hours", "minutes"]) == "hours"
+    assert units.unit_of_samples(["-0.5", "7"], "minutes", ["hours", "minutes"]) is None and units.unit_of_samples([], "minutes", ["hours"]) is None
     assert units.conversion("dur_hrs", "minutes", ["hours", "minutes"])["needed"]
     assert not units.conversion("duration_minutes", "minutes", ["hours", "minutes"])["needed"]
     row = spark.range(1).select(units.convert(F.lit(212), "fahrenheit", "celsius").alias("c"), units.convert(F.lit(90), "minutes", "hours").alias("h"), units.convert(F.lit(1), "m", "kg").alias("same")).first()

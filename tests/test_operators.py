@@ -69,3 +69,16 @@ def test_distinct_tokens(spark):
 
     rows = spark.createDataFrame([(1, "Emp ID emp  id X"), (2, ""), (3, None), (4, "a\nA b")], "k int, text string")
     assert {r["k"]: r["tokens"] for r in distinct_tokens(rows, "k").collect()} == {1: "Emp ID X", 4: "a b"}
+
+
+def test_similar_columns_and_suggestions(spark):
+    known = spark.createDataFrame([("m", "t", "a", "f", 2, [1.0, 0.0]), ("m", "u", "b", "g", 1, [0.6, 0.8]), ("n", "t", "c", "h", 1, [0.0, 1.0])], "vertical string, document_type string, source_column string, target_field string, occurrence_count long, vector array<double>")
+    asked = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "query_id string, vector array<double>")
+    got = lambda **k: {(r["query_id"], r["rank"]): (r["source_column"], r["similarity"]) for r in matching.similar_columns(asked, known, 2, **k).collect()}
+    assert got() == {("x", 1): ("a", 1.0), ("x", 2): ("b", 0.6), ("y", 1): ("c", 1.0), ("y", 2): ("b", 0.8)}
+    assert got(vertical="m", document_type="u") == {("x", 1): ("b", 0.6), ("y", 1): ("b", 0.8)} and got(vertical="z") == {}
+    columns = spark.createDataFrame([("x",), ("y",), ("z",), ("w",)], "source_column string")
+    voted = spark.createDataFrame([("x", "p", 0.6), ("y", "q", 0.5), ("w", "r", 0.5)], "source_column string, target_field string, confidence double")
+    similar = spark.createDataFrame([("x", "f", 0.6, 1, "a"), ("y", "g", 0.9, 1, "b"), ("y", "h", 0.8, 2, "c")], "source_column string, target_field string, similarity double, rank int, matched_column string")
+    rows = {r["source_column"]: tuple(r)[1:] for r in matching.column_suggestions(columns, voted, similar).collect()}
+    assert rows == {"x": ("p", 0.6, "similar_tables", None), "y": ("g", 0.9, "column_similarity", "b"), "z": (None, 0.0, "no_match", None), "w": ("r", 0.5, "similar_tables", None)}

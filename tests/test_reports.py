@@ -1,5 +1,6 @@
 import pytest
-from colligo.plans.classify import classify
+from colligo.operators import knowledge
+from colligo.plans.classify import classify, classify_by_examples, ingest_all
 from colligo.plans.reports import C, P, Parameter, Registry, S
 from colligo.sources.tables import Store, read_csv, renamed, table_name
 
@@ -95,6 +96,22 @@ def test_classify(spark):
     assert c.conversions == {"duration_minutes": ("hours", "minutes")}
 
 
+def test_unit_by_values(spark):
+    rows = [(f"E{i:03d}", "2024-01-0%d" % (1 + i % 9), "08:00", "16:00", "7.5") for i in range(12)]
+    c = classify(spark.createDataFrame(rows, "emp_id string, shift_date string, start_time string, end_time string, duration string"))
+    assert c.document_type == "employee_shifts" and c.conversions == ({"duration_minutes": ("hours", "minutes")} if c.mappings.get("duration") == "duration_minutes" else {})
+
+
+def test_classify_by_examples(spark):
+    shifts = spark.createDataFrame([("E1", "2024-01-01", "08:00")], "emp string, day string, start string")
+    pay = spark.createDataFrame([("E1", 10.5)], "emp string, rate double")
+    examples, known, told = ingest_all([(shifts, "a", "employee_shifts", {"emp": "employee_id", "start": "shift_start"}), (pay, "b", "employee_compensation", {"none": "x"}), (pay, "c", "employee_compensation", {"emp": "employee_id"})])
+    assert [e is None for _, e in told] == [True, False, True] and examples.count() == 2
+    best, columns = classify_by_examples(shifts, examples, knowledge.upsert(None, known), k=1)
+    assert tuple(best.first()) == ("employee_shifts", 1.0)
+    assert {r["source_column"]: (r["target_field"], r["confidence"], r["origin"]) for r in columns.collect() if r["source_column"] != "day"} == {"emp": ("employee_id", 1.0, "similar_tables"), "start": ("shift_start", 1.0, "similar_tables")}
+
+
 def test_export_and_log(spark, tables, tmp_path):
     from colligo.plans.reports import export, log
 
