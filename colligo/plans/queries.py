@@ -333,6 +333,38 @@ def knn_vote(spark, sf_dir):
     return matching.vote(_near(spark, sf_dir), "label")
 
 
+_KNOWN = f"""m AS (SELECT 'v' || CAST(label % 2 AS VARCHAR) AS vertical, 't' || CAST(label AS VARCHAR) AS document_type, 'c' || CAST(vec_id AS VARCHAR) AS source_column, 'f' || CAST(vec_id % 7 AS VARCHAR) AS target_field, v FROM e),
+     x AS (SELECT q.vec_id AS query_id, source_column, document_type, target_field, round({_COS}, 6) AS similarity FROM e q, m i WHERE q.vec_id % 20 = 0 AND vertical = 'v1'),
+     y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, document_type, source_column, target_field) AS INTEGER) AS rank FROM x)"""
+
+
+def _similar(spark, sf_dir, k: int = 3) -> DataFrame:
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    e = _t(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    known = e.select(name("v", F.col("label") % 2).alias("vertical"), name("t", F.col("label")).alias("document_type"), name("c", F.col("vec_id")).alias("source_column"), name("f", F.col("vec_id") % 7).alias("target_field"), F.lit(1).cast("long").alias("occurrence_count"), "vector")
+    return matching.similar_columns(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector"), known, k, vertical="v1")
+
+
+@query(f"WITH {_NEAR}, {_KNOWN} SELECT query_id, source_column, document_type, target_field, similarity, rank FROM y WHERE rank <= 3")
+def similar_columns(spark, sf_dir):
+    """Known columns of one vertical that are most similar to each column."""
+    return _similar(spark, sf_dir).select("query_id", "source_column", "document_type", "target_field", "similarity", "rank")
+
+
+@query(f"""
+WITH {_NEAR}, {_VOTE}, {_KNOWN}, d AS (SELECT b.query_id, 'f' || CAST(label AS VARCHAR) AS target, round(weight / total, 3) AS v FROM b JOIN t ON b.query_id = t.query_id WHERE rank = 1 AND b.query_id % 40 = 0),
+     o AS (SELECT a.vec_id AS query_id, target, v, target_field, source_column, round(similarity, 3) AS n FROM embeddings a LEFT JOIN d ON d.query_id = vec_id LEFT JOIN (SELECT * FROM y WHERE rank = 1) z ON z.query_id = vec_id WHERE vec_id % 20 = 0)
+SELECT 'c' || CAST(query_id AS VARCHAR) AS source_column, CASE WHEN n > coalesce(v, 0) THEN target_field ELSE target END AS target_field, CASE WHEN n > coalesce(v, 0) THEN n ELSE coalesce(v, 0) END AS confidence,
+       CASE WHEN n > coalesce(v, 0) THEN 'column_similarity' WHEN v IS NOT NULL THEN 'similar_tables' ELSE 'no_match' END AS origin, CASE WHEN n > coalesce(v, 0) THEN source_column END AS matched_column FROM o""")
+def column_suggestions(spark, sf_dir):
+    """For each column the surer of the neighbours' vote, which half of the columns have, and the most similar known column."""
+    column = F.concat(F.lit("c"), F.col("query_id").cast("string")).alias("source_column")
+    voted = matching.vote(_near(spark, sf_dir), "label").where("query_id % 40 = 0").select(column, F.concat(F.lit("f"), F.col("label").cast("string")).alias("target_field"), "confidence")
+    similar = _similar(spark, sf_dir).select(column, "target_field", "similarity", "rank", F.col("source_column").alias("matched_column"))
+    columns = _t(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")).select(column)
+    return matching.column_suggestions(columns, voted, similar)
+
+
 _DOC = "SELECT label AS document_type, avg(similarity) AS document_score FROM k GROUP BY label"
 
 
