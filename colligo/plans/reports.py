@@ -82,9 +82,10 @@ class Result:
         return self.error is None
 
     def to_csv(self, path: str) -> None:
+        """Files of a folder, with headers; read by name they keep the report's order."""
         if self.data is None:
             raise ValueError(f"report {self.report} has no data")
-        self.data.coalesce(1).write.mode("overwrite").csv(path, header=True)
+        self.data.write.mode("overwrite").csv(path, header=True)
 
 
 def _between(day: Column, p: dict[str, Any]) -> Column:
