@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, filter_audit, html_text, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, topk
+from . import bpe, chat, filter_audit, html_text, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
 from .common import table
 
 
@@ -66,13 +66,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and its component of near fingerprints."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes at each step of each order, by language."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii, op2_secrets, op3_quality_rules, op4_html_text, op5_chat, op6_bpe, op7_topk, op8_quality_classifier, op9_packing, op10_ngram_join, op13_filter_audit]
+    own = [op1_pii, op2_secrets, op3_quality_rules, op4_html_text, op5_chat, op6_bpe, op7_topk, op8_quality_classifier, op9_packing, op10_ngram_join, op11_simhash, op13_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
