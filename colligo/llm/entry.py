@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, filter_audit, html_text, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
+from . import bpe, chat, filter_audit, hard_negatives, html_text, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
 from .common import table
 
 
@@ -71,15 +71,21 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh has the label after its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes at each step of each order, by language."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii, op2_secrets, op3_quality_rules, op4_html_text, op5_chat, op6_bpe, op7_topk, op8_quality_classifier, op9_packing, op10_ngram_join, op11_simhash, op13_filter_audit]
+    own = [op1_pii, op2_secrets, op3_quality_rules, op4_html_text, op5_chat, op6_bpe, op7_topk, op8_quality_classifier, op9_packing, op10_ngram_join, op11_simhash, op12_hard_negatives, op13_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": topk.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op7_topk": topk.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_filter_audit": filter_audit.SQL}
