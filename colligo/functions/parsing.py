@@ -19,7 +19,9 @@ SHAPES = {
     "pure_number_like": r"^\s*\d+\s*$",
     "duration_suffix_like": r"^\s*[-+]?\d+(\.\d+)?\s*[hmsHMS]\s*$",
 }
-#: Formats in order of trial: the first that fits gives the value.  One letter takes one digit or two.
+#: What a value needs for any of the formats below; one without it is not tried, as a failed trial is slow.
+_DAY_LIKE, _MOMENT_LIKE = r"\d[-/]\d+[-/]\d", r"\d[-/]\d+[-/]\d+[ T]+\d+:\d"
+#: Formats in order of trial; the first that fits gives the value.  One letter takes one digit or two.
 DATETIME_FORMATS = ["yyyy-M-d H:m:s", "yyyy-M-d H:m", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m"]
 DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy"]
 
@@ -46,19 +48,19 @@ def is_whole(value: Column) -> Column:
 
 def datetime(value: Column) -> Column:
     """The first of DATETIME_FORMATS that fits; bare digits are no datetime."""
-    tried = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in DATETIME_FORMATS])
-    return F.when(~value.rlike(SHAPES["pure_number_like"]), tried)
+    return F.when(value.rlike(_MOMENT_LIKE), F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in DATETIME_FORMATS]))
 
 
 def date(value: Column) -> Column:
     """The first of DATE_FORMATS that fits; bare digits are no date."""
-    tried = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS])
-    return F.when(~value.rlike(SHAPES["pure_number_like"]), tried.cast("date"))
+    return F.when(value.rlike(_DAY_LIKE), F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS]).cast("date"))
 
 
 def _clock(value: Column) -> list[Column]:
-    part = lambda i: F.regexp_extract(value, SHAPES["time_like"], i).try_cast("int")
-    return [part(1), part(2), F.coalesce(part(3), F.lit(0))]
+    # Only what has the shape is cast: a cast that fails, even that of an empty string, is slow.
+    parts = F.split(F.when(value.rlike(SHAPES["time_like"]), value), ":")
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+    return [part(0), part(1), F.coalesce(part(2), F.lit(0))]
 
 
 def time_of_day(value: Column) -> Column:
@@ -82,7 +84,7 @@ def duration_seconds(value: Column) -> Column:
     """Whole seconds of ``H:MM[:SS]`` (any number of hours) or of a number with h, m or s."""
     h, m, s = _clock(value)
     low = F.lower(F.trim(value))
-    amount = F.regexp_extract(low, r"^([-+]?\d+(?:\.\d+)?)\s*[hms]$", 1).try_cast("double")
+    amount = F.nullif(F.regexp_extract(low, r"^([-+]?\d+(?:\.\d+)?)\s*[hms]$", 1), F.lit("")).try_cast("double")
     unit = F.substring(low, -1, 1)
     factor = F.when(unit == "h", 3600.0).when(unit == "m", 60.0).otherwise(1.0)
     signed = F.when(amount < 0, F.ceil(amount * factor)).otherwise(F.floor(amount * factor)).cast("long")
@@ -117,12 +119,5 @@ def snake(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(value)), r"[_\-. \s]+", "_")
 
 
-def distinct_tokens(value: Column) -> Column:
-    """A text's different words, the first spelling of each, in order, whatever their case."""
-    tokens = F.filter(F.split(value, r"\s+"), lambda t: t != "")
-    fresh = lambda acc, t: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(t)), acc).otherwise(F.concat(acc, F.array(t)))
-    return F.array_join(F.aggregate(tokens, F.array().cast("array<string>"), fresh), " ")
-
-
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

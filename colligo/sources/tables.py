@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators.clustering import enrich
+from .catalog import Catalog
 
 #: Document types whose tables get shift patterns, if they have a start column (fixed values).
 SHIFT_TYPES, START_COLUMNS = ["shift", "schedule", "roster", "attendance"], ["shift_start", "start_time", "scheduled_start"]
@@ -71,29 +72,63 @@ class Loaded:
 
 
 class Store:
-    """Tables by document type: views of this session, and Parquet files too if a folder is given."""
+    """Tables by document type, as views of this session; with a folder they outlive it.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder
+    A store opened on a folder has the tables of its newest version, or of the one named.  Loads and
+    drops make new versions; an append writes the new rows alone.  Others' versions are seen by ``refresh``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, version: int | None = None):
+        self.spark, self.catalog, self.version = spark, Catalog(spark, folder) if folder else None, version
         self._frames: dict[str, DataFrame] = {}
         self._loaded: dict[str, Loaded] = {}
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Takes up what the folder has now; without one nothing changes."""
+        if self.catalog is None:
+            return
+        entries = self.catalog.entries(self.version)
+        for name in set(self._frames) - set(entries):
+            self._forget(name)
+        for name, entry in entries.items():
+            self._show(name, self.catalog.frame(entry), Loaded(**entry["facts"] | {"name": name, "loaded_at": datetime.fromisoformat(entry["facts"]["loaded_at"])}))
+
+    def _show(self, name: str, df: DataFrame, loaded: Loaded) -> Loaded:
+        df.createOrReplaceTempView(name)
+        self._frames[name], self._loaded[name] = df, loaded
+        return loaded
+
+    def _forget(self, name: str) -> None:
+        self.spark.catalog.dropTempView(name)
+        self._frames.pop(name, None)
+        self._loaded.pop(name, None)
 
     def load(self, source: str | DataFrame, document_type: str, mappings: dict[str, str] | None = None, conversions: dict[str, tuple[str, str]] | None = None, replace: bool = True, confidence: float = 1.0) -> Loaded:
         """Reads, renames, converts and, for shifts, enriches a table; replaces the type's table or appends by column name."""
+        if self.version is not None:
+            raise ValueError("an older version is only read")
         name = table_name(document_type)
         df = converted(renamed(read_csv(self.spark, source), mappings), conversions or {})
         start = next((c for c in START_COLUMNS if c in df.columns), None)
         if start and any(word in document_type.lower() for word in SHIFT_TYPES):
             df = enrich(df, start)
-        if not replace and name in self._frames:
-            df = self._frames[name].unionByName(df, allowMissingColumns=True)
-        if self.folder:
-            path = f"{self.folder}/{name}/{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
-            df.write.parquet(path)
-            df = self.spark.read.parquet(path)
-        df.createOrReplaceTempView(name)
-        self._frames[name] = df
-        self._loaded[name] = Loaded(document_type, name, source if isinstance(source, str) else "frame", df.columns, confidence, mappings or {})
+        loaded = Loaded(document_type, name, source if isinstance(source, str) else "frame", df.columns, confidence, mappings or {})
+        if self.catalog is None:
+            if not replace and name in self._frames:
+                df = self._frames[name].unionByName(df, allowMissingColumns=True)
+                loaded.columns = df.columns
+            return self._show(name, df, loaded)
+        part = self.catalog.write(name, df)
+
+        def how(old: dict) -> dict:
+            before = [] if replace or name not in old else old[name]["parts"]
+            columns = [] if not before else old[name]["facts"]["columns"]
+            facts = asdict(loaded) | {"columns": columns + [c for c in df.columns if c not in columns], "loaded_at": loaded.loaded_at.isoformat()}
+            return old | {name: {"parts": [*before, part], "facts": facts}}
+
+        self.catalog.change(how)
+        self.refresh()
         return self._loaded[name]
 
     def tables(self) -> dict[str, DataFrame]:
@@ -116,10 +151,13 @@ class Store:
         return self.spark.sql(text, args=arguments)
 
     def drop(self, document_type: str) -> bool:
+        """Forgets a table; older versions of the folder keep it."""
         name = table_name(document_type)
-        self.spark.catalog.dropTempView(name)
-        self._loaded.pop(name, None)
-        return self._frames.pop(name, None) is not None
+        there = name in self._frames
+        if there and self.catalog is not None:
+            self.catalog.change(lambda old: {k: v for k, v in old.items() if k != name})
+        self._forget(name)
+        return there
 
     def clear(self) -> None:
         for loaded in self.status():

@@ -45,10 +45,6 @@ def test_rounded_and_ratio(spark):
     assert row["a"] == 2.35 and row["b"] == -3.0 and row["r"] is None
 
 
-def test_distinct_tokens(spark):
-    assert one(spark, P.distinct_tokens, "Emp ID emp  id X") == "Emp ID X"
-
-
 @pytest.mark.parametrize("a, b, fit", [("integer", "float", 0.95), ("string", "id_like", 1.0), ("time_of_day", "date", 0.8), ("duration", "number", 0.85), ("boolean", "date", 0.4), ("", "date", 0.7), ("empty", "date", 0.5)])
 def test_compatibility(spark, a, b, fit):
     assert spark.range(1).select(compatibility(F.lit(a), F.lit(b)).alias("x")).first()["x"] == fit
