@@ -87,6 +87,9 @@ SCHEMAS = {
 }
 
 
+_FIELDS = "vertical string, document_type string, field_position int, field_name string, field_type string, required boolean, unit string, aliases array<string>"
+
+
 def fields(spark: SparkSession, vertical: str = "medical", schemas: dict[str, str] | None = None) -> DataFrame:
     """``vertical, document_type, field_position, field_name, field_type, required, unit, aliases``."""
     rows, at = [], 0
@@ -96,4 +99,30 @@ def fields(spark: SparkSession, vertical: str = "medical", schemas: dict[str, st
             name, kind, *unit = left.split()
             rows.append((vertical, document_type, at, name, kind.rstrip("!"), kind.endswith("!"), unit[0][1:] if unit else None, others.split()))
             at += 1
-    return spark.createDataFrame(rows, "vertical string, document_type string, field_position int, field_name string, field_type string, required boolean, unit string, aliases array<string>")
+    return spark.createDataFrame(rows, _FIELDS)
+
+
+def from_documents(spark: SparkSession, documents: list[tuple[str, dict]], contexts: dict[str, dict] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The same from files' contents, ``(file, schema)``, with ``text``: what a field is said to be; and why others are left out.
+
+    A schema has ``name``, ``vertical`` and ``fields``; a field ``name``, ``type``, ``required``, ``aliases``,
+    ``target_unit`` or ``target_format``, ``embedding_text`` or ``description``.  ``contexts``: for a
+    vertical, more names of fields (``terminology``: name to names) and what they mean (``field_contexts``).
+    """
+    rows, errors, at = [], {}, 0
+    for name, data in documents:
+        try:
+            vertical, own = data.get("vertical", "general"), []
+            context = (contexts or {}).get(vertical) or {}
+            for f in data["fields"]:
+                known = (context.get("terminology") or {}).get(f["name"]) or []
+                aliases = [*dict.fromkeys([*(f.get("aliases") or []), *([known] if isinstance(known, str) else known)])]
+                meaning = ((context.get("field_contexts") or {}).get(f["name"]) or {}).get("semantic_description")
+                text = " ".join(filter(None, [f.get("embedding_text") or f.get("description"), meaning])) or None
+                own.append((vertical, data["name"], at + len(own), f["name"], f.get("type", "string"), bool(f.get("required", False)), f.get("target_unit") or f.get("target_format"), [str(a) for a in aliases], text))
+        except Exception as e:
+            errors[name] = f"{type(e).__name__}: {e}"
+            continue
+        rows += own
+        at += len(own)
+    return spark.createDataFrame(rows, f"{_FIELDS}, text string"), errors
