@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from ..functions import parsing as P
 from ..functions import units
 from ..functions.compatibility import FITS, compatibility
-from ..operators import clustering, knowledge, matching, profiler, tokens
+from ..operators import clustering, interval_join, knowledge, matching, profiler, tokens
 from ..streaming import kpi
 from . import reports
 
@@ -162,7 +162,23 @@ def range_join_count(spark, sf_dir):
     """Equal keys and an interval, both ends inclusive; users without events in it count 0."""
     e = _t(spark, sf_dir, "events")
     w = e.groupBy("user_id").agg((F.min("ts") + F.expr("interval 1 day")).alias("low"), (F.min("ts") + F.expr("interval 10 days")).alias("high"))
-    return w.join(e.select(F.col("user_id").alias("u"), "event_id", "ts"), (F.col("u") == F.col("user_id")) & F.col("ts").between(F.col("low"), F.col("high")), "left").groupBy("user_id").agg(F.count("event_id").alias("n"))
+    return interval_join.count_inside(w, e, ["user_id"], *[interval_join.micros(F.col(c)) for c in ("low", "high", "ts")], 86_400_000_000, ["user_id"])
+
+
+@query("""
+WITH x AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS user_id, ts FROM events),
+     w AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 20 HOUR AS low, date_trunc('day', ts) + INTERVAL 30 HOUR AS high, count(*) AS own FROM x GROUP BY ALL)
+SELECT w.user_id, w.low, count(x.event_id) AS n FROM w LEFT JOIN x ON x.user_id = w.user_id AND x.ts BETWEEN w.low AND w.high GROUP BY w.user_id, w.low""")
+def range_join_hot(spark, sf_dir):
+    """Nights of users, of whom one has half of all events: its events are dealt to bins of time."""
+    hot = F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")).cast("long")
+    e = _t(spark, sf_dir, "events").select("event_id", hot.alias("user_id"), "ts")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    w = e.select("user_id", (day + F.expr("interval 20 hours")).alias("low")).distinct()
+    start = F.pmod(interval_join.micros(F.col("low")), F.lit(86_400_000_000))
+    end = interval_join.micros(F.col("low")) - start + interval_join.overnight(start, F.lit(6 * 3_600_000_000))
+    out = interval_join.count_inside(w, e, ["user_id"], interval_join.micros(F.col("low")), end, interval_join.micros(F.col("ts")), 6 * 3_600_000_000, ["user_id", "low"])
+    return out.select("user_id", F.col("low").cast("timestamp_ntz").alias("low"), "n")
 
 
 @query("SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

@@ -15,7 +15,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import minutes_of_day, ratio, rounded, text_number
+from ..functions.parsing import minutes_of_day, ratio, rounded, text_number, time_of_day
+from ..operators.interval_join import count_inside
 
 Tables = dict[str, DataFrame]
 S, C, P = "employee_shifts", "employee_compensation", "staff_clinical_procedures"
@@ -267,11 +268,11 @@ def performance_flag(own: Column, peers: Column) -> Column:
 
 def doctor_performance_by_procedure(t: Tables, p: dict[str, Any]) -> DataFrame:
     # A procedure is in a shift of its day if its minute is; a shift over midnight has none.
-    done = t[P].select(F.col("staff_id").alias("employee_id"), _day("performed_datetime").alias("day"), F.date_format(F.col("performed_datetime").cast("string").try_cast("timestamp"), "HH:mm:ss").alias("at"), "procedure_id")
+    moment = F.col("performed_datetime").cast("string").try_cast("timestamp")
+    done = t[P].select(F.col("staff_id").alias("employee_id"), moment.cast("date").alias("day"), (F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)).alias("at"))
     shifts = t[S].where(_between(_day("shift_date"), p) & _same(F.col("department_code"), p.get("department"))).withColumn("day", _day("shift_date"))
-    clock = lambda c: F.when(F.char_length(c) == 5, F.concat(c, F.lit(":00"))).otherwise(c)
-    inside = (shifts["employee_id"] == done["employee_id"]) & (shifts["day"] == done["day"]) & done["at"].between(clock(shifts["shift_start"]), clock(shifts["shift_end"]))
-    work = shifts.join(done, inside, "left").groupBy(shifts["employee_id"], shifts["day"], shifts["department_code"], shifts["duration_minutes"]).agg(F.count("procedure_id").alias("n"))
+    # By hours of the day: an employee with most procedures of a day is as many groups as it has hours.
+    work = count_inside(shifts, done, ["employee_id", "day"], time_of_day(F.col("shift_start")), time_of_day(F.col("shift_end")), F.col("at"), 3600, ["employee_id", "day", "department_code", "duration_minutes"])
     work = work.where("n > 0").select("employee_id", "day", (_hours() / F.col("n")).alias("hours"))
     pay = t[C].where("position is not null").select("employee_id", "employee_name", "position", "employment_type", _rate().alias("rate"))
     rows = _procedures(t, p, "department").select(F.col("staff_id").alias("employee_id"), _day("performed_datetime").alias("day"), "billing_code", "procedure_description").join(work, ["employee_id", "day"]).join(pay, "employee_id")

@@ -6,9 +6,9 @@ import math
 
 import duckdb
 import pytest
-from colligo.plans import queries, report_queries
+from colligo.plans import queries, report_queries, stored_queries
 
-QUERIES, SQL = queries.QUERIES | report_queries.QUERIES, queries.SQL | report_queries.SQL
+QUERIES, SQL = queries.QUERIES | report_queries.QUERIES | stored_queries.QUERIES, queries.SQL | report_queries.SQL | stored_queries.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
 
 
