@@ -146,59 +146,66 @@ def column_suggestions(columns: DataFrame, voted: DataFrame, similar: DataFrame)
     return both.select("source_column", pick(F.col("n_target"), F.col("v_target")).alias("target_field"), pick(F.col("n"), F.coalesce("v", F.lit(0.0))).alias("confidence"), origin.alias("origin"), F.when(own, F.col("matched_column")).alias("matched_column"))
 
 
-def adjusted(matches: DataFrame) -> DataFrame:
+def adjusted(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Column-to-field matches with their similarity times the types' fit, ranked anew.
 
-    ``matches``: column_position, column_name, detected_type, document_type, field_name, field_type, similarity.
+    Here and below ``by`` are the keys of many tables, each of which is scored on its own.
+    ``matches``: by, column_position, column_name, detected_type, document_type, field_name, field_type, similarity.
     """
     fit = compatibility(F.col("detected_type"), F.col("field_type"))
     out = matches.withColumn("compatibility", fit).withColumn("adjusted", F.col("similarity") * F.col("compatibility"))
-    order = W.partitionBy("column_position").orderBy(F.desc("adjusted"), "document_type", "field_name")
+    order = W.partitionBy(*(by or []), "column_position").orderBy(F.desc("adjusted"), "document_type", "field_name")
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def column_scores(matches: DataFrame, columns: int) -> DataFrame:
-    """``document_type, column_score``: the mean of a type's first matches, as many as there are columns, by column and rank."""
-    order = W.partitionBy("document_type").orderBy("column_position", "rank")
-    return matches.withColumn("n", F.row_number().over(order)).where(F.col("n") <= columns).groupBy("document_type").agg(F.avg("adjusted").alias("column_score"))
+def column_scores(matches: DataFrame, columns: int | str, by: list[str] | None = None) -> DataFrame:
+    """``document_type, column_score``: the mean of a type's first matches, as many as there are columns (or a column tells), by column and rank."""
+    order = W.partitionBy(*(by or []), "document_type").orderBy("column_position", "rank")
+    most = F.col(columns) if isinstance(columns, str) else F.lit(columns)
+    return matches.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).groupBy(*(by or []), "document_type").agg(F.avg("adjusted").alias("column_score"))
 
 
-def coverage(matches: DataFrame, fields: DataFrame) -> DataFrame:
+def coverage(matches: DataFrame, fields: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``document_type, coverage``: the share of its required fields that some column matches well; 1 if none is required."""
-    covered = matches.groupBy("document_type", "field_name").agg(F.max("adjusted").alias("best"))
+    by = by or []
+    covered = matches.groupBy(*by, "document_type", "field_name").agg(F.max("adjusted").alias("best"))
     need = fields.select("document_type", "field_name", F.col("required").cast("boolean").alias("required"))
-    both = need.join(covered, ["document_type", "field_name"], "left")
+    if by:  # a table's types are those that it has matches of
+        need = matches.select(*by, "document_type").distinct().join(need, "document_type")
+    both = need.join(covered, [*by, "document_type", "field_name"], "left")
     required = F.count_if(F.col("required"))
     met = F.count_if(F.col("required") & (F.coalesce("best", F.lit(0.0)) > COVERED))
-    return both.groupBy("document_type").agg(F.when(required == 0, 1.0).otherwise(met / required).alias("coverage"))
+    return both.groupBy(*by, "document_type").agg(F.when(required == 0, 1.0).otherwise(met / required).alias("coverage"))
 
 
-def document_scores(neighbours: DataFrame, label: str = "document_type") -> DataFrame:
-    return neighbours.groupBy(label).agg(F.avg("similarity").alias("document_score"))
+def document_scores(neighbours: DataFrame, label: str = "document_type", by: list[str] | None = None) -> DataFrame:
+    return neighbours.groupBy(*(by or []), label).agg(F.avg("similarity").alias("document_score"))
 
 
-def hybrid(documents: DataFrame, columns: DataFrame, covered: DataFrame) -> DataFrame:
+def hybrid(documents: DataFrame, columns: DataFrame, covered: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All document types with their three scores, weighted ``score`` and ``rank``; a missing score counts as 0."""
-    out = documents.join(columns, "document_type", "full").join(covered, "document_type", "left")
+    key = [*(by or []), "document_type"]
+    out = documents.join(columns, key, "full").join(covered, key, "left")
     parts = {name: F.coalesce(c, F.lit(0.0)) for name, c in (("document", "document_score"), ("column", "column_score"), ("coverage", "coverage"))}
     score = sum((WEIGHTS[name] * c for name, c in parts.items()), F.lit(0.0))
-    out = out.select("document_type", parts["document"].alias("document_score"), parts["column"].alias("column_score"), parts["coverage"].alias("coverage"), rounded(score, 4).alias("score"))
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "document_type")))
+    out = out.select(*key, parts["document"].alias("document_score"), parts["column"].alias("column_score"), parts["coverage"].alias("coverage"), rounded(score, 4).alias("score"))
+    return out.withColumn("rank", F.row_number().over(W.partitionBy(*(by or [])).orderBy(F.desc("score"), "document_type")))
 
 
-def suggest(matches: DataFrame, accept: float = ACCEPT, gap: float = GAP) -> DataFrame:
+def suggest(matches: DataFrame, accept: float = ACCEPT, gap: float = GAP, by: list[str] | None = None) -> DataFrame:
     """``column_name, target_field, confidence, lead, status`` for each column.
 
     mapped: the best match is good enough and leads the next, or the next is the same field;
     ambiguous: good enough without that lead; unmapped: not good enough.
     """
-    order = W.partitionBy("column_name").orderBy(F.desc("confidence"), "field_name")
-    ranked = matches.select("column_name", "field_name", F.col("confidence"), F.row_number().over(order).alias("n"), F.lead("confidence").over(order).alias("next"), F.lead("field_name").over(order).alias("next_field"))
+    key = [*(by or []), "column_name"]
+    order = W.partitionBy(*key).orderBy(F.desc("confidence"), "field_name")
+    ranked = matches.select(*key, "field_name", F.col("confidence"), F.row_number().over(order).alias("n"), F.lead("confidence").over(order).alias("next"), F.lead("field_name").over(order).alias("next_field"))
     lead = F.col("confidence") - F.coalesce("next", F.lit(0.0))
     clear = F.col("next").isNull() | (rounded(lead, 9) >= gap) | (F.col("next_field") == F.col("field_name"))
     status = F.when(F.col("confidence") < accept, "unmapped").when(clear, "mapped").otherwise("ambiguous")
-    out = ranked.where("n = 1").select("column_name", F.col("field_name"), "confidence", rounded(lead, 6).alias("lead"), status.alias("status"))
-    return out.select("column_name", F.when(F.col("status") == "mapped", F.col("field_name")).alias("target_field"), "confidence", "lead", "status")
+    out = ranked.where("n = 1").select(*key, F.col("field_name"), "confidence", rounded(lead, 6).alias("lead"), status.alias("status"))
+    return out.select(*key, F.when(F.col("status") == "mapped", F.col("field_name")).alias("target_field"), "confidence", "lead", "status")
 
 
 def conflicts(mapping: DataFrame) -> DataFrame:

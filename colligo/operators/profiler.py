@@ -93,16 +93,26 @@ def sample(df: DataFrame, order: Column, columns: list[str] | None = None, size:
     return few.select("column_position", "column_name", "value", F.when(F.col("value").isNotNull(), F.col("rank")).alias("rank"), "filled", "missing")
 
 
-def statistics(df: DataFrame, order: Column, columns: list[str] | None = None, size: int = SAMPLE) -> DataFrame:
-    """Counts, rates and ranges of each column."""
+def sample_cells(cells: DataFrame, by: list[str], size: int = SAMPLE) -> DataFrame:
+    """The same of many tables' cells ``(*by, column_position, column_name, row, value)``, whose rows each table has a bounded number of."""
+    key = [*by, "column_position", "column_name"]
+    text = cells.select(*key, "row", P.normalised(F.col("value")).alias("value"))
+    ranked = text.withColumn("rank", F.row_number().over(W.partitionBy(*key, F.col("value").isNull()).orderBy("row", "value")))
+    first = ranked.where(F.col("value").isNotNull() & (F.col("rank") <= size)).select(*key, "value", "rank", F.lit(None).cast("long").alias("filled"), F.lit(None).cast("long").alias("missing"))
+    counts = text.groupBy(*key).agg(F.count("value").alias("filled"), F.count_if(F.col("value").isNull()).alias("missing"))
+    return first.unionByName(counts.select(*key, F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("rank"), "filled", "missing"))
+
+
+def statistics(sampled: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts, rates and ranges of each column, from what ``sample`` or ``sample_cells`` keeps of it."""
     v = F.col("value")
-    rows = sample(df, order, columns, size).withColumns({"dt": P.datetime(v), "day": P.date(v), "tod": P.time_of_day(v), "dur": P.duration_seconds(v), "num": P.number(v), "clean": P.cleaned_number(v)})
+    rows = sampled.withColumns({"dt": P.datetime(v), "day": P.date(v), "tod": P.time_of_day(v), "dur": P.duration_seconds(v), "num": P.number(v), "clean": P.cleaned_number(v)})
     rate = lambda c: F.avg(F.when(v.isNotNull(), F.when(c, 1.0).otherwise(0.0)))
     hits = {name: rate(v.rlike(shape)) for name, shape in P.SHAPES.items()}
     in_years = rate(F.year("dt").between(2000, 2050)) / F.nullif(rate(F.col("dt").isNotNull()), F.lit(0.0))
     in_day = F.avg(F.when(F.col("dur").isNotNull(), F.when(F.col("dur").between(0, 86400), 1.0).otherwise(0.0)))
     seen = F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("rank", "value")))), lambda x: x["value"])
-    return rows.groupBy("column_position", "column_name").agg(
+    return rows.groupBy(*(by or []), "column_position", "column_name").agg(
         F.sum("filled").alias("non_null_count"), F.sum("missing").alias("null_count"), F.nullif(F.count("value"), F.lit(0)).alias("sample_count"), F.countDistinct("value").alias("unique_count"),
         F.avg(F.char_length("value")).alias("avg_strlen"), F.max(F.char_length("value")).alias("max_strlen"),
         *[h.alias(f"hit_{n}") for n, h in hits.items()],
@@ -165,7 +175,15 @@ def profile(df: DataFrame, order: Column | None = None, columns: list[str] | Non
     Without an order the rows' own order is taken, as far as Spark keeps it.  A column without
     values is ``empty`` with confidence 1.
     """
-    found = statistics(df, F.monotonically_increasing_id() if order is None else order, columns, size)
+    return _profiled(statistics(sample(df, F.monotonically_increasing_id() if order is None else order, columns, size)), [])
+
+
+def profile_cells(cells: DataFrame, by: list[str], size: int = SAMPLE) -> DataFrame:
+    """The profiles of many tables' columns in one plan, with the tables' keys ``by`` (see ``sample_cells``)."""
+    return _profiled(statistics(sample_cells(cells, by, size), by), by)
+
+
+def _profiled(found: DataFrame, by: list[str]) -> DataFrame:
     found = found.withColumn("unique_ratio", F.col("unique_count") / F.greatest(F.col("sample_count"), F.lit(1)))
     each = scores()
     found = found.withColumns({f"score_{t}": each[t] for t in TYPES})
@@ -178,7 +196,7 @@ def profile(df: DataFrame, order: Column | None = None, columns: list[str] | Non
     keep_if = lambda c, *types: F.when(F.col("detected_type").isin(*types), F.col(c)).alias(c)
     found = found.withColumns({"detected_type": kind, "confidence": confidence})
     return found.select(
-        "column_position", "column_name", "detected_type", "confidence", "non_null_count", "null_count",
+        *by, "column_position", "column_name", "detected_type", "confidence", "non_null_count", "null_count",
         F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"), F.coalesce("unique_ratio", F.lit(0.0)).alias("unique_ratio"),
         F.coalesce("avg_strlen", F.lit(0.0)).alias("avg_strlen"), F.coalesce("max_strlen", F.lit(0)).alias("max_strlen"),
         keep_if("numeric_min", "integer", "float"), keep_if("numeric_max", "integer", "float"), keep_if("datetime_min", "datetime"), keep_if("datetime_max", "datetime"),
@@ -205,8 +223,8 @@ def described(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns({"text": text, "embedding_text": F.concat_ws(" ", "column_name", "column_name", hint, shown)})
 
 
-def table_text(described_: DataFrame) -> DataFrame:
-    """One row: the whole table in words."""
+def table_text(described_: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row: the whole table in words; with ``by``, one for each table that has columns."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("column_position", "text"))), lambda x: x["text"])
     whole = F.concat(F.lit("Table with "), F.count("*").cast("string"), F.lit(" columns: "), F.array_join(parts, " | "))
-    return described_.agg(F.when(F.count("*") == 0, F.lit("Empty table with no columns")).otherwise(whole).alias("text"))
+    return described_.groupBy(*(by or [])).agg(F.when(F.count("*") == 0, F.lit("Empty table with no columns")).otherwise(whole).alias("text"))

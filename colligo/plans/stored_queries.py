@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import dates, json_columns
+from ..operators import profiler
 from ..operators.field_index import FieldIndex
 from ..operators.ground_truth import GroundTruth
+from ..sources import many
 from ..sources.catalog import Catalog
 from ..sources.files import Files, shared_folder
 from ..sources.tables import Store
@@ -144,3 +146,25 @@ def json_columns_grouped(spark, sf_dir):
     rows = json_columns.decoded(_t(spark, sf_dir, "events"), "props")
     out = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("props.k").alias("total"), F.max("props.k").alias("most"))
     return out.withColumn("encoded", json_columns.encoded(F.struct(F.col("most").alias("k"), F.lit(None).cast("string").alias("of"))))
+
+
+_KINDS = {"orders": "o_orderstatus", "part": "p_type", "events": "event_type"}
+
+
+def _unpivoted(kind: str, columns: list[str]) -> str:
+    cells = ", ".join(f"count({c})" for c in columns)
+    return f"SELECT '{kind}' AS kind, unnest([{', '.join(repr(c) for c in columns)}]) AS column_name, (SELECT count(DISTINCT {_KINDS[kind]}) FROM {kind}) AS files, unnest([{cells}]) AS filled, unnest([{', '.join(f'count(*) - count({c})' for c in columns)}]) AS missing FROM {kind}"
+
+
+_HEADERS = {"orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"], "part": ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"], "events": ["event_id", "ts", "user_id", "value", "props"]}
+
+
+@query(" UNION ALL ".join(_unpivoted(kind, columns) for kind, columns in _HEADERS.items()))
+def files_profiled(spark, sf_dir):
+    """Files of three kinds with unlike headers, read and profiled by file and column in one plan."""
+    folder = _folder(spark, "files")
+    for kind, by in _KINDS.items():
+        _t(spark, sf_dir, kind).repartition(by).write.partitionBy(by).csv(f"{folder}/kind={kind}", header=True, escape='"')
+    cells, _ = many.read(spark, [f"{folder}/kind={kind}/*" for kind in _KINDS])
+    profiles = profiler.profile_cells(cells, ["file"]).withColumn("kind", F.regexp_extract("file", "kind=([a-z]+)/", 1))
+    return profiles.groupBy("kind", "column_name").agg(F.countDistinct("file").alias("files"), F.sum("non_null_count").alias("filled"), F.sum("null_count").alias("missing"))

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import units
+from ..functions import dates, units
 from ..operators.clustering import enrich
 from .catalog import Catalog
 
@@ -49,12 +49,17 @@ def renamed(df: DataFrame, mappings: dict[str, str] | None) -> DataFrame:
     return df.withColumnsRenamed(wanted)
 
 
+def _iso(value: Column, source: str) -> Column:
+    """A date as ``yyyy-MM-dd``; unchanged where it does not fit its format."""
+    return F.coalesce(F.date_format(dates.read(value, source), "yyyy-MM-dd"), value.cast("string"))
+
+
 def converted(df: DataFrame, conversions: dict[str, tuple[str, str]]) -> DataFrame:
     """Columns in other units, or dates in another format: ``{column: (from, to)}``."""
     out: dict[str, Column] = {}
     for name, (source, target) in conversions.items():
         if name in df.columns:
-            out[name] = units.iso_date(F.col(name).cast("string"), source) if source.upper() in units.DATE_FORMATS else units.yes(F.col(name)) if source == "yes_no" else units.convert(F.col(name).cast("string").try_cast("double"), source, target)
+            out[name] = _iso(F.col(name), source.upper()) if source.upper() in dates.FORMATS else units.yes(F.col(name)) if source == "yes_no" else units.convert(F.col(name).cast("string").try_cast("double"), source, target)
     return df.withColumns(out) if out else df
 
 
