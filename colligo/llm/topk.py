@@ -15,100 +15,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import discard, materialise
+from .vectors import NONE, PACKED, Block, packing, scores, sound, strongest, unpacked
 
 #: Vectors of a block, of a range, and queries that are looked at together.
 BLOCK, RANGE, QUERIES = 128, 4096, 256
 #: Blocks of queries whose best scores a task remembers at once.
 REMEMBERED = 1024
-#: Sums below this are exact in double precision; sums below _LARGEST fit 64 bits.
-_EXACT, _LARGEST = float(1 << 52), float(1 << 62)
-#: Stands for a k-th score that is not known.
-_NONE = -(1 << 63)
+SCALE = 1024
 
 _FOUND = "query_id long, vec_id long, score long"
-_PACKED = "ids binary, vectors binary, least binary"
 
 
-def sound(embedding: Column) -> Column:
-    """Whether a vector and all its components are there and finite."""
-    return F.coalesce(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-
-
-def strongest(embedding: Column) -> Column:
-    """The number of a vector's largest component, negative if that component is; 0 for an empty one."""
-    size = F.transform(embedding, lambda x: F.abs(x.cast("double")))
-    at = F.coalesce(F.array_position(size, F.array_max(size)), F.lit(0)).cast("int")
-    return F.when(at == 0, 0).when(F.try_element_at(embedding, at) < 0, -at).otherwise(at)
-
-
-def _packing(size: int, width: int):
-    """Packs rows ``(vec_id, embedding, least)`` as they come, ``size`` in one, as whole numbers of ``width`` dimensions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _rebatched(batches, size):
-            vectors, lists = np.zeros((batch.num_rows, width)), batch.column("embedding")
-            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            vectors[np.arange(width) < n[:, None]] = np.floor(1024 * lists.flatten().to_numpy(zero_copy_only=False).astype(float))
-            if np.abs(vectors).max(initial=0) >= _LARGEST:
-                raise OverflowError("a component times 1024 does not fit 64 bits")
-            numbers = [batch.column("vec_id").to_numpy(), vectors.astype(np.int64), pc.fill_null(batch.column("least"), _NONE).to_numpy()]
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in numbers], ["ids", "vectors", "least"])
-
-    return run
-
-
-def _rebatched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for batch in batches:
-        while batch.num_rows:
-            part = batch.slice(0, size - n)
-            batch, n = batch.slice(part.num_rows), n + part.num_rows
-            held.append(part)
-            if n == size:
-                yield pa.concat_batches(held)
-                held, n = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
-def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact whole-number inner products; raises OverflowError where they may not fit 64 bits."""
-    most = (np.abs(queries).astype(float) @ np.abs(vectors).max(0, initial=0).astype(float)).max(initial=0)
-    if most < _EXACT:
-        return np.rint(queries.astype(float) @ vectors.T.astype(float)).astype(np.int64)
-    if most >= _LARGEST:
-        raise OverflowError("an inner product may not fit 64 bits")
-    return queries @ vectors.T
-
-
-def best_in_range(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, least: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_in_range(q: Block, c: Block, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query's place, candidate's id, score)`` of what may be among the best of each query.
 
-    ``least``: what each query's k-th score is at least; ``top``: the k best scores that each query has
-    met so far, which are brought up to date.
+    The queries' extra number: what each one's k-th score is at least; ``top``: the k best scores that each
+    query has met so far, which are brought up to date.
     """
-    k, starts, rows = top.shape[1], np.arange(0, len(c), BLOCK), []
-    high, low = (np.maximum(np.maximum.reduceat(x, starts, axis=0), 0).astype(float) for x in (c, -c))
-    bounds = np.ceil((np.maximum(q, 0).astype(float) @ high.T + np.maximum(-q, 0).astype(float) @ low.T) * (1 + 1e-12))
+    k, starts, rows, least = top.shape[1], np.arange(0, len(c), BLOCK), [], q.extra[:, 0]
+    width = min(q.numbers.shape[1], c.numbers.shape[1])
+    weights, values = q.sizes()[:, :width], c.sizes()[:, :width]
+    with np.errstate(over="ignore"):
+        high, low = (np.maximum(np.maximum.reduceat(x, starts, axis=0), 0) for x in (values, -values))
+        bounds = np.ceil((np.maximum(weights, 0) @ high.T + np.maximum(-weights, 0) @ low.T) * (1 + 1e-12))
     order = np.argsort(-bounds, axis=1, kind="stable")
     kth, alive = np.maximum(least, top.min(1)), np.arange(len(q))
     # Every query takes the blocks in the order of its own bounds; those whose next block is the same are scored together.
     for step in range(len(starts)):
         alive = alive[bounds[alive, order[alive, step]] >= kth[alive]]
         for b in np.unique(order[alive, step]).tolist():
-            own, names = alive[order[alive, step] == b], c_ids[starts[b] : starts[b] + BLOCK]
-            got = _scores(q[own], c[starts[b] : starts[b] + BLOCK])
-            fit = (got >= kth[own, None]) & (names != q_ids[own, None])
+            own, block = alive[order[alive, step] == b], c.part(slice(starts[b], starts[b] + BLOCK))
+            names, got = block.ids, scores(q.part(own), block)
+            fit = (got >= kth[own, None]) & (names != q.ids[own, None])
             at, to = np.nonzero(fit)
             if len(at):
                 rows.append((own[at], names[to], got[at, to]))
-                both = np.concatenate([top[own], np.where(fit, got, _NONE)], 1)
+                both = np.concatenate([top[own], np.where(fit, got, NONE)], 1)
                 top[own] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
                 kth[own] = np.maximum(least[own], top[own].min(1))
     who, names, score = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*rows) if rows else ((), (), ())))
@@ -120,20 +67,23 @@ def best_in_range(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.nda
     return who[near], names[near], score[near]
 
 
-def _search(k: int, width: int):
+def _search(k: int):
+    columns = ["ids", "width", "kind", "numbers", "extra", "huge"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
-            for block, *raw in zip(*(batch.column(x).to_pylist() for x in ("block", "q_ids", "q_vectors", "q_least", "ids", "vectors"))):
-                q_ids, q, least, c_ids, c = (np.frombuffer(x, np.int64) for x in raw)
-                top = tops.pop(block, None)
+            table = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for r, name in enumerate(table["block"]):
+                q, c = (unpacked(*(table[f"{side}{x}"][r] for x in columns), SCALE) for side in ("q_", ""))
+                top = tops.pop(name, None)
                 if top is None:
-                    top = np.full((len(q_ids), k), _NONE)
+                    top = np.full((len(q), k), NONE)
                     if len(tops) >= REMEMBERED:
                         tops.popitem(last=False)
-                tops[block] = top
-                who, found, score = best_in_range(q.reshape(-1, width), q_ids, c.reshape(-1, width), c_ids, least, top)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
+                tops[name] = top
+                who, found, score = best_in_range(q, c, top)
+                yield pa.RecordBatch.from_arrays([pa.array(q.ids[who]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -144,27 +94,27 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     ``vectors`` has ``vec_id`` and ``embedding``; ``queries`` says which rows are queries.  Every row
     is a candidate but those with the query's own id.  Rows with a null id, or whose vector is null,
     or has components that are null or not finite, take no part.  A shorter vector counts as one with
-    zeros behind it.  A repeated query row counts once if it repeats its vector too.  Components or
-    scores that may not fit 64 bits raise OverflowError.
+    zeros behind it.  A repeated query row counts once if it repeats its vector too.  Scores are exact
+    whatever the components; those beyond 64 bits are told as the last number that fits.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
-    width = max(rows.agg(F.max(F.size("embedding"))).first()[0] or 0, 1)
     unknown = F.lit(None).cast("long").alias("least")
-    # Sorted inside their partitions: nothing is shuffled, and no term is all in one task.
-    alike = rows.withColumn("term", strongest(F.col("embedding"))).sortWithinPartitions("term")
-    ranges = materialise(alike.select("vec_id", "embedding", unknown).mapInArrow(_packing(RANGE, width), _PACKED), "ranges")
+    # Sorted inside their partitions: nothing is shuffled, and no term is all in one task.  A block is as wide as its own longest vector.
+    alike = rows.withColumns({"width": F.size("embedding"), "term": strongest(F.col("embedding"))}).sortWithinPartitions("width", "term")
+    ranges = materialise(alike.select("vec_id", "embedding").mapInArrow(packing(RANGE, SCALE), PACKED), "ranges")
     once = materialise(rows.where("is_query").select("vec_id", "embedding").distinct(), "queries")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
     def best(asked: DataFrame, among: DataFrame) -> DataFrame:
         blocks = asked.withColumnsRenamed({c: f"q_{c}" for c in asked.columns}).withColumn("block", F.monotonically_increasing_id())
         # Blocks of the stated queries against ranges.  The queries are a table of known size, which Spark broadcasts only if it is small.
-        return blocks.crossJoin(among.select("ids", "vectors")).mapInArrow(_search(k, width), _FOUND).withColumn("rank", rank).where(F.col("rank") <= k)
+        return blocks.crossJoin(among).mapInArrow(_search(k), _FOUND).withColumn("rank", rank).where(F.col("rank") <= k)
 
-    asked = materialise(once.withColumn("least", unknown).mapInArrow(_packing(QUERIES, width), _PACKED), "asked")
+    packed = lambda df: materialise(df.withColumn("width", F.size("embedding")).sortWithinPartitions("width").select("vec_id", "embedding", "least").mapInArrow(packing(QUERIES, SCALE, 1), PACKED), "asked")
+    asked = packed(once.withColumn("least", unknown))
     kth = materialise(best(asked, asked).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least")), "kth")
     discard(asked)
-    asked = materialise(once.join(kth, "vec_id", "left").select("vec_id", "embedding", "least").mapInArrow(_packing(QUERIES, width), _PACKED), "asked")
+    asked = packed(once.join(kth, "vec_id", "left"))
     discard(once, kth)
     return best(asked, ranges).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

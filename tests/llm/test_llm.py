@@ -383,8 +383,26 @@ def test_topk_of_hard_tables(spark):
     one = 1024
     assert find(rows) == [(0, 1, 1, one * one), (0, 2, 2, one * one), (100, 1, 1, 0), (100, 2, 2, 0)]
     assert find([(0, [-1e-9], *extra), (5, [3e-3], *extra)]) == [(0, 1, 5, -3)]
-    with pytest.raises(Exception, match="64 bits"):
-        find([(0, [1e300], *extra), (1, [1.0], *extra)])
+    # A score beyond 64 bits is the last number that fits, and takes no other query's rows with it.
+    most = (1 << 63) - 1
+    rows = [(0, [1e300, 1.0], *extra), (1, [1.0], *extra), (2, [-1e300], *extra), (3, [0.0, 2.0], *extra), (100, [1e10, 1.0], *extra), (4, [1e8], *extra), (200, [1.0, 1.0], *extra)]
+    want = {0: [(1, most), (4, most)], 100: [(0, most), (4, most)], 200: [(0, most), (100, int(1e10) * one * one + one * one)]}
+    assert find(rows) == [(q, k + 1, *x) for q, found in want.items() for k, x in enumerate(found)]
+
+
+def test_topk_of_one_long_vector(spark):
+    """5000 short vectors and one of 20,000 components: every block is as wide as its own longest vector."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(5000, 8))
+    long_ = rng.normal(size=20_000)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(10_000, long_.tolist())]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 1000 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = {i: np.floor(1024 * np.array(x)).astype(np.int64) for i, x in rows}
+    for q in (0, 1000, 2000, 3000, 4000, 10_000):
+        best = sorted((-int(whole[q][:8] @ x[:8]), i) for i, x in whole.items() if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in best]
 
 
 # --- 9: packing ---
