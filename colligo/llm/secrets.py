@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +26,7 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of hex digits that are long enough; a shorter run fails as a whole.
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: One of these among the words of the 64 characters before a string makes its context sensitive (fixed values).
+#: One of these among the last CONTEXT words before a string makes its context sensitive (fixed values).
 SENSITIVE = set(
     """api apikey auth authentication authorization authtoken bearer cert certificate client cookie cookies cred creds credential credentials
     hmac jwt key keys login nonce oauth pass passcode passphrase passwd password passwords private pwd salt secret secrets session sign signature
@@ -33,6 +34,8 @@ SENSITIVE = set(
 )
 #: Words of code and prose: runs of letters, cut where a capital begins a word.
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+CONTEXT = 24
+_IN_STRING = re.compile(r"[A-Za-z0-9+/_=-]+")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: Names and parts of words that prime the compressor (fixed values).
 IDENTIFIERS = """
@@ -57,20 +60,64 @@ AROUND, LEAST, SHARE, OF_LETTERS = 256, 14, 0.7, 0.95
 @cache
 def _compressor(words: tuple[str, ...]) -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=19)  # digested once, not for each string
     return zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_dict_id=False)
 
 
+@lru_cache(1 << 14)
+def _packed_size(text: str, words: tuple[str, ...]) -> int:
+    return len(_compressor(words).compress(text.encode("utf-8", "replace")))
+
+
 def marginal_bytes(value: str, before: str, after: str, words: tuple[str, ...] = tuple(IDENTIFIERS)) -> int:
-    """What ``value`` adds to its compressed surroundings."""
-    pack = _compressor(words).compress
+    """What ``value`` adds to its compressed surroundings, from which its own copies are left out.
+
+    Sizes are remembered, a bounded number of them: strings that repeat in like surroundings are measured once.
+    """
     # With the names in front, a short text too is compressed rather than stored as it is.
-    around = " ".join(words) + "\n" + before + "\n" + after + "\n"
-    return len(pack((around + value).encode("utf-8", "replace"))) - len(pack(around.encode("utf-8", "replace")))
+    around = " ".join(words) + "\n" + before.replace(value, "") + "\n" + after.replace(value, "") + "\n"
+    return _packed_size(around + value, words) - _packed_size(around, words)
+
+
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    """What is on either side of a string: AROUND characters without other strings with digits, and without what is left of one at their ends.
+
+    Copies of a secret, and other secrets in a list of them, would make it cheap.
+    """
+    low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+    if low and _IN_STRING.match(text[low - 1]) and (cut := _IN_STRING.match(text, low, start)):
+        low = cut.end()
+    while end < high < len(text) and _IN_STRING.match(text[high]) and _IN_STRING.match(text[high - 1]):
+        high -= 1
+    with_digits = lambda m: "" if any(map(str.isdigit, m[0])) else m[0]
+    return _CANDIDATE.sub(with_digits, text[low:start]), _CANDIDATE.sub(with_digits, text[end:high])
+
+
+def _words(text: str) -> Iterator[tuple[int, bool]]:
+    """Where each word of a text ends, and whether it is a sensitive one."""
+    at = 0
+    for m in _CANDIDATE.finditer(text):
+        if any(map(str.isdigit, m[0])):
+            yield from ((w.end(), w[0].lower() in SENSITIVE) for w in _WORD.finditer(text, at, m.start()))
+            yield m.end(), any(part.lower() in SENSITIVE for part in re.split("[^A-Za-z]+", m[0]))
+            at = m.end()
+    yield from ((w.end(), w[0].lower() in SENSITIVE) for w in _WORD.finditer(text, at))
+
+
+class Contexts:
+    """Where the sensitive words of a text are, whole words or parts of names in code, counted in words; a long string with digits is one word."""
 
+    def __init__(self, text: str):
+        self.ends, self.said, last = [], [], -(1 << 30)
+        for i, (end, said) in enumerate(_words(text)):
+            last = i if said else last
+            self.ends.append(end)
+            self.said.append(last)
 
-def sensitive(context: str) -> bool:
-    """Whether a word of ``context``, which may be a part of a name in code, says that something secret follows."""
-    return any(w.lower() in SENSITIVE for w in _WORD.findall(context))
+    def sensitive(self, at: int) -> bool:
+        """Whether one is among the last CONTEXT words that end at ``at`` or before."""
+        n = bisect_right(self.ends, at)
+        return n > 0 and self.said[n - 1] >= n - CONTEXT
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -85,16 +132,16 @@ def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
 
     Bare numbers are none: in prose they are amounts, dates and the like.
     """
-    out, borders, at = [], sorted((s, e) for _, s, e in base), 0
+    out, borders, at, contexts = [], sorted((s, e) for _, s, e in base), 0, None
     for m in _CANDIDATE.finditer(text):
         while at < len(borders) and borders[at][1] <= m.start():
             at += 1
         value = m[0]
         if at < len(borders) and borders[at][0] < m.end() or not any(map(str.isalpha, value)):
             continue
-        before = text[max(0, m.start() - AROUND) : m.start()]
         share = SHARE if any(map(str.isdigit, value)) else OF_LETTERS
-        if sensitive(before[-64:]) and marginal_bytes(value, before, text[m.end() : m.end() + AROUND]) >= max(LEAST, share * len(value)):
+        contexts = contexts or Contexts(text)
+        if contexts.sensitive(m.start()) and marginal_bytes(value, *around(text, m.start(), m.end())) >= max(LEAST, share * len(value)):
             out.append(("novel", m.start(), m.end()))
     return out
 

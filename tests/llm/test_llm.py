@@ -119,6 +119,38 @@ def test_secrets_behind_the_most_sensitive_words(spark):
     assert [r["found"] for r in got] == [[value]] * 7 + [[], []]
 
 
+def test_secrets_once_twice_and_in_lists():
+    """Random strings are found however often they occur and whatever secrets stand around them; the same strings in plain contexts are not."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    value = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(20, 40))) + "7"
+    found = lambda t: [t[s:e] for _, s, e in secrets.novel_spans(t, [])]
+    caught = collections.Counter()
+    for _ in range(200):
+        v, others = value(), [value() for _ in range(6)]
+        caught["once"] += found(f"{prose(rng, 9)} the token is {v} {prose(rng, 9)}") == [v]
+        caught["twice"] += found(f"the token is {v} {prose(rng, 3)} {v} end") == [v, v]
+        caught["listed"] += v in found("tokens: " + " ".join([*others[:3], v, *others[3:]]))
+        caught["far"] += found(f"the password is stored as {prose(rng, 15)} here: {v}") == [v]
+        caught["plain"] += bool(found(f"{prose(rng, 30)} monkeys {v} {prose(rng, 9)}"))
+        caught["too far"] += bool(found(f"the password {prose(rng, 40)} {v}"))
+    assert all(caught[k] >= 190 for k in ("once", "twice", "listed", "far")) and not caught["plain"] and not caught["too far"], caught
+
+
+def test_secrets_surroundings_and_contexts():
+    text = "monkey and so on Abc123Def456Ghi789 password"
+    assert not secrets.Contexts(text).sensitive(text.index("Abc")) and secrets.Contexts("my_API-x").sensitive(8) and not secrets.Contexts("").sensitive(0)
+    assert secrets.Contexts("password " + "w " * (secrets.CONTEXT - 1)).sensitive(1000) and not secrets.Contexts("password " + "w " * secrets.CONTEXT).sensitive(1000)
+    v = "Zx9kQ2pLm7Rt4VbW8nYc"
+    long_ = f"{'k7' * 200} before {v} after {'k7' * 200}"
+    at = long_.index(v)
+    assert secrets.around(long_, at, at + len(v)) == (" before ", " after ") and secrets.around(v, 0, len(v)) == ("", "")
+    # A plain measure of novelty: the same sizes without what is remembered.
+    pack = secrets._compressor(tuple(secrets.IDENTIFIERS)).compress
+    base = " ".join(secrets.IDENTIFIERS) + "\nthe token \n end\n"
+    assert secrets.marginal_bytes(v, "the token ", f" end{v}") == len(pack((base + v).encode())) - len(pack(base.encode()))
+
+
 def test_secrets_base_against_plain_patterns():
     rng = random.Random(9)
     parts = ["password", "SECRET", "api_key", "apikey", "token", "'", '"', " ", ":", "=", "abc", "A1+/", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "\n", "é"]
