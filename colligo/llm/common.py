@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -58,10 +59,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes materialised tables that nothing reads any more: what was made of them has been written too."""
+    """Deletes materialised tables that nothing reads any more: what was made of them has been written too.
+
+    Shuffle files of finished plans go when the driver's garbage is collected, which may be long after.
+    """
     for df in tables:
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: Rows of a few numbers that may be broadcast; about 32 MB.

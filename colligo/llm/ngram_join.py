@@ -435,10 +435,10 @@ def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[D
     docs = docs.select("doc_id", "text")
     sent = docs.withColumn("hash", _hash()).mapInArrow(_signal(percent, words, parts), _SENT)
     told = materialise(sent.repartitionById(parts, "part").mapInArrow(_group, _TOLD), "told")
-    texts = told.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("class"))
+    texts = materialise(told.where("kind = 'doc'").select("doc_id", "n", "a", "b"), "docs")
     classes = materialise(told.where("kind = 'class'").select("a", "n", "spare", "sketch").dropDuplicates(["a"]), "classes")
     common = materialise(told.where("kind = 'common'").select("a", F.col("b").alias("sig")).distinct(), "common")
-    heads = told.where("kind = 'doc' and n > 0").groupBy("a").agg(F.min(F.struct("doc_id", "b")).alias("head"))
+    heads = texts.where("n > 0").groupBy("a").agg(F.min(F.struct("doc_id", "b")).alias("head"))
 
     def held(wanted: DataFrame, name: str) -> DataFrame:
         """``(a, text)``: one text of each class of ``wanted``, found again by its hash and id, as neither needs to be there once only."""
@@ -463,12 +463,15 @@ def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[D
         return found
 
     pairs = likely(told.where("kind = 'pair'").select("a", "b"))
+    discard(told)
     whole = held(_ends(pairs), "texts")
     links = verified(pairs, whole)
     discard(pairs, whole)
     open_ = _open_groups(common, links)
+    found = texts.select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("class"))
     if open_.isEmpty():
-        return texts, links
+        discard(open_, classes, common)
+        return found, links
     whole = materialise(held(open_.select("a"), "members").mapInArrow(_widened(words), "a long, text string, wide binary"), "members")
     # The best linked member of a group's largest component is held against the other components.
     ends = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
@@ -482,8 +485,8 @@ def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[D
         open_ = _open_groups(common, links)
         pairs = materialise(_compared(open_, classes, whole, percent, nearest).distinct(), "pairs")
         links = links.union(verified(pairs, whole))
-    discard(open_, whole, common)
-    return texts, links
+    discard(open_, whole, common, classes)
+    return found, links
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
