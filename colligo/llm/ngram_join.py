@@ -22,15 +22,15 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from functools import cache, reduce
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -534,15 +534,26 @@ def _compared(open_: DataFrame, classes: DataFrame, whole: DataFrame, percent: i
     sizes = members.groupBy("around").agg(*[blocks(which).alias(f"{side}{k}") for k, sides in enumerate(meetings) for side, which in zip(("is", "js"), sides)])
     members = members.join(sizes, "around").where(" or ".join(f"is{k} > 0 and js{k} > 0" for k in range(len(meetings))))
     members = members.join(whole.select("a", "wide"), "a").withColumn("h", F.xxhash64("a"))
-    own = lambda of: F.pmod("h", F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    dealt = []
+    # All places of a member in one pass: which side it is on in which meeting, its own block there and every block of the others.
+    places = []
     for k, (those, probed) in enumerate(meetings):
-        there = members.where(f"is{k} > 0 and js{k} > 0")
-        key = ["around", F.lit(k).alias("meeting"), "a", "label", "n", "wide"]
-        dealt.append(there.where(those).select(*key, F.lit(0).alias("side"), own(f"is{k}").alias("i"), every(f"js{k}").alias("j")))
-        dealt.append(there.where(probed).select(*key, F.lit(1).alias("side"), every(f"is{k}").alias("i"), own(f"js{k}").alias("j")))
-    return reduce(DataFrame.unionByName, dealt).groupBy("around", "meeting", "i", "j").applyInPandas(_block_pairs(percent, nearest), "a long, b long")
+        there = F.col(f"is{k}") > 0
+        for side, (which, own, every) in enumerate(((those, f"is{k}", f"js{k}"), (probed, f"js{k}", f"is{k}"))):
+            mine = F.pmod("h", F.col(own)).cast("int")
+            dealt = F.transform(F.sequence(F.lit(0), F.col(every) - 1), _place(k, side, mine))
+            places.append(F.when(there & (F.col(f"js{k}") > 0) & which, dealt).otherwise(F.array().cast("array<struct<meeting:int,side:int,i:int,j:int>>")))
+    rows = members.select("around", "a", "label", "n", "wide", F.explode(F.concat(*places)).alias("at")).select("around", "at.*", "a", "label", "n", "wide")
+    return rows.groupBy("around", "meeting", "i", "j").applyInPandas(_block_pairs(percent, nearest), "a long, b long")
+
+
+def _place(meeting: int, side: int, mine: Column) -> Callable[[Column], Column]:
+    """The place of a member of block ``mine`` in its meeting with a block of the other side."""
+
+    def of(block: Column) -> Column:
+        i, j = (block, mine) if side else (mine, block)
+        return F.struct(F.lit(meeting).alias("meeting"), F.lit(side).alias("side"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    return of
 
 
 def labelled(docs: DataFrame, percent: int, words: int) -> DataFrame:
