@@ -108,7 +108,7 @@ def test_classify_by_examples(spark):
     examples, known, told = ingest_all([(shifts, "a", "employee_shifts", {"emp": "employee_id", "start": "shift_start"}), (pay, "b", "employee_compensation", {"none": "x"}), (pay, "c", "employee_compensation", {"emp": "employee_id"})])
     assert [e is None for _, e in told] == [True, False, True] and examples.count() == 2
     best, columns = classify_by_examples(shifts, examples, knowledge.upsert(None, known), k=1)
-    assert tuple(best.first()) == ("employee_shifts", 1.0)
+    assert tuple(best.first()) == ("employee_shifts", 1.0, "medical")
     assert {r["source_column"]: (r["target_field"], r["confidence"], r["origin"]) for r in columns.collect() if r["source_column"] != "day"} == {"emp": ("employee_id", 1.0, "similar_tables"), "start": ("shift_start", 1.0, "similar_tables")}
 
 
