@@ -3,18 +3,20 @@
 For every prefix of a word there is one token that ends its encoding.  It can be found from the last
 tokens of shorter prefixes alone: of the tokens that end there, it is the one that may follow its
 predecessor, which holds if that pair of tokens is its own encoding.  So the transducer reads a word
-once and keeps, for each place, the last token.  A token can be emitted as soon as all places that
-future tokens may start from agree on it; how far ahead that may need to look follows from the merge
-list.  Memory depends on the merge list, not on the length of the word.
+once and keeps, for each place, the last token.  A token is emitted as soon as the merge list's
+sufficient lookahead lies behind its end: nothing that follows can change it then.  Memory depends on
+the merge list, not on the length of a word or of a text, which is read a piece at a time.
 """
 
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import itertools
 import json
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +35,10 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 REMEMBERED, SHORT = 600_000, 64
 #: Tokens, or short texts' tokens, that are handed on together.
 PIECE = 1 << 14
+#: Letters of a text that are normalised at once.
+READ = 1 << 16
+#: Letters that decide which part of the pattern a pre-token matches: more than its longest part of fixed length has.
+HEAD = 16
 
 
 def byte_letters() -> list[str]:
@@ -64,8 +70,10 @@ class Bpe:
         # A token's letters: those of its text, where the last may carry the word's end.
         self.length = {t: len(self._symbols(t)) for t in self.vocab}
         self.longest = max(self.length.values())
-        self.lookahead = self._sufficient_lookahead()
         self.made = {a + b: (i, a, b) for (a, b), i in self.rank.items()}
+        if len(self.made) < len(self.rank) or any(self.made.get(part, (-1,))[0] >= i for pair, i in self.rank.items() for part in pair):
+            raise ValueError("a merge comes before one that makes its parts, or makes what another makes")
+        self.lookahead = self._sufficient_lookahead()
         self._letter = (-1, "", "")
         self._whole: dict[str, bool] = {}
         self._follows: dict[tuple[str, str], bool] = {}
@@ -81,17 +89,24 @@ class Bpe:
         return list(token)
 
     def _sufficient_lookahead(self) -> int:
-        """Letters beyond a token's end that can still change it.
+        """Letters read behind a token's end after which the token is final.
 
-        A merge is undone only if its right part is taken by an earlier merge, which again depends on
-        what is right of that.  Ranks fall along such a chain, so one pass over the merges in order
-        finds the longest.
+        Compare the merges of a word with those of a beginning of it, rank by rank.  Both have the same
+        tokens up to some place, at first the beginning's end.  Only a merge across that place can move it,
+        to the left by its left part, after which the token right of the place starts with that part.  So the
+        merges that move it have rising ranks, each one's right part starting with the left part before,
+        and the weightiest such chain of left parts is as far as the place can ever move.
         """
-        reach: dict[str, int] = {}
+        moved: dict[str, int] = {}
         most = 0
         for left, right in self.rank:
-            far = len(self._symbols(right)) + reach.get(right, 0)
-            reach[left] = max(reach.get(left, 0), far)
+            before, part = 0, right
+            while part is not None:
+                before = max(before, moved.get(part, 0))
+                made = self.made.get(part)
+                part = made[1] if made else None
+            far = self.length[left] + before
+            moved[left] = max(moved.get(left, 0), far)
             most = max(most, far)
         return most
 
@@ -155,7 +170,7 @@ class Bpe:
             before = last[n - size] if n > size else before_all
             if before is None and n > size:
                 continue
-            if self._alone(token) if before is None else self.follows(before, token):
+            if self._alone(token) and (before is None or self.follows(before, token)):
                 return token
         return None
 
@@ -163,10 +178,10 @@ class Bpe:
         """The ids of one word's symbols, each as soon as no further symbol can change it.
 
         ``last[k]`` is the token that ends the encoding of the first ``k`` symbols of the window.  Every
-        ``step`` symbols what has become stable is emitted and leaves the window, which so never
-        holds more than the lookahead, two tokens and a step.
+        ``step`` symbols the tokens that end the lookahead or more before the last symbol are emitted and
+        leave the window, which so never holds more than the lookahead, a token and a step.
         """
-        states, longest, step = self._states, self.longest, step or self.longest
+        states, longest, lookahead, step = self._states, self.longest, self.lookahead, step or self.longest
         window, n = "", 0
         last: list[str | None] = [None]
         base_text: str | None = None
@@ -182,42 +197,26 @@ class Bpe:
                         states.clear()
                     states[window] = found
             last.append(found)
-            if n > longest and read % step == 0 and (emitted := self._stable(last, n)):
+            if n > lookahead and read % step == 0 and not ended and (emitted := self._path(last, n, n - lookahead)):
                 for t in emitted:
                     yield self.vocab[t]
                 gone = sum([self.length[t] for t in emitted])
                 window, last = window[gone:], [None, *last[gone + 1 :]]
                 base_text, n = emitted[-1], n - gone
-        out, at = [], n
+        for t in self._path(last, n, n):
+            yield self.vocab[t]
+
+    def _path(self, last: list[str | None], at: int, until: int) -> list[str]:
+        """Of the tokens that encode the window's first ``at`` symbols, those that end at ``until`` or before."""
+        out = []
         while at:
             token = last[at]
             if token is None:
                 raise ValueError("the vocabulary lacks a letter")
-            out.append(token)
+            if at <= until:
+                out.append(token)
             at -= self.length[token]
-        for t in reversed(out):
-            yield self.vocab[t]
-
-    def _stable(self, last: list[str | None], n: int) -> list[str]:
-        """The tokens at the window's start on which every place agrees that a later token may follow.
-
-        A later token begins at one of the last places that a token's length reaches back to.
-        """
-        paths = []
-        for end in range(max(1, n - self.longest + 1), n + 1):
-            at, path = end, []
-            while at > 0 and last[at] is not None:
-                path.append(last[at])
-                at -= self.length[last[at]]
-            if at == 0:
-                paths.append(path[::-1])
-        common = paths[0] if paths else []
-        for p in paths[1:]:
-            k = 0
-            while k < min(len(common), len(p)) and common[k] == p[k]:
-                k += 1
-            common = common[:k]
-        return common[:-1]
+        return out[::-1]
 
     def word(self, word: str) -> Iterator[int]:
         """A pre-token's ids."""
@@ -248,17 +247,31 @@ class Bpe:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text, piece by piece; special tokens in it keep their own ids.  '' has none."""
-        if self.split_special is None or "<|" not in text:
-            yield from self._plain(text)
-            return
         at = 0
-        for m in self.split_special.finditer(text):
-            yield from self._plain(text[at : m.start()])
-            yield struct.pack("<I", self.special[m[0]])
-            at = m.end()
-        yield from self._plain(text[at:])
-
-    def _plain(self, text: str) -> Iterator[bytes]:
+        if any(t in text for t in self.special):
+            for m in self.split_special.finditer(text):
+                yield from self._plain(text, at, m.start())
+                yield struct.pack("<I", self.special[m[0]])
+                at = m.end()
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """The ids of a part of a text, cut behind white space, across which neither normalisation nor pre-tokens reach."""
+        while at < end:
+            stop = end
+            if end - at > READ:
+                space = _LAST_WHITE.search(text, at, at + READ)
+                if space is None:
+                    space = _WHITE.search(text, at + READ, end)
+                    stop = space.start() if space else end
+                    yield from self._stretch(text, at, stop)
+                    at = stop
+                    continue
+                stop = space.end()
+            yield from self._piece(text[at:stop])
+            at = stop
+
+    def _piece(self, text: str) -> Iterator[bytes]:
         known, chunk, held = self._known, self.chunk, []
         for c in split_space(self.normalised(text)):
             if c in known:
@@ -274,6 +287,56 @@ class Bpe:
                 held.clear()
         yield b"".join(held)
 
+    def _stretch(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """The ids of a long part without white space, normalised in pieces that begin where letters cannot compose."""
+
+        def pieces() -> Iterator[str]:
+            begin = at
+            while begin < end:
+                stop = min(begin + READ, end)
+                while stop < end and not stands_alone(text[stop]):
+                    stop += 1
+                yield self.normalised(text[begin:stop])
+                begin = stop
+
+        def symbols(parts: Iterator[tuple[str, bool]]) -> Iterator[str]:
+            held = None
+            for part, ends in parts:
+                for b in part.encode("utf-8"):
+                    if held is not None:
+                        yield self.letters[held]
+                    held = b
+                if ends:
+                    yield self.letters[held] + self.end
+                    return
+
+        parts = self._parts(pieces())
+        for first in parts:
+            ids = self.transduce(symbols(itertools.chain([first], parts)))
+            while piece := list(itertools.islice(ids, PIECE)):
+                yield struct.pack(f"<{len(piece)}I", *piece)
+
+    def _parts(self, pieces: Iterator[str]) -> Iterator[tuple[str, bool]]:
+        """The pre-tokens of a text that comes in pieces, long ones in parts; with each part whether its pre-token ends there.
+
+        A match is sure if ``HEAD`` letters from its start are there and it ends before the last one.  One that
+        reaches the last letter is a run: its first letters, before the next piece, match on as the whole would.
+        """
+        run = held = ""
+        for piece in itertools.chain(pieces, [None]):
+            text, begun, at = run + held + (piece or ""), len(run), 0
+            run = held = ""
+            while (m := self.pattern.search(text, at)) is not None:
+                start, at = m.span()
+                if piece is not None and len(text) - start < HEAD:
+                    held = text[start:]
+                    break
+                going_on = piece is not None and at == len(text)
+                yield text[max(start, begun) : at], not going_on
+                if going_on:
+                    run = text[start : start + HEAD]
+                    break
+
     def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
         """The text of ids piece by piece: their tokens' bytes with a space between, read into letters.
 
@@ -301,7 +364,20 @@ class Bpe:
         yield state.decode(b"", True)
 
 
-_WHITE = regex.compile(f"[{_SPACE}]+")
+_WHITE, _LAST_WHITE = regex.compile(f"[{_SPACE}]+"), regex.compile(f"(?r)[{_SPACE}]")
+
+
+@functools.cache
+def _composing() -> frozenset[str]:
+    """Letters that may compose with one before them: second ones of Unicode's pairs, and those of Hangul's syllables."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+    return frozenset({chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"} | {chr(c) for c in range(0x1161, 0x11C3)})
+
+
+def stands_alone(letter: str) -> bool:
+    """Whether a text can be cut before a letter and normalised in two parts."""
+    first = unicodedata.normalize("NFD", letter)[0]
+    return letter.isascii() or unicodedata.combining(first) == 0 and first not in _composing()
 
 
 def split_space(text: str) -> list[str]:

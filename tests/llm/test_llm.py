@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -386,6 +388,72 @@ def test_bpe_emits_within_the_lookahead():
     assert "".join(own.words_of(own.encode("Hello, wörld"))) == "hello , wörld "
 
 
+def plain_bpe(symbols, rank):
+    while True:
+        best = min(((rank[p], i) for i, p in enumerate(itertools.pairwise(symbols)) if p in rank), default=None)
+        if best is None:
+            return symbols
+        i = best[1]
+        symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+
+
+def test_bpe_sufficient_lookahead_of_any_merge_list(tmp_path):
+    """Tokens that end the lookahead before a beginning's end stay, whatever follows; emission by it gives the plain encoding."""
+    rng, reached = random.Random(5), 0
+    pattern = {"type": "Split", "pattern": {"Regex": "[^\\s]+"}}
+    for n in range(60):
+        tokens, merges = list("ab"), []
+        for _ in range(rng.randrange(1, 8)):
+            pair = (rng.choice(tokens), rng.choice(tokens))
+            if "".join(pair) not in tokens:
+                tokens.append("".join(pair))
+                merges.append(list(pair))
+        vocab = {t: i for i, t in enumerate([*tokens, "a</w>", "b</w>"])}
+        (tmp_path / f"{n}.json").write_text(json.dumps({"model": {"end_of_word_suffix": "</w>", "vocab": vocab, "merges": merges}, "added_tokens": [], "pre_tokenizer": {"pretokenizers": [pattern]}}))
+        own = bpe.Bpe(str(tmp_path / f"{n}.json"))
+        for _ in range(60):
+            word = [rng.choice("ab") for _ in range(30)]
+            symbols = [*word[:-1], word[-1] + "</w>"]
+            whole = plain_bpe(symbols, own.rank)
+            assert [own.surface[i] for i in own.transduce(symbols, step=1)] == whole
+            ends = set(itertools.accumulate(own.length[t] for t in whole))
+            for k in range(1, 30):
+                of_prefix = list(itertools.accumulate(len(t) for t in plain_bpe(word[:k], own.rank)))
+                kept = max((e for j, e in enumerate(of_prefix) if set(of_prefix[: j + 1]) <= ends), default=0)
+                lost = [e for e in of_prefix if e > kept]
+                assert not lost or lost[0] > k - own.lookahead
+                reached += bool(lost) and lost[0] == k - own.lookahead + 1
+    assert reached
+    (tmp_path / "bad.json").write_text(json.dumps({"model": {"end_of_word_suffix": "</w>", "vocab": {"a": 0, "b": 1, "ab": 2, "aba": 3}, "merges": [["ab", "a"], ["a", "b"]]}, "added_tokens": [], "pre_tokenizer": {"pretokenizers": [pattern]}}))
+    with pytest.raises(ValueError):
+        bpe.Bpe(str(tmp_path / "bad.json"))
+
+
+def test_bpe_reads_texts_in_pieces(monkeypatch):
+    """Texts cut into pieces anywhere give the library's ids, and a longer text takes no more memory."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own, rng = tokenizers.Tokenizer.from_file(path), bpe.loaded(path), random.Random(6)
+    texts = ["!" * 40 + "'s" + "e\u0301\u0323" * 9 + "'re", "ㄱ가각" + "\u1100\u1161\u11a8" * 12, "x" * 50 + "123 <|endoftext|>" + "'" * 33 + "ll"]
+    texts += ["".join(rng.choice(["a", "the", "'s", "'", "!", "1", "e\u0301", "\u0323\u0301", "\u1100", "\u1161\u11a8", "Å", "Σ", "漢", "😀", " " if n % 2 else "z"]) for _ in range(rng.randrange(200))) for n in range(300)]
+    for size in (1, 3, 20):
+        monkeypatch.setattr(bpe, "READ", size)
+        for t in texts:
+            assert np.frombuffer(b"".join(own.encode(t)), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, (size, t)
+    monkeypatch.setattr(bpe, "READ", 1 << 12)
+    monkeypatch.setattr(bpe, "PIECE", 1 << 10)
+    for unit in ("some plain words here, ", "thequickbrownfox", "12'3"):
+        peaks = []
+        for letters in (40_000, 400_000):
+            text = unit * (letters // len(unit))
+            bpe.digest(own, text[:20_000])
+            tracemalloc.start()
+            bpe.digest(own, text)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < 1.3 * peaks[0] + 50_000, (unit, peaks)
+
+
 # --- 7: top-k ---
 
 
