@@ -144,13 +144,17 @@ def _paid(t: Tables, shifts: DataFrame, *columns: str) -> DataFrame:
     return shifts.join(pay, "employee_id", "left")
 
 
-def cost_per_shift(t: Tables, p: dict[str, Any]) -> DataFrame:
+def cost_rows(t: Tables, p: dict[str, Any]) -> DataFrame:
+    """The rows of ``cost_per_shift`` in no order."""
     rows = _paid(t, _shifts(t, p).drop("employee_name"), "employee_name", "employment_type", "hourly_rate", "effective_hourly_cost", "gross_salary")
     rows = rows.withColumns({"shift_hours": _hours(), "rate": _rate()}).withColumn("shift_cost", rounded(F.col("shift_hours") * F.col("rate"), 2))
     basis = F.when(F.col("employment_type") == "salaried", _said(" (effective rate with 25% benefits loading on gross salary of $", F.coalesce(_money("gross_salary"), F.lit("N/A")), ")")).when(F.col("employment_type") == "contractor", " (contractor rate, no benefits loading)").otherwise("")
     evidence = _said("[", F.col("detected_shift_type"), " SHIFT] Cost calculated as: ", text_number(rounded("shift_hours", 1), 1), " hours × $", _money("rate"), "/hour", basis, " = $", _money("shift_cost"), ". Shift: ", F.col("shift_start"), "-", F.col("shift_end"), " on ", F.col("shift_date"), ".")
-    out = rows.select("shift_date", "employee_id", "employee_name", "shift_start", "shift_end", "department_code", "detected_shift_type", "employment_type", "hourly_rate", "effective_hourly_cost", "shift_hours", "shift_cost", evidence.alias("evidence"))
-    return out.orderBy(_kind_order(), F.asc_nulls_last("shift_date"), F.asc_nulls_last("shift_start"))
+    return rows.select("shift_date", "employee_id", "employee_name", "shift_start", "shift_end", "department_code", "detected_shift_type", "employment_type", "hourly_rate", "effective_hourly_cost", "shift_hours", "shift_cost", evidence.alias("evidence"))
+
+
+def cost_per_shift(t: Tables, p: dict[str, Any]) -> DataFrame:
+    return cost_rows(t, p).orderBy(_kind_order(), F.asc_nulls_last("shift_date"), F.asc_nulls_last("shift_start"))
 
 
 def shift_summary(t: Tables, p: dict[str, Any]) -> DataFrame:
@@ -192,11 +196,16 @@ def departure_status(left: Column) -> Column:
     return F.when(left < LEFT_EARLY, "LEFT_EARLY").when(left > OVERTIME, "OVERTIME").otherwise("NORMAL")
 
 
+#: Order of flags in the report of lateness.
+SEVERITY = {"FLAGGED_LATE": 0, "FLAGGED_TOO_EARLY": 1, "FLAGGED_EARLY_DEPARTURE": 2, "OK": 3}
+
+
 def compliance_flag(late: Column, left: Column, early_limit: int, late_limit: int) -> Column:
     return F.when(late > late_limit, "FLAGGED_LATE").when(late < -early_limit, "FLAGGED_TOO_EARLY").when(left < LEFT_EARLY, "FLAGGED_EARLY_DEPARTURE").otherwise("OK")
 
 
-def lateness_flags(t: Tables, p: dict[str, Any]) -> DataFrame:
+def lateness_rows(t: Tables, p: dict[str, Any]) -> DataFrame:
+    """The rows of ``lateness_flags`` in no order."""
     early, late_ = p["early_threshold_minutes"], p["late_threshold_minutes"]
     rows = _shifts(t, p).where(F.col("actual_start").isNotNull() & (F.col("actual_start") != ""))
     late, left = F.col("arrival_diff_minutes"), F.col("departure_diff_minutes")
@@ -209,25 +218,43 @@ def lateness_flags(t: Tables, p: dict[str, Any]) -> DataFrame:
         .when(left > OVERTIME, _said("Left at ", F.col("actual_end"), " which is ", left, " minutes after scheduled end at ", F.col("shift_end"), " (overtime)"))
         .when(late.isNotNull() & left.isNotNull(), _said("Arrived at ", F.col("actual_start"), " for ", F.col("shift_start"), " shift (", how(late, " min early", " min late but within threshold"), "). Departed at ", F.col("actual_end"), " for ", F.col("shift_end"), " end (", how(left, " min early but OK", " min overtime but OK"), ")."))
     )
-    out = rows.select(
+    return rows.select(
         "employee_id", "employee_name", "shift_date", "department_code", "detected_shift_type", F.col("shift_start").alias("scheduled_start"), "actual_start", F.col("shift_end").alias("scheduled_end"), "actual_end", late, left,
         arrival_status(late, early, late_).alias("arrival_status"), departure_status(left).alias("departure_status"), compliance_flag(late, left, early, late_).alias("compliance_flag"),
         F.when(late > late_, late).otherwise(0).alias("minutes_late"), F.when(late < -early, F.abs(late)).otherwise(0).alias("minutes_too_early"), F.concat(F.lit("["), F.col("detected_shift_type"), F.lit(" SHIFT] "), evidence).alias("evidence"),
     )
-    severity = F.when(late > late_, 0).when(late < -early, 1).when(left < LEFT_EARLY, 2).otherwise(3)
-    return out.orderBy(_kind_order(), severity, F.desc_nulls_last("arrival_diff_minutes"), F.asc_nulls_last("shift_date"), F.asc_nulls_last("employee_id"))
 
 
-def attendance_discrepancies(t: Tables, p: dict[str, Any]) -> DataFrame:
-    at = F.col("performed_datetime").cast("string").try_cast("timestamp")
-    done = t[P].where(_between(_day("performed_datetime"), p)).groupBy(F.col("staff_id").alias("employee_id"), at.cast("date").alias("day")).agg(F.min(at).alias("first_activity"), F.max(at).alias("last_activity"), F.count("*").alias("procedure_count"), F.array_join(F.array_sort(F.collect_set(F.col("billing_code").cast("string"))), ", ").alias("codes"))
-    rows = _shifts(t, p).withColumn("day", _day("shift_date")).join(done, ["employee_id", "day"], "left").withColumn("procedure_count", F.coalesce("procedure_count", F.lit(0)))
+def lateness_flags(t: Tables, p: dict[str, Any]) -> DataFrame:
+    severity = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("compliance_flag"))
+    return lateness_rows(t, p).orderBy(_kind_order(), severity, F.desc_nulls_last("arrival_diff_minutes"), F.asc_nulls_last("shift_date"), F.asc_nulls_last("employee_id"))
+
+
+def moment() -> Column:
+    """When a procedure was done; null if that cannot be read."""
+    return F.col("performed_datetime").cast("string").try_cast("timestamp")
+
+
+def activity_measures() -> list[Column]:
+    """What was recorded, of a group of procedures."""
+    codes = F.array_join(F.array_sort(F.collect_set(F.col("billing_code").cast("string"))), ", ")
+    return [F.min(moment()).alias("first_activity"), F.max(moment()).alias("last_activity"), F.count("*").alias("procedure_count"), codes.alias("codes")]
+
+
+def attendance_rows(rows: DataFrame) -> DataFrame:
+    """Shifts with their day's measures, which are null if nothing was recorded, as rows of the report in no order."""
+    rows = rows.withColumn("procedure_count", F.coalesce("procedure_count", F.lit(0)))
     idle = F.col("procedure_count") == 0
     where = _said("Employee ", F.col("employee_id"))
     span = _said(F.col("shift_start"), "-", F.col("shift_end"))
     evidence = F.when(idle, _said(where, " (", F.coalesce("employee_name", F.lit("Unknown")), ") was scheduled for ", F.col("detected_shift_type"), " shift ", span, " on ", F.col("shift_date"), " in ", F.col("department_code"), ", but NO clinical procedures were recorded. This may indicate: (1) documentation gap, (2) non-clinical role, or (3) absence not recorded.")).otherwise(_said(where, " worked ", F.col("detected_shift_type"), " shift ", span, " and performed ", F.col("procedure_count"), " procedure(s). First activity at ", F.date_format("first_activity", "HH:mm"), ", last activity at ", F.date_format("last_activity", "HH:mm"), ". Procedures: ", F.coalesce("codes", F.lit("N/A")), "."))
-    out = rows.select("employee_id", "employee_name", "shift_date", "department_code", "detected_shift_type", "shift_start", "shift_end", "first_activity", "last_activity", "procedure_count", F.when(idle, "NO_ACTIVITY_RECORDED").otherwise("HAS_ACTIVITY").alias("activity_status"), _said("[", F.col("detected_shift_type"), " SHIFT] ", evidence).alias("evidence"))
-    return out.orderBy(_kind_order(), F.when(idle, 0).otherwise(1), F.asc_nulls_last("shift_date"), F.asc_nulls_last("employee_id"))
+    return rows.select("employee_id", "employee_name", "shift_date", "department_code", "detected_shift_type", "shift_start", "shift_end", "first_activity", "last_activity", "procedure_count", F.when(idle, "NO_ACTIVITY_RECORDED").otherwise("HAS_ACTIVITY").alias("activity_status"), _said("[", F.col("detected_shift_type"), " SHIFT] ", evidence).alias("evidence"))
+
+
+def attendance_discrepancies(t: Tables, p: dict[str, Any]) -> DataFrame:
+    done = t[P].where(_between(_day("performed_datetime"), p)).groupBy(F.col("staff_id").alias("employee_id"), moment().cast("date").alias("day")).agg(*activity_measures())
+    rows = _shifts(t, p).withColumn("day", _day("shift_date")).join(done, ["employee_id", "day"], "left")
+    return attendance_rows(rows).orderBy(_kind_order(), F.when(F.col("activity_status") == "NO_ACTIVITY_RECORDED", 0).otherwise(1), F.asc_nulls_last("shift_date"), F.asc_nulls_last("employee_id"))
 
 
 def _procedures(t: Tables, p: dict[str, Any], place: str) -> DataFrame:
@@ -247,18 +274,33 @@ def avg_cost_per_procedure(t: Tables, p: dict[str, Any]) -> DataFrame:
     return out.withColumn("evidence", evidence).drop("margin", "margin_pct").orderBy(F.desc("procedure_count"), F.asc_nulls_last("billing_code"))
 
 
-def gross_profit_per_shift(t: Tables, p: dict[str, Any]) -> DataFrame:
+def earned_measures() -> list[Column]:
+    """What a group of procedures brought in."""
     price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
     detail = F.array_join(F.array_sort(F.collect_list(_said(F.col("billing_code"), " ($", text_number(price, 2), ")"))), "; ")
-    earned = _procedures(t, p, "department").groupBy(F.col("staff_id").alias("employee_id"), _day("performed_datetime").alias("day"), "location").agg(F.count("*").alias("procedures_performed"), F.sum(price).alias("procedure_revenue"), detail.alias("details")).drop("location")
-    rows = _paid(t, _shifts(t, p).drop("employee_name", "position"), "employee_name", "employment_type", "position", "hourly_rate", "effective_hourly_cost").withColumns({"day": _day("shift_date"), "shift_hours": _hours(), "rate": _rate()})
-    rows = rows.join(earned, ["employee_id", "day"], "left").withColumns({"shift_cost": rounded(F.col("shift_hours") * F.col("rate"), 2), "procedures_performed": F.coalesce("procedures_performed", F.lit(0)), "procedure_revenue": F.coalesce("procedure_revenue", F.lit(0.0))})
+    return [F.count("*").alias("procedures_performed"), F.sum(price).alias("procedure_revenue"), detail.alias("details")]
+
+
+def paid_shifts(t: Tables, p: dict[str, Any]) -> DataFrame:
+    """Shifts with their day, hours and rate of pay."""
+    rows = _paid(t, _shifts(t, p).drop("employee_name", "position"), "employee_name", "employment_type", "position", "hourly_rate", "effective_hourly_cost")
+    return rows.withColumns({"day": _day("shift_date"), "shift_hours": _hours(), "rate": _rate()})
+
+
+def profit_rows(rows: DataFrame) -> DataFrame:
+    """Paid shifts with what was earned, null if nothing was, as rows of the report in no order."""
+    rows = rows.withColumns({"shift_cost": rounded(F.col("shift_hours") * F.col("rate"), 2), "procedures_performed": F.coalesce("procedures_performed", F.lit(0)), "procedure_revenue": F.coalesce("procedure_revenue", F.lit(0.0))})
     profit = F.col("procedure_revenue") - F.col("shift_cost")
     rows = rows.withColumns({"gross_profit": rounded(profit, 2), "profit_margin_pct": F.when(F.col("procedure_revenue") > 0, rounded(profit / F.nullif("procedure_revenue", F.lit(0.0)) * 100, 1)).otherwise(0.0)})
     who = _said(F.col("employee_id"), " (", F.coalesce("employee_name", F.lit("Unknown")), ", ", F.coalesce("position", F.lit("N/A")), ") worked ", text_number(F.col("shift_hours"), 2), "h shift on ", F.col("shift_date"), ". Shift cost: $", _money("shift_cost"))
     evidence = F.when(F.col("procedures_performed") == 0, _said(who, " (", text_number(F.col("shift_hours"), 2), "h × $", _money("rate"), "/h). No procedures recorded - support/admin role or documentation gap. Net cost: -$", _money("shift_cost"), ".")).otherwise(_said(who, ". Performed ", F.col("procedures_performed"), " procedure(s) generating $", _money("procedure_revenue"), " revenue. Procedures: ", F.coalesce("details", F.lit("N/A")), ". Gross profit: $", _money("gross_profit"), " (", text_number(F.col("profit_margin_pct"), 1), "% margin)."))
-    out = rows.select("shift_date", "department_code", "detected_shift_type", "employee_id", "employee_name", "employment_type", "position", "shift_hours", "shift_cost", "procedures_performed", "procedure_revenue", "gross_profit", "profit_margin_pct", _said("[", F.col("detected_shift_type"), " SHIFT] ", evidence).alias("evidence"))
-    return out.orderBy(_kind_order(), F.asc_nulls_last("shift_date"), F.asc_nulls_last("department_code"), F.asc_nulls_last("employee_id"))
+    return rows.select("shift_date", "department_code", "detected_shift_type", "employee_id", "employee_name", "employment_type", "position", "shift_hours", "shift_cost", "procedures_performed", "procedure_revenue", "gross_profit", "profit_margin_pct", _said("[", F.col("detected_shift_type"), " SHIFT] ", evidence).alias("evidence"))
+
+
+def gross_profit_per_shift(t: Tables, p: dict[str, Any]) -> DataFrame:
+    earned = _procedures(t, p, "department").groupBy(F.col("staff_id").alias("employee_id"), _day("performed_datetime").alias("day"), "location").agg(*earned_measures()).drop("location")
+    rows = paid_shifts(t, p).join(earned, ["employee_id", "day"], "left")
+    return profit_rows(rows).orderBy(_kind_order(), F.asc_nulls_last("shift_date"), F.asc_nulls_last("department_code"), F.asc_nulls_last("employee_id"))
 
 
 def performance_flag(own: Column, peers: Column) -> Column:
@@ -268,8 +310,8 @@ def performance_flag(own: Column, peers: Column) -> Column:
 
 def doctor_performance_by_procedure(t: Tables, p: dict[str, Any]) -> DataFrame:
     # A procedure is in a shift of its day if its minute is; a shift over midnight has none.
-    moment = F.col("performed_datetime").cast("string").try_cast("timestamp")
-    done = t[P].select(F.col("staff_id").alias("employee_id"), moment.cast("date").alias("day"), (F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)).alias("at"))
+    at = moment()
+    done = t[P].select(F.col("staff_id").alias("employee_id"), at.cast("date").alias("day"), (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)).alias("at"))
     shifts = t[S].where(_between(_day("shift_date"), p) & _same(F.col("department_code"), p.get("department"))).withColumn("day", _day("shift_date"))
     # By hours of the day: an employee with most procedures of a day is as many groups as it has hours.
     work = count_inside(shifts, done, ["employee_id", "day"], time_of_day(F.col("shift_start")), time_of_day(F.col("shift_end")), F.col("at"), 3600, ["employee_id", "day", "department_code", "duration_minutes"])
