@@ -293,15 +293,20 @@ _DETECTED = ["datetime", "date", "time_of_day", "duration", "integer", "float",
 _FIELDS = ["string", "date", "datetime", "integer", "float", "boolean"]
 
 
+def _one_of(names: list[str], of: str) -> str:
+    return f"CASE {of} % {len(names)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names))} END"
+
+
 @query(f"""
 WITH fits(a, b, f) AS (VALUES {", ".join(f"('{a}', '{b}', {f})" for a, b, f in FITS)}),
-     d(a) AS (VALUES {", ".join(f"('{x}')" for x in _DETECTED)}), t(b) AS (VALUES {", ".join(f"('{x}')" for x in _FIELDS)})
-SELECT d.a AS detected, t.b AS field, CAST(CASE WHEN d.a = 'empty' THEN 0.5 ELSE coalesce(x.f, y.f,
-         CASE WHEN d.a IN ('integer', 'float', 'duration') AND t.b IN ('integer', 'float', 'number') THEN 0.85 WHEN d.a IN ('datetime', 'date', 'time_of_day') AND t.b IN ('datetime', 'date', 'time') THEN 0.8 ELSE 0.4 END) END AS DOUBLE) AS fit
-FROM d CROSS JOIN t LEFT JOIN fits x ON x.a = d.a AND x.b = t.b LEFT JOIN fits y ON y.a = t.b AND y.b = d.a""")
+     d AS (SELECT p_partkey, {_one_of(_DETECTED, "p_partkey")} AS a, {_one_of(_FIELDS, "p_size")} AS b FROM part)
+SELECT p_partkey, d.a AS detected, d.b AS field, CAST(CASE WHEN d.a = 'empty' THEN 0.5 ELSE coalesce(x.f, y.f,
+         CASE WHEN d.a IN ('integer', 'float', 'duration') AND d.b IN ('integer', 'float', 'number') THEN 0.85 WHEN d.a IN ('datetime', 'date', 'time_of_day') AND d.b IN ('datetime', 'date', 'time') THEN 0.8 ELSE 0.4 END) END AS DOUBLE) AS fit
+FROM d LEFT JOIN fits x ON x.a = d.a AND x.b = d.b LEFT JOIN fits y ON y.a = d.b AND y.b = d.a""")
 def type_compat(spark, sf_dir):
-    pairs = spark.createDataFrame([(a, b) for a in _DETECTED for b in _FIELDS], "detected string, field string")
-    return pairs.select("detected", "field", compatibility(F.col("detected"), F.col("field")).alias("fit"))
+    """Fits of types that the parts' numbers stand for: every pair of them."""
+    pairs = _t(spark, sf_dir, "part").selectExpr("p_partkey", f"{_one_of(_DETECTED, 'p_partkey')} AS detected", f"{_one_of(_FIELDS, 'p_size')} AS field")
+    return pairs.select("p_partkey", "detected", "field", compatibility(F.col("detected"), F.col("field")).alias("fit"))
 
 
 @query("""

@@ -1,7 +1,8 @@
 """The eight reports themselves, over views of the driver's tables, with SQL that gives the same rows.
 
 Orders stand in for shifts, customers for pay and lines for procedures.  A view's expressions are read
-alike by Spark and by DuckDB.  Evidence texts are left out here: ``tests/test_reports.py`` looks at them.
+alike by Spark and by DuckDB.  Evidence texts are in the SQL of four reports; of the others
+``tests/test_reports.py`` looks at some.
 """
 
 from __future__ import annotations
@@ -80,12 +81,25 @@ def _gap(actual: str, planned: str) -> str:
     return f"{minutes(actual)} - {minutes(planned)}"
 
 
+def _number(value: str, digits: int) -> str:
+    """A number in words: no zeros at the end but one."""
+    return f"regexp_replace(regexp_replace(printf('%.{digits}f', CAST({value} AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '.0')"
+
+
+def _apart(gap: str, before: str, after: str) -> str:
+    return f"CASE WHEN {gap} < 0 THEN abs({gap}) || '{before}' WHEN {gap} = 0 THEN 'on time' ELSE {gap} || '{after}' END"
+
+
+_BASIS = f"""CASE employment_type WHEN 'salaried' THEN ' (effective rate with 25% benefits loading on gross salary of $' || coalesce({_number("gross_salary", 2)}, 'N/A') || ')' WHEN 'contractor' THEN ' (contractor rate, no benefits loading)' ELSE '' END"""
+
 #: Each report's parameters and SQL over the views.
 CASES: dict[str, tuple[dict[str, Any], str]] = {
     "cost_per_shift": (
         {"department": "D1"},
         f"""SELECT shift_date, s.employee_id, c.employee_name, shift_start, shift_end, department_code, {_KIND} AS detected_shift_type, employment_type, hourly_rate, effective_hourly_cost,
-                   {_HOURS} AS shift_hours, round({_HOURS} * {_RATE}, 2) AS shift_cost
+                   {_HOURS} AS shift_hours, round({_HOURS} * {_RATE}, 2) AS shift_cost,
+                   '[' || {_KIND} || ' SHIFT] Cost calculated as: ' || {_number(f"round({_HOURS}, 1)", 1)} || ' hours × $' || {_number(_RATE, 2)} || '/hour' || {_BASIS} || ' = $' || {_number(f"round({_HOURS} * {_RATE}, 2)", 2)}
+                     || '. Shift: ' || shift_start || '-' || shift_end || ' on ' || shift_date || '.' AS evidence
             FROM {S} s LEFT JOIN {C} c ON s.employee_id = c.employee_id WHERE department_code = 'D1'""",
     ),
     "shift_summary": (
@@ -97,10 +111,13 @@ CASES: dict[str, tuple[dict[str, Any], str]] = {
     ),
     "shift_patterns": (
         {},
-        f"""SELECT detected_shift_type AS shift_type, shift_cluster_id AS cluster_id, count(*) AS total_shifts, count(DISTINCT employee_id) AS unique_employees, count(DISTINCT shift_date) AS days_with_shifts, min(shift_start) AS earliest_start,
+        f"""SELECT *, 'Shift pattern ' || shift_type || ' (cluster ' || cluster_id || '): ' || total_shifts || ' shifts by ' || unique_employees || ' employees over ' || days_with_shifts || ' days. Starts range from ' || earliest_start || ' to ' || latest_start
+                     || '. Punctuality: ' || on_time_arrivals || ' on-time, ' || late_arrivals || ' late' || CASE WHEN late_arrivals > 0 THEN ' (avg ' || {_number("avg_minutes_late", 1)} || ' min late)' ELSE '' END
+                     || '. Detection confidence: ' || {_number("avg_detection_confidence_pct", 1)} || '%.' AS evidence
+            FROM (SELECT detected_shift_type AS shift_type, shift_cluster_id AS cluster_id, count(*) AS total_shifts, count(DISTINCT employee_id) AS unique_employees, count(DISTINCT shift_date) AS days_with_shifts, min(shift_start) AS earliest_start,
                    max(shift_start) AS latest_start, 8.0::DOUBLE AS avg_duration_hours, count(*) FILTER (late > 0) AS late_arrivals, count(*) FILTER (late <= 0) AS on_time_arrivals,
                    round(count(*) FILTER (late > 0) * 100.0::DOUBLE / nullif(count(late), 0), 1) AS lateness_rate_pct, round(avg(late) FILTER (late > 0), 0) AS avg_minutes_late, round(avg(shift_detection_confidence) * 100, 0) AS avg_detection_confidence_pct
-            FROM (SELECT *, {_gap("actual_start", "shift_start")} AS late FROM {S} WHERE detected_shift_type <> 'UNKNOWN') GROUP BY 1, 2""",
+            FROM (SELECT *, {_gap("actual_start", "shift_start")} AS late FROM {S} WHERE detected_shift_type <> 'UNKNOWN') GROUP BY 1, 2)""",
     ),
     "lateness_flags": (
         {"early_threshold_minutes": 20, "late_threshold_minutes": 5},
@@ -108,14 +125,23 @@ CASES: dict[str, tuple[dict[str, Any], str]] = {
                    CASE WHEN late > 5 THEN 'LATE' WHEN late < -20 THEN 'TOO_EARLY' WHEN late < 0 THEN 'EARLY_OK' ELSE 'ON_TIME' END AS arrival_status,
                    CASE WHEN gone < -15 THEN 'LEFT_EARLY' WHEN gone > 30 THEN 'OVERTIME' ELSE 'NORMAL' END AS departure_status,
                    CASE WHEN late > 5 THEN 'FLAGGED_LATE' WHEN late < -20 THEN 'FLAGGED_TOO_EARLY' WHEN gone < -15 THEN 'FLAGGED_EARLY_DEPARTURE' ELSE 'OK' END AS compliance_flag,
-                   CASE WHEN late > 5 THEN late ELSE 0 END AS minutes_late, CASE WHEN late < -20 THEN -late ELSE 0 END AS minutes_too_early
+                   CASE WHEN late > 5 THEN late ELSE 0 END AS minutes_late, CASE WHEN late < -20 THEN -late ELSE 0 END AS minutes_too_early,
+                   '[' || {_KIND} || ' SHIFT] ' || CASE WHEN late > 5 THEN 'Arrived at ' || actual_start || ' but shift was scheduled to start at ' || shift_start || '. Difference: ' || late || ' minutes late (threshold: 5 min)'
+                     WHEN late < -20 THEN 'Arrived at ' || actual_start || ' which is ' || -late || ' minutes before shift start at ' || shift_start || ' (max allowed early: 20 min)'
+                     WHEN gone < -15 THEN 'Left at ' || actual_end || ' but shift was scheduled to end at ' || shift_end || '. Left ' || -gone || ' minutes early (threshold: 15 min)'
+                     WHEN gone > 30 THEN 'Left at ' || actual_end || ' which is ' || gone || ' minutes after scheduled end at ' || shift_end || ' (overtime)'
+                     WHEN gone IS NOT NULL THEN 'Arrived at ' || actual_start || ' for ' || shift_start || ' shift (' || {_apart("late", " min early", " min late but within threshold")} || '). Departed at ' || actual_end || ' for ' || shift_end || ' end ('
+                       || {_apart("gone", " min early but OK", " min overtime but OK")} || ').' END AS evidence
             FROM (SELECT *, {_gap("actual_start", "shift_start")} AS late, {_gap("actual_end", "shift_end")} AS gone FROM {S} WHERE actual_start <> '')""",
     ),
     "attendance_discrepancies": (
         {},
         f"""SELECT s.employee_id, employee_name, shift_date, department_code, {_KIND} AS detected_shift_type, shift_start, shift_end, first_activity, last_activity, coalesce(n, 0) AS procedure_count,
-                   CASE WHEN n IS NULL THEN 'NO_ACTIVITY_RECORDED' ELSE 'HAS_ACTIVITY' END AS activity_status
-            FROM {S} s LEFT JOIN (SELECT staff_id, substr(performed_datetime, 1, 10) AS day, min(substr(performed_datetime, 12, 5)) AS first_activity, max(substr(performed_datetime, 12, 5)) AS last_activity, count(*) AS n FROM {P} GROUP BY 1, 2) d
+                   CASE WHEN n IS NULL THEN 'NO_ACTIVITY_RECORDED' ELSE 'HAS_ACTIVITY' END AS activity_status,
+                   '[' || {_KIND} || ' SHIFT] Employee ' || s.employee_id || CASE WHEN n IS NULL THEN ' (' || coalesce(employee_name, 'Unknown') || ') was scheduled for ' || {_KIND} || ' shift ' || shift_start || '-' || shift_end || ' on ' || shift_date || ' in ' || department_code
+                       || ', but NO clinical procedures were recorded. This may indicate: (1) documentation gap, (2) non-clinical role, or (3) absence not recorded.'
+                     ELSE ' worked ' || {_KIND} || ' shift ' || shift_start || '-' || shift_end || ' and performed ' || n || ' procedure(s). First activity at ' || first_activity || ', last activity at ' || last_activity || '. Procedures: ' || codes || '.' END AS evidence
+            FROM {S} s LEFT JOIN (SELECT staff_id, substr(performed_datetime, 1, 10) AS day, min(substr(performed_datetime, 12, 5)) AS first_activity, max(substr(performed_datetime, 12, 5)) AS last_activity, string_agg(DISTINCT billing_code, ', ' ORDER BY billing_code) AS codes, count(*) AS n FROM {P} GROUP BY 1, 2) d
               ON d.staff_id = s.employee_id AND d.day = shift_date""",
     ),
     "avg_cost_per_procedure": (
@@ -157,7 +183,8 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _query(name: str, parameters: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         report = Registry().get(name)
-        rows = report.build(views(spark, sf_dir), report.bind(parameters)).drop("evidence")
+        rows = report.build(views(spark, sf_dir), report.bind(parameters))
+        rows = rows if " AS evidence" in CASES[name][1] else rows.drop("evidence")
         return rows.withColumns({c: F.date_format(c, "HH:mm") for c in ("first_activity", "last_activity") if c in rows.columns})
 
     return run
