@@ -1,8 +1,7 @@
 """The eight reports themselves, over views of the driver's tables, with SQL that gives the same rows.
 
 Orders stand in for shifts, customers for pay and lines for procedures.  A view's expressions are read
-alike by Spark and by DuckDB.  Evidence texts are in the SQL of four reports; of the others
-``tests/test_reports.py`` looks at some.
+alike by Spark and by DuckDB.  Evidence texts are part of them.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .reports import C, P, Registry, S
+from .reports import MEANING, C, P, Registry, S
 
 
 def _text(value: str) -> str:
@@ -104,10 +103,14 @@ CASES: dict[str, tuple[dict[str, Any], str]] = {
     ),
     "shift_summary": (
         {"start_date": "1996-01-01"},
-        f"""SELECT department_code, {_KIND} AS detected_shift_type, count(*) AS total_shifts, count(DISTINCT s.employee_id) AS unique_employees, round(sum({_HOURS}), 1) AS total_hours, round(avg({_HOURS}), 2) AS avg_shift_hours,
+        f"""SELECT * EXCLUDE (salaried_avg, contractor_avg), 'Summary for ' || department_code || ' / ' || detected_shift_type || ' shifts: ' || total_shifts || ' shifts by ' || unique_employees || ' employees from ' || first_shift || ' to ' || last_shift
+                     || '. Total hours: ' || {_number("total_hours", 1)} || 'h. Staff mix: ' || salaried_shifts || ' salaried ($' || {_number("salaried_avg", 2)} || ' avg) + ' || contractor_shifts || ' contractor ($' || {_number("contractor_avg", 2)}
+                     || ' avg). Total labor cost: $' || {_number("total_cost", 2)} || '.' AS evidence
+            FROM (SELECT department_code, {_KIND} AS detected_shift_type, count(*) AS total_shifts, count(DISTINCT s.employee_id) AS unique_employees, round(sum({_HOURS}), 1) AS total_hours, round(avg({_HOURS}), 2) AS avg_shift_hours,
                    round(sum({_HOURS} * {_RATE}), 2) AS total_cost, round(avg({_HOURS} * {_RATE}), 2) AS avg_shift_cost, count(*) FILTER (employment_type = 'salaried') AS salaried_shifts,
-                   count(*) FILTER (employment_type = 'contractor') AS contractor_shifts, min(shift_date) AS first_shift, max(shift_date) AS last_shift
-            FROM {S} s LEFT JOIN {C} c ON s.employee_id = c.employee_id WHERE shift_date >= '1996-01-01' GROUP BY 1, 2""",
+                   count(*) FILTER (employment_type = 'contractor') AS contractor_shifts, min(shift_date) AS first_shift, max(shift_date) AS last_shift,
+                   coalesce(round(avg({_HOURS} * {_RATE}) FILTER (employment_type = 'salaried'), 2), 0) AS salaried_avg, coalesce(round(avg({_HOURS} * {_RATE}) FILTER (employment_type = 'contractor'), 2), 0) AS contractor_avg
+            FROM {S} s LEFT JOIN {C} c ON s.employee_id = c.employee_id WHERE shift_date >= '1996-01-01' GROUP BY 1, 2)""",
     ),
     "shift_patterns": (
         {},
@@ -146,25 +149,38 @@ CASES: dict[str, tuple[dict[str, Any], str]] = {
     ),
     "avg_cost_per_procedure": (
         {},
-        f"""SELECT billing_code, max(procedure_description) AS procedure_description, count(*) AS procedure_count, count(DISTINCT staff_id) AS unique_performers, round(avg(cost), 2) AS avg_staff_cost, round(min(cost), 2) AS min_cost,
-                   round(max(cost), 2) AS max_cost, round(sum(cost), 2) AS total_staff_cost, round(avg(earned), 2) AS avg_revenue, round(sum(earned), 2) AS total_revenue
-            FROM (SELECT p.*, {_RATE} * 0.5::DOUBLE AS cost, coalesce(price, 0.0::DOUBLE) AS earned FROM {P} p JOIN {C} c ON staff_id = employee_id) WHERE cost > 0 GROUP BY billing_code""",
+        f"""SELECT * EXCLUDE (margin, margin_pct), 'Procedure ' || billing_code || ' (' || procedure_description || '): Performed ' || procedure_count || ' times by ' || unique_performers || ' staff member(s). Staff cost calculation: 0.5 hours (estimated) × hourly rate. Avg staff cost: $'
+                     || {_number("avg_staff_cost", 2)} || ' (range: $' || {_number("min_cost", 2)} || ' - $' || {_number("max_cost", 2)} || '). Avg revenue per procedure: $' || {_number("avg_revenue", 2)} || '. Gross margin: $' || {_number("margin", 2)}
+                     || coalesce(' (' || {_number("margin_pct", 1)} || '%)', '') || '.' AS evidence
+            FROM (SELECT billing_code, max(procedure_description) AS procedure_description, count(*) AS procedure_count, count(DISTINCT staff_id) AS unique_performers, round(avg(cost), 2) AS avg_staff_cost, round(min(cost), 2) AS min_cost,
+                   round(max(cost), 2) AS max_cost, round(sum(cost), 2) AS total_staff_cost, round(avg(earned), 2) AS avg_revenue, round(sum(earned), 2) AS total_revenue,
+                   round(avg(earned) - avg(cost), 2) + 0.0 AS margin, round((avg(earned) - avg(cost)) / nullif(avg(earned), 0) * 100, 1) + 0.0 AS margin_pct
+            FROM (SELECT p.*, {_RATE} * 0.5::DOUBLE AS cost, coalesce(price, 0.0::DOUBLE) AS earned FROM {P} p JOIN {C} c ON staff_id = employee_id) WHERE cost > 0 GROUP BY billing_code)""",
     ),
     "gross_profit_per_shift": (
         {},
-        f"""SELECT shift_date, department_code, kind AS detected_shift_type, employee_id, employee_name, employment_type, position, hours AS shift_hours, cost AS shift_cost, n AS procedures_performed, earned AS procedure_revenue,
+        f"""SELECT * EXCLUDE (rate, details), '[' || detected_shift_type || ' SHIFT] ' || employee_id || ' (' || coalesce(employee_name, 'Unknown') || ', ' || coalesce(position, 'N/A') || ') worked ' || {_number("shift_hours", 2)} || 'h shift on ' || shift_date || '. Shift cost: $' || {_number("shift_cost", 2)}
+                     || CASE WHEN procedures_performed = 0 THEN ' (' || {_number("shift_hours", 2)} || 'h × $' || {_number("rate", 2)} || '/h). No procedures recorded - support/admin role or documentation gap. Net cost: -$' || {_number("shift_cost", 2)} || '.'
+                        ELSE '. Performed ' || procedures_performed || ' procedure(s) generating $' || {_number("procedure_revenue", 2)} || ' revenue. Procedures: ' || details || '. Gross profit: $' || {_number("gross_profit", 2)} || ' (' || {_number("profit_margin_pct", 1)} || '% margin).' END AS evidence
+            FROM (SELECT rate, details, shift_date, department_code, kind AS detected_shift_type, employee_id, employee_name, employment_type, position, hours AS shift_hours, cost AS shift_cost, n AS procedures_performed, earned AS procedure_revenue,
                    round(earned - cost, 2) + 0.0 AS gross_profit, CASE WHEN earned > 0 THEN round((earned - cost) / earned * 100, 1) + 0.0 ELSE 0.0 END AS profit_margin_pct
-            FROM (SELECT s.*, c.employee_name, employment_type, position, {_KIND} AS kind, {_HOURS} AS hours, round({_HOURS} * {_RATE}, 2) AS cost, coalesce(d.n, 0) AS n, coalesce(d.earned, 0.0::DOUBLE) AS earned
+            FROM (SELECT s.*, c.employee_name, employment_type, position, {_KIND} AS kind, {_HOURS} AS hours, {_RATE} AS rate, d.details, round({_HOURS} * {_RATE}, 2) AS cost, coalesce(d.n, 0) AS n, coalesce(d.earned, 0.0::DOUBLE) AS earned
                   FROM (SELECT * EXCLUDE (employee_name) FROM {S}) s LEFT JOIN {C} c ON s.employee_id = c.employee_id
-                  LEFT JOIN (SELECT staff_id, substr(performed_datetime, 1, 10) AS day, location, count(*) AS n, sum(coalesce(price, 0.0::DOUBLE)) AS earned FROM {P} GROUP BY 1, 2, 3) d ON d.staff_id = s.employee_id AND d.day = shift_date)""",
+                  LEFT JOIN (SELECT staff_id, substr(performed_datetime, 1, 10) AS day, location, count(*) AS n, sum(coalesce(price, 0.0::DOUBLE)) AS earned,
+                               string_agg(billing_code || ' ($' || {_number("coalesce(price, 0)", 2)} || ')', '; ' ORDER BY billing_code || ' ($' || {_number("coalesce(price, 0)", 2)} || ')') AS details FROM {P} GROUP BY 1, 2, 3) d ON d.staff_id = s.employee_id AND d.day = shift_date))""",
     ),
     "doctor_performance_by_procedure": (
         {"min_procedure_count": 2},
-        f"""SELECT o.*, peer AS dept_avg_duration_hours, doctors_performing, round((avg_duration_hours - peer) / nullif(peer, 0) * 100, 1) + 0.0 AS duration_variance_pct,
+        f"""SELECT *, employee_name || ' (' || employee_id || ', ' || position || ') performed ' || procedures_performed || ' × ' || billing_code || ' (' || procedure_description || '). Avg time: ' || {_number("avg_duration_hours", 2)} || 'h per procedure. Department avg: '
+                     || {_number("dept_avg_duration_hours", 2)} || 'h (' || doctors_performing || ' doctor(s)). Performance: ' || CASE WHEN avg_duration_hours > dept_avg_duration_hours THEN {_number("duration_variance_pct", 1)} || '% SLOWER than average. '
+                        WHEN avg_duration_hours < dept_avg_duration_hours THEN {_number("abs(duration_variance_pct)", 1)} || '% FASTER than average. ' ELSE 'ON PAR with department average. ' END
+                     || 'Avg cost: $' || {_number("avg_cost_per_procedure", 2)} || '/procedure. Total cost for this procedure type: $' || {_number("total_cost", 2)} || '. '
+                     || CASE performance_flag {" ".join(f"WHEN '{flag}' THEN '{says}'" for flag, says in MEANING.items())} END AS evidence
+            FROM (SELECT o.*, peer AS dept_avg_duration_hours, doctors_performing, round((avg_duration_hours - peer) / nullif(peer, 0) * 100, 1) + 0.0 AS duration_variance_pct,
                    CASE WHEN avg_duration_hours > peer * 1.5::DOUBLE THEN 'VERY_SLOW' WHEN avg_duration_hours > peer * 1.2::DOUBLE THEN 'SLOW' WHEN avg_duration_hours < peer * 0.9::DOUBLE THEN 'FAST' ELSE 'AVERAGE' END AS performance_flag
             FROM (SELECT employee_id, max(employee_name) AS employee_name, max(position) AS position, max(employment_type) AS employment_type, billing_code, max(procedure_description) AS procedure_description, count(*) AS procedures_performed,
                          round(avg(hours), 2) AS avg_duration_hours, round(avg(rate), 2) AS avg_hourly_cost, round(avg(hours * rate), 2) AS avg_cost_per_procedure, round(sum(hours * rate), 2) AS total_cost FROM timed GROUP BY employee_id, billing_code HAVING count(*) >= 2) o
-            JOIN (SELECT billing_code, round(avg(hours), 2) AS peer, count(DISTINCT employee_id) AS doctors_performing FROM timed GROUP BY billing_code) g ON g.billing_code = o.billing_code""",
+            JOIN (SELECT billing_code, round(avg(hours), 2) AS peer, count(DISTINCT employee_id) AS doctors_performing FROM timed GROUP BY billing_code) g ON g.billing_code = o.billing_code)""",
     ),
 }
 #: Hours for each procedure of the last report: those of its shift, shared by what was done in it.
@@ -184,7 +200,6 @@ def _query(name: str, parameters: dict[str, Any]) -> Callable[[SparkSession, str
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         report = Registry().get(name)
         rows = report.build(views(spark, sf_dir), report.bind(parameters))
-        rows = rows if " AS evidence" in CASES[name][1] else rows.drop("evidence")
         return rows.withColumns({c: F.date_format(c, "HH:mm") for c in ("first_activity", "last_activity") if c in rows.columns})
 
     return run

@@ -303,6 +303,10 @@ def gross_profit_per_shift(t: Tables, p: dict[str, Any]) -> DataFrame:
     return profit_rows(rows).orderBy(_kind_order(), F.asc_nulls_last("shift_date"), F.asc_nulls_last("department_code"), F.asc_nulls_last("employee_id"))
 
 
+# What a flag is said to mean.
+MEANING = {"VERY_SLOW": "⚠️ VERY SLOW - Consider training or workload review.", "SLOW": "⚠️ SLOW - May need efficiency improvement.", "FAST": "✓ FAST - High efficiency, potential best practice.", "AVERAGE": "✓ AVERAGE - Within normal range."}
+
+
 def performance_flag(own: Column, peers: Column) -> Column:
     """Compares averages that are rounded already."""
     return F.when(own > peers * 1.5, "VERY_SLOW").when(own > peers * 1.2, "SLOW").when(own < peers * 0.9, "FAST").otherwise("AVERAGE")
@@ -326,9 +330,7 @@ def doctor_performance_by_procedure(t: Tables, p: dict[str, Any]) -> DataFrame:
     a, b = F.col("avg_duration_hours"), F.col("dept_avg_duration_hours")
     out = own.join(peers, "billing_code").withColumns({"duration_variance_pct": rounded(ratio(a - b, b) * 100, 1), "performance_flag": performance_flag(a, b)})
     pace = F.when(a > b, _said("Performance: ", text_number(F.col("duration_variance_pct"), 1), "% SLOWER than average. ")).when(a < b, _said("Performance: ", text_number(F.abs("duration_variance_pct"), 1), "% FASTER than average. ")).otherwise("Performance: ON PAR with department average. ")
-    # What a flag is said to mean.
-    meaning = {"VERY_SLOW": "⚠️ VERY SLOW - Consider training or workload review.", "SLOW": "⚠️ SLOW - May need efficiency improvement.", "FAST": "✓ FAST - High efficiency, potential best practice.", "AVERAGE": "✓ AVERAGE - Within normal range."}
-    says = F.element_at(F.create_map(*[F.lit(x) for kv in meaning.items() for x in kv]), F.col("performance_flag"))
+    says = F.element_at(F.create_map(*[F.lit(x) for kv in MEANING.items() for x in kv]), F.col("performance_flag"))
     evidence = _said(F.col("employee_name"), " (", F.col("employee_id"), ", ", F.col("position"), ") performed ", F.col("procedures_performed"), " × ", F.col("billing_code"), " (", F.col("procedure_description"), "). Avg time: ", text_number(a, 2), "h per procedure. Department avg: ", text_number(b, 2), "h (", F.col("doctors_performing"), " doctor(s)). ", pace, "Avg cost: $", _money("avg_cost_per_procedure"), "/procedure. Total cost for this procedure type: $", _money("total_cost"), ". ", says)
     order = {"VERY_SLOW": 0, "SLOW": 1, "FAST": 2, "AVERAGE": 3}
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("performance_flag"))
