@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
@@ -35,19 +36,27 @@ _INLINE |= set("math annotation annotation-xml maction menclose merror mfrac mi
 _RAW = set("script style title iframe textarea".split())
 #: A start of one of these ends an open one of the same kind.
 _ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in names of elements that say what they are for (fixed values).
+#: Words in names of elements that say what they are for, in English, German, French and Spanish, without accents (fixed values).
 _PURPOSE = {
-    "advert": "ad ads adv advert advertisement adbox adsense banner promo promoted promotion sponsor sponsored",
-    "comment": "comment comments commentlist disqus discussion replies reply respond",
-    "menu": "breadcrumb breadcrumbs menu nav navbar navigation pager pagination tabs toc topbar",
-    "aside": "aside bio extra more popular recommended related rail recent share sharing sidebar social tags widget widgets",
-    "notice": "alert consent cookie cookies gdpr modal newsletter notice notification overlay paywall popup privacy subscribe warning",
-    "form": "contact form login search signin signup",
-    "frame": "copyright footer header legal masthead site colophon",
-    "content": "article articlebody body content entry main post story text",
+    "advert": "ad ads adv advert advertisement adbox adsense banner promo promoted promotion sponsor sponsored werbung anzeige anzeigen reklame publicite pub annonce publicidad anuncio anuncios patrocinado",
+    "comment": "comment comments commentlist disqus discussion replies reply respond kommentar kommentare antworten commentaire commentaires reponses comentario comentarios respuestas",
+    "menu": "breadcrumb breadcrumbs menu nav navbar navigation pager pagination tabs toc topbar navi navigationsleiste brotkrumen menue navegacion migas ariane",
+    "aside": "aside bio extra more popular recommended related rail recent share sharing sidebar social tags widget widgets seitenleiste randspalte empfehlungen verwandt teilen laterale partager lateral relacionados compartir",
+    "notice": "alert consent cookie cookies gdpr modal newsletter notice notification overlay paywall popup privacy subscribe warning hinweis datenschutz einwilligung avertissement consentement aviso consentimiento",
+    "form": "contact form login search signin signup suche suchen anmelden anmeldung formular recherche connexion formulaire buscar busqueda formulario",
+    "frame": "copyright footer header legal masthead site colophon fusszeile kopfzeile impressum pied entete mentions pie cabecera encabezado",
+    "content": "article articlebody body content entry main post story text artikel inhalt beitrag contenu texte articulo contenido texto",
 }
+#: Words in names that only say where or how an element stands (fixed values).
+_NEUTRAL = set("area bar block bottom box card center col column container element fixed full global group head holder inner item large left list lower mobile module outer panel page primary region right row secondary section side slot small sticky sub top unit upper view wide wrap wrapper zone".split())
 _BY_WORD = {w: purpose for purpose, words in _PURPOSE.items() for w in words.split()}
 _OTHER = {f"for {p}" for p in _PURPOSE if p != "content"} | {f"in {t}" for t in "aside nav footer form button label".split()}
+_CORE = {"in article", "in main", "for content"}
+#: How a line begins or what it says if it tells whose a page is (fixed values).
+_OWNED = re.compile(r"(?:©|\(c\)|copyright\b|impressum\b|mentions légales|aviso legal)", re.IGNORECASE)
+_RIGHTS = re.compile(r"all rights reserved|alle rechte vorbehalten|tous droits réservés|(?:todos los )?derechos reservados", re.IGNORECASE)
+#: Begins an article's texts in pages made for training; features do not see it.
+_MARK = "\ue000"
 _KNOWN = set("a article aside blockquote body button caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr label legend li main nav ol p pre section table td th ul".split())
 
 
@@ -57,11 +66,30 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
+def _words(name: str) -> list[str]:
+    """The words of a name such as ``sideBar``, ``side-bar`` or ``side_bar``, in lower case and without accents."""
+    parts = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)
+    if not parts.isascii():
+        parts = "".join(c for c in unicodedata.normalize("NFKD", parts.replace("ß", "ss")) if not unicodedata.combining(c))
+    return _WORDS.findall(parts.lower())
+
+
 def _purposes(attributes: str) -> tuple[str, ...]:
-    """What the names in an element's attributes say it is for: of a few words only, so that what depends on them can be remembered."""
+    """What the names in an element's attributes say it is for: of a few words only, so that what depends on them can be remembered.
+
+    A name that has other words too, as ``ad-free-note`` has, says so with a "maybe".
+    """
     if "=" not in attributes:
         return ()
-    return tuple(sorted({_BY_WORD[w] for m in _NAMES.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _BY_WORD}))
+    out = set()
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = _words(name)
+            known = {_BY_WORD[w] for w in words if w in _BY_WORD}
+            if known and not all(w in _BY_WORD or w in _NEUTRAL or len(w) < 3 for w in words):
+                known = {p if p == "content" else f"maybe {p}" for p in known}
+            out |= known
+    return tuple(sorted(out))
 
 
 @lru_cache(1 << 14)
@@ -72,20 +100,41 @@ def _around(outer: tuple[str, ...], tag: str, purposes: tuple[str, ...]) -> tupl
         new.append(f"{tag} in article")
     found = {*outer, *new} - {"plain"}
     # Inside something that holds an article, with nothing around it that speaks for another purpose.
-    if found & {"in article", "in main", "for content"} and not found & _OTHER:
+    if found & _CORE and not found & _OTHER:
         found.add("plain")
     return tuple(sorted(found))
 
 
-def _text_features(text: str, linked: int) -> list[str]:
-    words = text.count(" ") + 1
-    out = ["any", f"words {min(words, 64).bit_length()}", f"links {min(3, 4 * linked // max(1, len(text)))}"]
-    if text[-1] in ".!?:;\"'”»…。":
+def _text_features(text: str, linked: int, own: str, plain: bool) -> list[str]:
+    text = text.removeprefix(_MARK)
+    words, share = text.count(" ") + 1, min(3, 4 * linked // max(1, len(text)))
+    out = ["any", f"words {min(words, 64).bit_length()}", f"links {share}"]
+    if text[-1:] in ".!?:;\"'”»…。":
         out.append("sentence")
     if "©" in text or "copyright" in text.lower():
         out.append("copyright")
+    if _OWNED.match(text):
+        out.append("owned short" if words <= 16 else "owned long")
+    if _RIGHTS.search(text):
+        out.append("rights")
     if words <= 4 and linked:
         out.append("short link")
+    if plain and share == 3:
+        out.append(f"plain {own} all link")
+    return out
+
+
+def _placed(out: list[Block]) -> list[Block]:
+    """Blocks with the features of their places in the page."""
+    if out:
+        out[0].features.append("first")
+        out[-1].features.append("last")
+        if "owned short" in out[-1].features:
+            out[-1].features.append("owned last")
+        if any("plain" in b.features for b in out):
+            for b in out:
+                if _CORE.isdisjoint(b.features):
+                    b.features.append("outside")
     return out
 
 
@@ -123,7 +172,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Block(text, [*near, f"own {own}", *_text_features(text, linked)]))
+                out.append(Block(text, [*near, f"own {own}", *_text_features(text, linked, own, "plain" in near)]))
         linked = 0
 
     def add(raw: str):
@@ -190,12 +239,12 @@ def blocks(page: str) -> list[Block]:
                         del stack[k:]
                         break
             if tag not in _VOID:
-                stack.append((tag, _around(stack[-1][1] if stack else (), tag if tag in _KNOWN else "", _purposes(m[2]))))
+                stack.append((tag, _around(stack[-1][1] if stack else (), tag if tag in _KNOWN else "", () if tag in ("html", "body") else _purposes(m[2]))))
         links = 0
         near = stack[-1][1] if stack else ()
         own = stack[-1][0] if stack and stack[-1][0] in _KNOWN else ""
     close()
-    return out
+    return _placed(out)
 
 
 class Field:
@@ -265,8 +314,9 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, rate:
 
 def training_pages(many: int = 500, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
     """Labelled pages of many layouts.  An article's texts begin with a private character, which is taken off again."""
-    rng, mark = random.Random(seed), "\ue000"
+    rng, mark = random.Random(seed), _MARK
     letters = "etaoinshrdlu"
+    other = " ".join(names for purpose, names in _PURPOSE.items() if purpose != "content").split()
 
     def words(n: int) -> str:
         return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(n))
@@ -280,40 +330,58 @@ def training_pages(many: int = 500, seed: int = 7) -> list[tuple[list[Block], li
 
     def named(tag: str, names: str, inner: str) -> str:
         name = rng.choice(names.split())
+        if rng.random() < 0.12:
+            attribute = f' class="{rng.choice([f"{name}-{word()}", f"{word()}-{name}"])}"'
+            return f"<{tag}{attribute}>{inner}</{tag}>"
         attribute = rng.choice([f' class="{name}"', f" id='{name}'", f' class="{name} box"', f' class="x-{name}"'])
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
+    def word() -> str:
+        return "".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))
+
+    def misled(inner: str, tag: str = "p") -> str:
+        """An article's block whose name has a word for something else in it."""
+        name = rng.choice(other)
+        return f'<{tag} class="{rng.choice([f"{name}-{word()}", f"{word()}-{name}", f"{word()}-{name}-{word()}"])}">{inner}</{tag}>'
+
     def menu() -> str:
         items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8)))
-        return rng.choice([f"<nav><ul>{items}</ul></nav>", named("div", "menu nav navbar breadcrumbs", f"<ul>{items}</ul>"), f'<header><h2>{words(2)}</h2><nav><ul>{items}</ul></nav></header>', f"<nav>{link()} {link()}</nav>"])
+        return rng.choice([f"<nav><ul>{items}</ul></nav>", named("div", "menu nav navbar breadcrumbs navigation navi navigationsleiste menue navegacion migas ariane", f"<ul>{items}</ul>"), f'<header><h2>{words(2)}</h2><nav><ul>{items}</ul></nav></header>', f"<nav>{link()} {link()}</nav>", f"<div>{link()} | {link()} | {link()}</div>", f"<ul>{items}</ul>"])
 
     def advert() -> str:
         inner = rng.choice([text(3, 30), f"<p>{text(3, 30)}</p>", f"<p>{link(2, 8)}</p>"])
-        return rng.choice([named("div", "ad ads advert banner promo sponsored", inner), named("aside", "ad sponsored promo", inner), named("section", "advertisement promo", inner)])
+        return rng.choice([named("div", "ad ads advert banner promo sponsored werbung anzeige reklame publicite annonce publicidad anuncio", inner), named("aside", "ad sponsored promo", inner), named("section", "advertisement promo", inner)])
 
     def side() -> str:
         inner = f"<h3>{words(2)}</h3>" + "".join(rng.choice([f"<p>{text(2, 25)}</p>", f"<ul><li>{link(2, 6)}</li></ul>"]) for _ in range(rng.randint(1, 4)))
-        return rng.choice([f"<aside>{inner}</aside>", named("div", "sidebar related widget share popular", inner), named("section", "related recommended", inner)])
+        return rng.choice([f"<aside>{inner}</aside>", named("div", "sidebar related widget share popular seitenleiste randspalte empfehlungen laterale partager lateral relacionados", inner), named("section", "related recommended", inner)])
 
     def notice() -> str:
-        return named(rng.choice(["div", "section", "p"]), "cookie consent notice gdpr newsletter popup", rng.choice([f"{text(5, 30)} <button>{words(1)}</button>", text(5, 30)]))
+        return named(rng.choice(["div", "section", "p"]), "cookie consent notice gdpr newsletter popup hinweis datenschutz einwilligung avertissement consentement aviso consentimiento", rng.choice([f"{text(5, 30)} <button>{words(1)}</button>", text(5, 30)]))
 
     def form() -> str:
-        return rng.choice([f"<form><label>{words(2)}</label><input><button>{words(1)}</button></form>", f"<form><p>{text(2, 20)}</p><input type=text><button>{words(1)}</button></form>", named("form", "search login signup", f"<fieldset><legend>{words(2)}</legend>{text(1, 8)}</fieldset>")])
+        return rng.choice([f"<form><label>{words(2)}</label><input><button>{words(1)}</button></form>", f"<form><p>{text(2, 20)}</p><input type=text><button>{words(1)}</button></form>", named("form", "search login signup suche anmeldung recherche connexion buscar", f"<fieldset><legend>{words(2)}</legend>{text(1, 8)}</fieldset>")])
 
     def comments() -> str:
         each = "".join(rng.choice([named("div", "comment reply", f"<p>{text(2, 40)}</p>"), f"<li><p>{text(2, 40)}</p></li>", f"<p>{text(2, 40)}</p>"]) for _ in range(rng.randint(1, 5)))
-        return rng.choice([named("section", "comments discussion", f"<h3>{words(1)}</h3>{each}"), named("div", "comments disqus replies", each), named("ol", "commentlist comments", each)])
+        return rng.choice([named("section", "comments discussion", f"<h3>{words(1)}</h3>{each}"), named("div", "comments disqus replies kommentare commentaires comentarios", each), named("ol", "commentlist comments", each)])
 
     def footer() -> str:
         inner = rng.choice([f"&copy; {words(2)} &middot; {text(2, 20)}", f"<p>{text(3, 25)}</p><p>{link()} {link()}</p>", f"<ul><li>{link()}</li><li>{link()}</li></ul>"])
-        return rng.choice([f"<footer>{inner}</footer>", named("div", "footer copyright legal", inner)])
+        owned = f"{rng.choice(['Copyright', '©', '&copy;', '(c)', 'Copyright ©'])} {rng.randint(1990, 2030)} {words(rng.randint(1, 4))}{rng.choice(['', '.', '. All rights reserved.', '. Alle Rechte vorbehalten.', ' - Tous droits réservés', '. Todos los derechos reservados.'])}"
+        unnamed = rng.choice([f"<div>{owned}</div>", f"<p>{owned}</p>", f"<div><p>{owned}</p></div>", f"<p>{owned}</p><p>{link()} {link()}</p>", f"<hr>{owned}"])
+        return rng.choice([f"<footer>{inner}</footer>", f"<footer>{owned}</footer>", named("div", "footer copyright legal fusszeile impressum pied mentions pie", inner), unnamed])
 
     def body() -> str:
         def block() -> str:
             kind = rng.random()
             if kind < 0.62:
-                inner = mark + text(*rng.choice([(1, 3), (3, 20), (10, 80)]))
+                inner = mark + (f"Copyright {text(20, 80)}" if rng.random() < 0.02 else text(*rng.choice([(1, 3), (3, 20), (10, 80)])))
+                turn = rng.random()
+                if turn < 0.06:
+                    return misled(inner)
+                if turn < 0.11:
+                    return f'<p><a href="/{rng.randint(0, 99)}">{inner}</a>{rng.choice(["", ".", " "])}</p>'
                 return f"<p>{inner[:40]}<b>{inner[40:]}</b></p>" if rng.random() < 0.1 else f"<p>{inner} {link()} {words(3)}.</p>" if rng.random() < 0.12 else f"<p>{inner}{rng.choice(['</p>', '</p>', ''])}"
             if kind < 0.7:
                 level = rng.randint(2, 4)
@@ -328,6 +396,8 @@ def training_pages(many: int = 500, seed: int = 7) -> list[tuple[list[Block], li
                 return f"<figure><img src=x><figcaption>{mark}{text(2, 12)}</figcaption></figure>"
             if kind < 0.92:
                 return f"<pre>{mark}{words(6)}</pre>"
+            if kind < 0.94:
+                return misled(f"<p>{mark}{text(3, 60)}</p><p>{mark}{text(3, 60)}</p>", rng.choice(["div", "section"]))
             return f"<div>{mark}{text(2, 60)}</div>"
 
         parts = [f"<h1>{mark}{text(2, 12, 0.3)}</h1>" if rng.random() < 0.85 else "", *(block() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 15])))]
@@ -339,7 +409,7 @@ def training_pages(many: int = 500, seed: int = 7) -> list[tuple[list[Block], li
         return "".join(parts)
 
     def page() -> str:
-        wrap = rng.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>"] * 2 + ["<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="post">{}</div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', "<div>{}</div>"])
+        wrap = rng.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>"] * 2 + ["<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="post">{}</div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', "<div>{}</div>", "<div>{}</div>", "{}"])
         inner = wrap.format(body() + (comments() if rng.random() < 0.08 else ""))
         ahead = [f() for f in (notice, menu, advert) if rng.random() < (0.8 if f is menu else 0.45)]
         after = [f() for f in (side, comments, advert, form, notice) if rng.random() < 0.3]
