@@ -28,12 +28,13 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]"}
-#: Strings that may be identifiers: a run of letters, digits and joining marks that has an at sign or
-#: a digit in it (at most 80 characters count; a longer run is no identifier).
-CANDIDATE = r"(?<![A-Za-z0-9@._+()-])[+(]?[A-Za-z0-9](?=[A-Za-z._()-]{0,79}[0-9@])[A-Za-z0-9@._()-]{5,79}+(?![A-Za-z0-9@._+()-])"
+#: Strings that may be identifiers: a run of letters, digits and joining marks, however long, that has
+#: an at sign or a digit behind its first letter or digit.
+CANDIDATE = r"(?<![A-Za-z0-9@._+()-])[+(]?[A-Za-z0-9](?=[A-Za-z._()-]*+[0-9@])[A-Za-z0-9@._()-]{5,}+(?!\+)"
 #: A pattern counts with so many different seeds and this confidence, after so many rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
-#: Characters before an instance in which its contexts are looked for.
+#: Characters before an instance in which its contexts are looked for.  Of a word longer than 24 letters
+#: the last 24 are the pattern; two words that do not fit give the pattern of one word only.
 CONTEXT = 48
 #: Sums over an array are taken in strides of so many, and parts of a text from pieces of so many characters.
 STRIDE, PIECE = 256, 1024
