@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import BROADCAST_ROWS, materialise
 
 BUCKETS = 16
 #: Tokens of a batch, padding included.
@@ -93,7 +93,9 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     counts = numbered.groupBy("bucket_len", "part").count()
     offsets = counts.select("bucket_len", "part", (F.sum("count").over(W.partitionBy("bucket_len").orderBy("part")) - F.col("count")).alias("before"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
-    placed = numbered.withColumn("rank", within).join(F.broadcast(offsets), ["bucket_len", "part"]).withColumn("at", F.col("before") + F.col("rank") - 1)
+    # One row for each bucket and part: broadcast if they are few.
+    few = F.broadcast(offsets) if parts * len(bounds) <= BROADCAST_ROWS else offsets
+    placed = numbered.withColumn("rank", within).join(few, ["bucket_len", "part"]).withColumn("at", F.col("before") + F.col("rank") - 1)
     batch = F.concat_ws("-", F.col("bucket_len"), F.floor(F.col("at") / room).cast("long"))
     out = placed.select("doc_id", "n_tokens", "bucket_len", batch.alias("batch_id"), (F.col("at") % room).alias("place"))
     none = sized.where("n_tokens = 0").select("doc_id", "n_tokens", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket_len", "long"), ("batch_id", "string"), ("place", "long"))])
