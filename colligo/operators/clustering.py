@@ -14,6 +14,8 @@ from ..functions.parsing import clock, minutes_of_day, rounded
 
 #: First minute and name of each band of the day (fixed values).
 BANDS = [(0, "NIGHT"), (300, "MORNING"), (540, "MID_DAY"), (780, "AFTERNOON"), (1020, "EVENING"), (1260, "NIGHT")]
+#: Parts of the day for ``enrich`` by rule: first minute, minute behind the last; what is in none is in a fourth one (fixed values).
+PARTS = [(300, 720), (720, 1020), (1020, 1260)]
 #: A start so many minutes from its cluster's centre has no confidence.
 REACH = 120.0
 
@@ -66,18 +68,32 @@ def clusters(minutes: DataFrame) -> list[tuple[float, float, float]]:
     return best_clusters(np.array([r["minute"] for r in rows], float), np.array([r["count"] for r in rows], float), max(1, min(4, n // 2)))
 
 
-def enrich(df: DataFrame, start: str = "shift_start") -> DataFrame:
+def day_parts(minutes: DataFrame) -> list[tuple[int, int, float]]:
+    """``(minute, part, centre)`` of all minutes in the parts of the day that the column ``minute`` has; a centre is the mean of a part's rows."""
+    part = F.lit(len(PARTS))
+    for i, (low, high) in enumerate(PARTS):
+        part = F.when((F.col("minute") >= low) & (F.col("minute") < high), F.lit(i)).otherwise(part)
+    rows = minutes.where("minute is not null").groupBy(part.alias("part")).agg(F.avg("minute").alias("centre"), F.count("*").alias("n")).collect()
+    if sum(r["n"] for r in rows) < 2:
+        return []
+    centre = {r["part"]: r["centre"] for r in rows}
+    of = [next((i for i, (low, high) in enumerate(PARTS) if low <= m < high), len(PARTS)) for m in range(1440)]
+    return [(m, i, centre[i]) for m, i in enumerate(of) if i in centre]
+
+
+def enrich(df: DataFrame, start: str = "shift_start", by_rule: bool = False) -> DataFrame:
     """``df`` with the minute of its start, its cluster by ascending centre, the cluster's name, and how sure it is.
 
-    Fewer than two readable starts, or an unreadable one: UNKNOWN, -1 and 0.
+    By rule the clusters are four fixed parts of the day, named after the mean of their starts, and every
+    readable start is sure.  Fewer than two readable starts, or an unreadable one: UNKNOWN, -1 and 0.
     """
     new = ["shift_start_minutes", "shift_cluster_id", "detected_shift_type", "shift_detection_confidence", "shift_detection_evidence"]
     rows = df.withColumn("_minute", minutes_of_day(F.col(start).cast("string"))).drop(*new)
-    found = clusters(rows.select(F.col("_minute").alias("minute")))
+    starts = rows.select(F.col("_minute").alias("minute"))
     # A minute's cluster is looked up: the join keeps the reading of a start and what follows from it apart.
-    minutes = [(m, i, mid) for i, (low, high, mid) in enumerate(found) for m in range(int(low), int(high) + 1)]
+    minutes = day_parts(starts) if by_rule else [(m, i, mid) for i, (low, high, mid) in enumerate(clusters(starts)) for m in range(int(low), int(high) + 1)]
     known = df.sparkSession.createDataFrame(minutes, "_at int, shift_cluster_id int, centre double")
-    sure = rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.col("_at") - F.col("centre")) / REACH)), 2)
+    sure = F.lit(1.0) if by_rule else rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.col("_at") - F.col("centre")) / REACH)), 2)
     centre = F.col("centre")
     said = F.format_string("start %s is in the %s cluster around %s", clock(F.col("_at")), band(centre), clock(centre))
     known = known.select("_at", "shift_cluster_id", band(centre).alias("detected_shift_type"), sure.alias("shift_detection_confidence"), said.alias("shift_detection_evidence"))

@@ -504,6 +504,17 @@ def kmeans_buckets(spark, sf_dir):
     return clustering.enrich(_starts(spark, sf_dir)).select("event_id", "shift_start_minutes", "shift_cluster_id", "detected_shift_type", "shift_detection_confidence")
 
 
+@query(f"""
+WITH e AS (SELECT event_id, CAST(extract(hour FROM ts) * 60 + extract(minute FROM ts) AS INTEGER) AS m FROM events),
+     p AS (SELECT *, CASE WHEN m >= 300 AND m < 720 THEN 0 WHEN m >= 720 AND m < 1020 THEN 1 WHEN m >= 1020 AND m < 1260 THEN 2 ELSE 3 END AS id FROM e),
+     c AS (SELECT id, avg(m) AS centre FROM p GROUP BY id)
+SELECT event_id, m AS shift_start_minutes, CAST(id AS INTEGER) AS shift_cluster_id, {_BAND_SQL.replace("WHEN m", "WHEN floor(centre)")} AS detected_shift_type, 1.0::DOUBLE AS shift_detection_confidence
+FROM p JOIN c USING (id)""")
+def rule_buckets(spark, sf_dir):
+    """Starts in the four fixed parts of the day."""
+    return clustering.enrich(_starts(spark, sf_dir), by_rule=True).select("event_id", "shift_start_minutes", "shift_cluster_id", "detected_shift_type", "shift_detection_confidence")
+
+
 @query(f"""
 WITH e AS (SELECT CAST(extract(hour FROM ts) * 60 + extract(minute FROM ts) AS INTEGER) AS m FROM events)
 SELECT {_BAND_SQL} AS band, count(*) AS n, median(m) AS median_start, round(avg((m + 480) % 1440 - m + CASE WHEN (m + 480) % 1440 <= m THEN 1440 ELSE 0 END) / 60, 2) AS mean_hours FROM e GROUP BY 1""")
