@@ -155,3 +155,13 @@ def test_model_batches_span_arrow_batches(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [r["v"] for r in got] == [None] * 3 + [[float(len("query: ") + min(len(t), 30)), 1.0] for t in texts[3:]]
     assert [line.split()[0] for line in open(seen)] == ["20", "20", "7"] and open(seen).read().startswith("20 query: text-")
+
+
+def test_counting_makes_no_pairs(spark):
+    """Many intervals that hold many points of one key: no join holds intervals against points."""
+    intervals = spark.range(400).select(F.lit("a").alias("k"), F.lit(0).alias("low"), (F.col("id") + 1000).cast("int").alias("high"), F.col("id").alias("i"))
+    points = spark.range(1000).select(F.lit("a").alias("k"), F.col("id").cast("int").alias("at"))
+    counted = interval_join.count_inside(intervals, points, ["k"], F.col("low"), F.col("high"), F.col("at"), 2000, ["k", "i"])
+    assert {r["n"] for r in counted.collect()} == {1000}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "_low" not in "".join(line for line in plan.splitlines() if "Join" in line)
