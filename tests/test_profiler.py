@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from colligo.operators import profiler
 from pyspark.sql import functions as F
@@ -38,3 +40,19 @@ def test_text(spark):
     d = profiler.described(profiler.profile(spark.createDataFrame([(1, "E001"), (2, "E002")], "i int, emp string"), F.col("i"), ["emp"]))
     assert d.first()["text"].startswith("emp (id_like); high cardinality; examples: E001, E002")
     assert profiler.table_text(d).first()["text"].startswith("Table with 1 columns: emp")
+
+
+def test_cells_are_narrowed_before_they_are_shuffled(spark):
+    """The first values of each column by row and value, whatever the cells' order; what is sent does not grow with them."""
+    rng = random.Random(4)
+    cells = [(rng.choice("ab"), i % 3, f"c{i % 3}", rng.randrange(400), rng.choice([None, "", "x", f"v{rng.randrange(50)}"])) for i in range(3000)] + [("n", 0, "empty", 1, None)]
+    df = spark.createDataFrame(cells, "file string, column_position int, column_name string, row long, value string").repartition(3)
+    got = profiler.sample_cells(df, ["file"], 20).collect()
+    for file, at in {c[:2] for c in cells}:
+        own = sorted((c[3], c[4]) for c in cells if c[:2] == (file, at) and c[4])
+        rows = sorted((r["rank"], r["value"]) for r in got if (r["file"], r["column_position"]) == (file, at) and r["rank"])
+        assert rows == [(i + 1, v) for i, (_, v) in enumerate(own[:20])]
+        assert sum(r["filled"] or 0 for r in got if (r["file"], r["column_position"]) == (file, at)) == len(own)
+        assert sum(r["missing"] or 0 for r in got if (r["file"], r["column_position"]) == (file, at)) == sum(c[:2] == (file, at) and not c[4] for c in cells)
+    plan = profiler.sample_cells(df, ["file"], 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Window ") < plan.index("MapInArrow")
