@@ -82,3 +82,16 @@ def test_similar_columns_and_suggestions(spark):
     similar = spark.createDataFrame([("x", "f", 0.6, 1, "a"), ("y", "g", 0.9, 1, "b"), ("y", "h", 0.8, 2, "c")], "source_column string, target_field string, similarity double, rank int, matched_column string")
     rows = {r["source_column"]: tuple(r)[1:] for r in matching.column_suggestions(columns, voted, similar).collect()}
     assert rows == {"x": ("p", 0.6, "similar_tables", None), "y": ("g", 0.9, "column_similarity", "b"), "z": (None, 0.0, "no_match", None), "w": ("r", 0.5, "similar_tables", None)}
+
+
+def test_distinct_tokens_read_texts_where_they_lie(spark):
+    """White space that only Spark takes for such, spellings, texts of one key and of none; texts of different keys are not shuffled."""
+    from colligo.operators.tokens import distinct_tokens
+
+    texts = [(1, "The the\tTHE cat\x0bCat  a b ΑΣ ας"), (2, None), (3, " \n "), (4, " x X y"), (5, "İa i̇A")]
+    df = spark.createDataFrame(texts, "k long, text string")
+    want = {1: "The cat a b ΑΣ", 4: "x y", 5: "İa"}
+    alone = distinct_tokens(df, "k")
+    assert dict(map(tuple, alone.collect())) == want and "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    more = df.unionByName(spark.createDataFrame([(4, "X z"), (None, "b a"), (None, "B c A")], df.schema))
+    assert {r["k"]: r["tokens"] for r in distinct_tokens(more, "k").collect()} == want | {4: "X z y", None: "B a c"}
