@@ -62,10 +62,12 @@ def column_formats(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, date_format string, candidates array<string>, values long, misfits long")
-    # Cells one below the other: the expression is compiled once, and each task sends one row for a column.
+    # Cells one below the other: the expression is compiled once, and each task sends its different values.
     cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])))
-    masks = cells.select("column_name", allowed(F.col("value")).alias("mask"))
-    found = masks.groupBy("column_name").agg(F.bit_and("mask").alias("mask"), F.count("mask").alias("values"), F.count_if(F.col("mask") == 0).alias("misfits"))
+    # A value is read once, however often it occurs.
+    masks = cells.groupBy("column_name", "value").agg(F.count("*").alias("n")).select("column_name", "n", allowed(F.col("value")).alias("mask"))
+    number = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    found = masks.groupBy("column_name").agg(F.bit_and("mask").alias("mask"), number(F.col("mask").isNotNull()).alias("values"), number(F.col("mask") == 0).alias("misfits"))
     fits = F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << bit)) > 0, F.lit(name)) for bit, name in enumerate(FORMATS)]), lambda x: x.isNotNull())
     return found.select("column_name", F.get(fits, F.lit(0)).alias("date_format"), F.coalesce(fits, F.array().cast("array<string>")).alias("candidates"), "values", "misfits")
 

@@ -165,3 +165,12 @@ def test_counting_makes_no_pairs(spark):
     assert {r["n"] for r in counted.collect()} == {1000}
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "_low" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_each_date_is_read_once(spark):
+    """A column's values are grouped before they are held against the formats."""
+    df = spark.createDataFrame([("1/2/2024",)] * 5 + [("x",)] * 2 + [(None,)], "d string")
+    found = dates.column_formats(df, ["d"])
+    assert tuple(found.first()) == ("d", None, [], 7, 2)
+    above, grouped = found._jdf.queryExecution().optimizedPlan().toString().rsplit("Aggregate [column_name", 1)
+    assert grouped.split("]")[0].count("value#") == 1 and "RLIKE" not in grouped.split("\n", 1)[1]
