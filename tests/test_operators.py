@@ -95,3 +95,20 @@ def test_distinct_tokens_read_texts_where_they_lie(spark):
     assert dict(map(tuple, alone.collect())) == want and "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
     more = df.unionByName(spark.createDataFrame([(4, "X z"), (None, "b a"), (None, "B c A")], df.schema))
     assert {r["k"]: r["tokens"] for r in distinct_tokens(more, "k").collect()} == want | {4: "X z y", None: "B a c"}
+
+
+def test_pairs_of_blocks_are_not_copied():
+    """A batch of many pairs costs a worker little more than one pair: what numpy and Python hold at once stays below the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(1), 40
+    pack = lambda key, rows, width: next(matching._packed(rows, key)(iter([pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(list(rng.normal(size=(rows, width))))], ["query_id" if key == "q" else "item_id", "vector"])])))
+    q, i = pack("q", 8, 2000), pack("i", 64, 2000)
+    pairs = pa.Table.from_batches([pa.RecordBatch.from_arrays([*q.columns, *i.columns], [*q.schema.names, *i.schema.names])] * n).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    found = sum(b.num_rows for b in matching._closest(3, 6, ["query_id", "item_id", "similarity"])(iter([pairs])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * 8 * 3 and most < pairs.nbytes / 10
