@@ -119,3 +119,15 @@ def test_export_and_log(spark, tables, tmp_path):
     paths = export(results, str(tmp_path))
     assert len(paths) == 1 and spark.read.csv(paths[0], header=True).count() == 1
     assert log(results)[0]["rows"] == 1 and log(results)[0]["error"] is None
+
+
+def test_profit_is_sorted_before_details_are_repeated(spark, tables):
+    """Shifts of one employee, day, kind and department are sorted as one row; each has its own row in the report, in its order."""
+    more = {**tables, S: tables[S].unionByName(tables[S].where("employee_id = 'E1'")).unionByName(tables[S].where("employee_id = 'E2'").selectExpr("* except (duration_minutes)", "60 AS duration_minutes"))}
+    data = Registry().get("gross_profit_per_shift").build(more, {})
+    rows = data.collect()
+    assert len(rows) == 7 and sorted(r["shift_cost"] for r in rows if r["employee_id"] == "E2") == [60.0, 480.0]
+    assert sum(r["procedures_performed"] == 3 and r["evidence"].count("B1 ($100.0)") == 3 for r in rows) == 2
+    assert [r["shift_date"] for r in rows if r["employee_id"] == "E1"] == sorted(r["shift_date"] for r in rows if r["employee_id"] == "E1")
+    plan = data._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Sort [")
