@@ -417,15 +417,15 @@ def _block_pairs(percent: int, nearest: bool):
     return run
 
 
-def _hash(text: str = "text"):
+def _hash(text: str | Column = "text") -> Column:
     return F.xxhash64(text)
 
 
 def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[DataFrame, DataFrame]:
     """Links that connect what is similar in ``docs`` (``doc_id``, ``text``): a subset of the similarity join with itself.
 
-    Returns ``(documents, links)``: one row ``(doc_id, n_shingles, class)`` for each document, and
-    one row ``(a, b)`` for each link found between classes of equal sets.  All links between
+    Returns ``(documents, links)``: one row ``(doc_id, n_shingles, class, hash)`` for each document, the hash
+    being its text's, and one row ``(a, b)`` for each link found between classes of equal sets.  All links between
     different components of the rest are there; inside a component there may be more links than
     are listed.  Documents without words have an empty set and no links.  ``doc_id`` is a whole
     number; it may be null or repeated, with equal texts or others.
@@ -468,11 +468,13 @@ def similar_texts(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[D
     links = verified(pairs, whole)
     discard(pairs, whole)
     open_ = _open_groups(common, links)
-    found = texts.select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("class"))
+    found = texts.select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("class"), F.col("b").alias("hash"))
     if open_.isEmpty():
         discard(open_, classes, common)
         return found, links
-    whole = materialise(held(open_.select("a"), "members").mapInArrow(_widened(words), "a long, text string, wide binary"), "members")
+    texts_held = held(open_.select("a"), "texts")
+    whole = materialise(texts_held.mapInArrow(_widened(words), "a long, text string, wide binary"), "members")
+    discard(texts_held)
     # The best linked member of a group's largest component is held against the other components.
     ends = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
     ranked = open_.join(ends, "a", "left").groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.coalesce("degree", F.lit(0)), F.col("a").alias("hub"))).alias("best"))
@@ -557,10 +559,10 @@ def _place(meeting: int, side: int, mine: Column) -> Callable[[Column], Column]:
 
 
 def labelled(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """``(doc_id, n_shingles, label)`` of each row of ``docs``: rows with words and one label are one component."""
+    """``(doc_id, n_shingles, hash, label)`` of each row of ``docs``: rows with words and one label are one component."""
     texts, links = similar_texts(docs, percent, words)
     labels = components(links)
-    return texts.join(labels, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "class").alias("label"))
+    return texts.join(labels, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", "hash", F.coalesce("label", "class").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -578,17 +580,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
 def first_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that are the first of their near duplicates: the one with the smallest ``doc_id``, null last.
 
-    Rows are told apart by their place, not by their id: of equal ids the first row counts, and a
-    repeated id with another text stays.  Rows without words stay.
+    ``doc_id`` is a whole number; it may be null or repeated.  Rows are known again by it and their text's
+    hash, so that ``docs`` is read twice and not copied.  Of one id's texts in a component that of the smallest
+    hash stays, of rows with equal ids and texts the first.  Rows without words stay.
     """
     names = docs.columns
-    hidden = docs.toDF(*[f"_doc_{i}" for i in range(len(names))]).withColumn("_row", F.monotonically_increasing_id())
-    rows = materialise(hidden, "rows")
-    own = lambda c: F.col(f"_doc_{names.index(c)}")
-    found = labelled(rows.select(F.col("_row").alias("doc_id"), own("text").alias("text")), percent, words).where("n_shingles > 0")
-    placed = materialise(found.select("label", F.col("doc_id").alias("_row")).join(rows.select("_row", own("doc_id").alias("id")), "_row"), "placed")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "_row")
-    first = placed.groupBy("label").agg(F.min(order).getField("_row").alias("_row"))
-    gone = materialise(placed.select("_row").join(first, "_row", "left_anti"), "gone")
-    discard(placed)
-    return rows.join(small(gone), "_row", "left_anti").drop("_row").toDF(*names)
+    hidden = [f"_doc_{i}" for i in range(len(names))]
+    rows = docs.toDF(*hidden)
+    own = lambda c: F.col(hidden[names.index(c)])
+    found = materialise(labelled(rows.select(own("doc_id").alias("doc_id"), own("text").alias("text")), percent, words), "labelled")
+    keys = materialise(found.where("n_shingles > 0").groupBy("label", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.count("*").alias("many")), "keys")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "many")
+    first = materialise(keys.groupBy("label").agg(F.min(order).alias("x")).select(F.col("x._id").alias("_first"), F.col("x._hash").alias("_its"), F.col("x.many").alias("many")), "first")
+    single = first.where("many = 1").drop("many")
+    gone = materialise(keys.join(single, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_its")), "left_anti").select("_id", "_hash"), "gone")
+    again = materialise(first.where("many > 1").select(F.col("_first").alias("_id"), F.col("_its").alias("_hash")), "again")
+    discard(found, keys, first)
+    same = F.col("_id").eqNullSafe(own("doc_id")) & (F.col("_hash") == _hash(own("text")))
+    stay = rows.join(small(gone), same, "left_anti")
+    if again.isEmpty():
+        discard(again)
+        return stay.toDF(*names)
+    # Of rows that are equal in id and text, all of which are in ``gone``, the first comes back.
+    copies = rows.withColumn("_place", F.monotonically_increasing_id()).join(small(again), same, "left_semi")
+    one = copies.groupBy(own("doc_id"), _hash(own("text"))).agg(F.min_by(F.struct(*hidden), "_place").alias("row")).select("row.*")
+    return stay.union(one).toDF(*names)
