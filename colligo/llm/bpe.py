@@ -6,6 +6,9 @@ predecessor, which holds if that pair of tokens is its own encoding.  So the tra
 once and keeps, for each place, the last token.  A token is emitted as soon as the merge list's
 sufficient lookahead lies behind its end: nothing that follows can change it then.  Memory depends on
 the merge list, not on the length of a word or of a text, which is read a piece at a time.
+
+A short word needs no emission before its end, so the transducer looks only at the places where its
+last tokens can begin, and remembers them for all words that begin alike, as it does whole words.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import json
 import struct
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,15 @@ from pyspark.sql import types as T
 
 from .common import slices
 
+_V = TypeVar("_V")
+
 #: Unicode's white space, as the normaliser's pattern has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Most different short texts between white space whose ids a task remembers, and the letters of the longest.
+#: Most keys in each of a process's memories (short texts between white space, words, words' beginnings), and the letters of the longest.
 REMEMBERED, SHORT = 600_000, 64
-#: Tokens, or short texts' tokens, that are handed on together.
+#: Letters of a key up to which as many are remembered; longer ones take the room of several.
+USUAL = 16
+#: Tokens of a long word that are handed on together.
 PIECE = 1 << 14
 #: Letters of a text that are normalised at once.
 READ = 1 << 16
@@ -48,6 +56,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
+class Remembered(dict[str, _V]):
+    """Values by key, made when first asked for; of ``most`` keys at most (fewer if they are longer than ``USUAL``), those asked for lately are kept.
+
+    Keys are in two halves: when the newer one is full, it takes the place of the older one, whose keys come back when asked for.
+    """
+
+    def __init__(self, make: Callable[[str], _V], most: int):
+        super().__init__()
+        self.make, self.half, self.older = make, most // 2 * USUAL, {}
+        self.room = self.half
+
+    def __missing__(self, key: str) -> _V:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if self.room <= 0:
+            self.older, self.room = dict(self), self.half
+            self.clear()
+        self.room -= len(key) if len(key) > USUAL else USUAL
+        self[key] = value
+        return value
+
+
 class Bpe:
     """The tokenizer of a file of the kind ``word_bpe_49k.json``: word ends are marked, white space is dropped."""
 
@@ -77,10 +108,14 @@ class Bpe:
         self._letter = (-1, "", "")
         self._whole: dict[str, bool] = {}
         self._follows: dict[tuple[str, str], bool] = {}
-        # Ends of tokens; the last token of words' beginnings; ids of short texts between white space.
-        self.tails = {"".join(symbols[i:]) for symbols in map(self._symbols, self.vocab) for i in range(len(symbols))}
-        self._states: dict[str, str] = {}
-        self._known: dict[str, bytes] = {}
+        # Ends of tokens, with the letters of those that are tokens and their own encoding, else 0.
+        self.tails = {"".join(symbols[i:]): 0 for symbols in map(self._symbols, self.vocab) for i in range(len(symbols))}
+        self.tails |= {t: n for t, n in self.length.items() if self._alone(t)}
+        # Words' beginnings with their last token and their ids; ids of short words, and of short texts between white space.
+        self.packed = {t: struct.pack("<I", i) for t, i in self.vocab.items()}
+        self._states = Remembered(lambda text: self._ending(text, len(text)), REMEMBERED)
+        self._words = Remembered(self._short, REMEMBERED)
+        self._known = Remembered(self._short_text, REMEMBERED)
 
     def _symbols(self, token: str) -> list[str]:
         if token.endswith(self.end) and len(token) > len(self.end):
@@ -158,22 +193,31 @@ class Bpe:
         ``text`` ends with ``most`` of them at least, and with the word's end if ``ended``; ``last`` has
         the shorter ends.
         """
-        length, tails, ending = self.length, self.tails, []
-        letters = len(text) - (len(self.end) if ended else 0)
-        for size in range(1, most + 1):
-            token = text[letters - size :]
-            if token not in tails:
-                break
-            if length.get(token) == size:
-                ending.append((size, token))
-        for size, token in reversed(ending):  # at most one fits, mostly a long one
+        for token in self._tokens_at_end(text, most, len(text) - (len(self.end) if ended else 0)):
+            size = self.length[token]
             before = last[n - size] if n > size else before_all
             if before is None and n > size:
                 continue
-            if self._alone(token) and (before is None or self.follows(before, token)):
+            if before is None or self.follows(before, token):
                 return token
         return None
 
+    def _tokens_at_end(self, text: str, most: int, letters: int) -> list[str]:
+        """The tokens of ``most`` symbols at most that end a text, long ones first: of them one fits at most, mostly a long one.
+
+        ``letters`` is the text's length without a word's end.
+        """
+        tails, ending = self.tails, []
+        for size in range(1, most + 1):
+            token = text[letters - size :]
+            known = tails.get(token)
+            if known is None:
+                break
+            if known == size:
+                ending.append(token)
+        ending.reverse()
+        return ending
+
     def transduce(self, symbols: Iterable[str], step: int | None = None) -> Iterator[int]:
         """The ids of one word's symbols, each as soon as no further symbol can change it.
 
@@ -189,14 +233,7 @@ class Bpe:
             window, n, ended = window + symbol, n + 1, len(symbol) > 1
             # What ends the beginning of a word is remembered for all words that begin so.
             shared = base_text is None and n <= SHORT and not ended
-            found = states.get(window) if shared else None
-            if found is None:
-                found = self._last(window, min(n, longest), n, last, base_text, ended)
-                if shared and found is not None:
-                    if len(states) >= REMEMBERED:
-                        states.clear()
-                    states[window] = found
-            last.append(found)
+            last.append(states[window][0] if shared else self._last(window, min(n, longest), n, last, base_text, ended))
             if n > lookahead and read % step == 0 and not ended and (emitted := self._path(last, n, n - lookahead)):
                 for t in emitted:
                     yield self.vocab[t]
@@ -218,6 +255,32 @@ class Bpe:
             at -= self.length[token]
         return out[::-1]
 
+    def _ending(self, text: str, n: int) -> tuple[str, bytes]:
+        """The last token and the ids of a short word's beginning, or of a short word: ``n`` symbols.
+
+        Of the places in it only those before a token that may be the last are looked at in turn.
+        """
+        for token in self._tokens_at_end(text, n, n):
+            start = n - self.length[token]
+            if not start:
+                return token, self.packed[token]
+            before, ids = self._states[text[:start]]
+            if self.follows(before, token):
+                return token, ids + self.packed[token]
+        raise ValueError("the vocabulary lacks a letter")
+
+    def _short(self, word: str) -> bytes:
+        """A short pre-token's ids."""
+        raw = word.encode("utf-8")
+        if len(raw) > SHORT:
+            return b"".join([struct.pack("<I", i) for i in self.word(word)])
+        return self._ending(raw.decode("latin-1").translate(self.letters) + self.end, len(raw))[1]
+
+    def _short_text(self, chunk: str) -> bytes:
+        """The ids of a short text without white space; one that is a word is the same object in both memories."""
+        words = self.pattern.findall(chunk)
+        return self._words[chunk] if words == [chunk] else b"".join([self._words[w] for w in words])
+
     def word(self, word: str) -> Iterator[int]:
         """A pre-token's ids."""
         letters, raw = self.letters, word.encode("utf-8")
@@ -225,17 +288,13 @@ class Bpe:
 
     def chunk(self, chunk: str) -> Iterator[bytes]:
         """The ids of a normalised text without white space, as little-endian unsigned 32-bit integers, piece by piece."""
-        known = self._known.get(chunk)
-        if known is not None:
-            yield known
-        elif len(chunk) <= SHORT:
-            known = b"".join([struct.pack("<I", i) for w in self.pattern.findall(chunk) for i in self.word(w)])
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[chunk] = known
-            yield known
+        if len(chunk) <= SHORT:
+            yield self._known[chunk]
         else:
             for m in self.pattern.finditer(chunk):
+                if len(m[0]) <= SHORT:
+                    yield self._words[m[0]]
+                    continue
                 ids = self.word(m[0])
                 while piece := list(itertools.islice(ids, PIECE)):
                     yield struct.pack(f"<{len(piece)}I", *piece)
@@ -272,20 +331,13 @@ class Bpe:
             at = stop
 
     def _piece(self, text: str) -> Iterator[bytes]:
-        known, chunk, held = self._known, self.chunk, []
-        for c in split_space(self.normalised(text)):
-            if c in known:
-                held.append(known[c])
+        chunks = split_space(self.normalised(text))
+        all_short = max(map(len, chunks), default=0) <= SHORT
+        for short, some in [(True, chunks)] if all_short else itertools.groupby(chunks, lambda c: len(c) <= SHORT):
+            if short:
+                yield b"".join(map(self._known.__getitem__, some))
             else:
-                held += chunk(c) if len(c) <= SHORT else [b"".join(held)]
-                if len(c) > SHORT:
-                    yield held.pop()
-                    held.clear()
-                    yield from chunk(c)
-            if len(held) >= PIECE:
-                yield b"".join(held)
-                held.clear()
-        yield b"".join(held)
+                yield from itertools.chain.from_iterable(map(self.chunk, some))
 
     def _stretch(self, text: str, at: int, end: int) -> Iterator[bytes]:
         """The ids of a long part without white space, normalised in pieces that begin where letters cannot compose."""
@@ -312,6 +364,9 @@ class Bpe:
 
         parts = self._parts(pieces())
         for first in parts:
+            if first[1] and len(first[0]) <= SHORT:
+                yield self._words[first[0]]
+                continue
             ids = self.transduce(symbols(itertools.chain([first], parts)))
             while piece := list(itertools.islice(ids, PIECE)):
                 yield struct.pack(f"<{len(piece)}I", *piece)

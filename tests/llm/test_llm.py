@@ -6,6 +6,8 @@ import itertools
 import json
 import random
 import re
+import struct
+import sys
 import tracemalloc
 
 import numpy as np
@@ -454,6 +456,43 @@ def test_bpe_reads_texts_in_pieces(monkeypatch):
         assert peaks[1] < 1.3 * peaks[0] + 50_000, (unit, peaks)
 
 
+def test_bpe_reads_a_word_once(monkeypatch):
+    """A word is encoded once, whatever marks stand behind it; one that comes often is not forgotten among many others."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    words = ["".join(rng.choices(["the", "an", "er", "tion", "st", "ou", "ción", "sch", "é"], k=4)) for _ in range(1000)]
+    text, calls = " ".join(w + mark for w in words for mark in ("", ",", ".", "!!")), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    own = bpe.Bpe(path)
+    sys.setprofile(count)
+    try:
+        ids = b"".join(own.encode(text))
+    finally:
+        sys.setprofile(None)
+    assert calls < 60 * len(words), calls / len(words)
+    assert b"".join(struct.pack("<I", i) for w in text.split() for part in own.pattern.findall(w) for i in own.word(part)) == ids
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    own, seen = bpe.Bpe(path), []
+
+    class Pattern:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, chunk):
+            seen.append(chunk)
+            return self.pattern.findall(chunk)
+
+    own.pattern = Pattern(own.pattern)
+    assert b"".join(own.encode(text)) == ids
+    seen.clear()
+    b"".join(own.encode(" ".join(f"often {w}" for w in words)))
+    assert seen.count("often") == 1
+
+
 # --- 7: top-k ---
 
 
