@@ -38,7 +38,9 @@ _V = TypeVar("_V")
 #: Unicode's white space, as the normaliser's pattern has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most keys in each of a process's memories (short texts between white space, words, words' beginnings), and the letters of the longest.
-REMEMBERED, SHORT = 600_000, 64
+REMEMBERED, SHORT = 600_000, 128
+#: Most bytes of a word that is looked at from its end; longer ones are read from their beginning.
+BACKWARD = 64
 #: Letters of a key up to which as many are remembered; longer ones take the room of several.
 USUAL = 16
 #: Tokens of a long word that are handed on together.
@@ -225,15 +227,13 @@ class Bpe:
         ``step`` symbols the tokens that end the lookahead or more before the last symbol are emitted and
         leave the window, which so never holds more than the lookahead, a token and a step.
         """
-        states, longest, lookahead, step = self._states, self.longest, self.lookahead, step or self.longest
+        longest, lookahead, step = self.longest, self.lookahead, step or self.longest
         window, n = "", 0
         last: list[str | None] = [None]
         base_text: str | None = None
         for read, symbol in enumerate(symbols, 1):
             window, n, ended = window + symbol, n + 1, len(symbol) > 1
-            # What ends the beginning of a word is remembered for all words that begin so.
-            shared = base_text is None and n <= SHORT and not ended
-            last.append(states[window][0] if shared else self._last(window, min(n, longest), n, last, base_text, ended))
+            last.append(self._last(window, min(n, longest), n, last, base_text, ended))
             if n > lookahead and read % step == 0 and not ended and (emitted := self._path(last, n, n - lookahead)):
                 for t in emitted:
                     yield self.vocab[t]
@@ -272,7 +272,7 @@ class Bpe:
     def _short(self, word: str) -> bytes:
         """A short pre-token's ids."""
         raw = word.encode("utf-8")
-        if len(raw) > SHORT:
+        if len(raw) > BACKWARD:
             return b"".join([struct.pack("<I", i) for i in self.word(word)])
         return self._ending(raw.decode("latin-1").translate(self.letters) + self.end, len(raw))[1]
 
